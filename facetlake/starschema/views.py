@@ -23,7 +23,10 @@ class Views:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # Zone-less timestamps are UTC; the session time zone is pinned to UTC as well.
+        zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+        return df.withColumns({n: F.col(n).cast("timestamp") for n in zoneless}) if zoneless else df
 
     @cached_property
     def grids(self) -> DataFrame:
