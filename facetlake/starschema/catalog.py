@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from facetlake.starschema import fleet_queries, mesh_queries, photo_queries  # noqa: F401
+from facetlake.starschema import fleet_queries, mesh_queries, photo_queries, view_queries  # noqa: F401
 from facetlake.starschema.registry import QUERIES
 
 __all__ = ["QUERIES"]
