@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.numbers import scaled_whole
+
 # Length units in metres.
 UNITS = {"mm": 0.001, "cm": 0.01, "m": 1.0, "in": 0.0254, "ft": 0.3048}
 LENGTH = r"(?i)^\s*([0-9]*\.?[0-9]+)\s*(mm|cm|m|in|ft)\s*$"
@@ -51,19 +53,8 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 
 def fixed2(x: Column) -> Column:
-    """Non-negative number with two decimals, rounded from its exact binary value (ties to even).
-
-    ``x * 100`` is split into product and rounding error, so a value just below or above a
-    tie is not mistaken for the tie.
-    """
-    product = x * 100.0
-    scaled = x * 134217729.0
-    high = scaled - (scaled - x)
-    error = (high * 100.0 - product) + (x - high) * 100.0
-    whole = F.floor(product)
-    excess = (product - whole - 0.5) + error
-    up = (excess > 0) | ((excess == 0) & (whole % 2 == 1))
-    cents = whole + F.when(up, 1).otherwise(0)
+    """Non-negative number with two decimals, rounded from its exact binary value (ties to even)."""
+    cents = scaled_whole(x, 2)
     return F.concat(
         F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")
     )

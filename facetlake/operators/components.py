@@ -34,16 +34,11 @@ def components(
         parent = materialize(parent, "parents")
         moving = True
         while moving:
-            ahead = parent
             for _ in range(jumps):
-                ahead = _follow(ahead, ahead, keys)
-            last = parent.select(*keys, "a", F.col("p").alias("_p"))
-            ahead = materialize(
-                ahead.join(last, [*keys, "a"]).select(*keys, "a", "p", (F.col("p") != F.col("_p")).alias("moved")),
-                "parents",
-            )
-            moving = not ahead.filter("moved").isEmpty()
-            parent = ahead.drop("moved")
+                parent = _follow(parent, parent, keys)
+            parent = materialize(parent, "parents")
+            moving = not parent.filter("moved").isEmpty()
+            parent = parent.drop("moved")
         levels.append(parent)
         links = materialize(_contract(links, parent, keys), "links")
     mapping = None
@@ -58,9 +53,15 @@ def components(
 
 
 def _follow(level: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace each pointer by the pointer of its target; roots of ``then`` stay."""
+    """Replace each pointer by the pointer of its target; roots of ``then`` stay.
+
+    ``moved`` marks pointers this step changed.
+    """
     step = then.select(*keys, F.col("a").alias("p"), F.col("p").alias("_q"))
-    return level.join(step, [*keys, "p"], "left").select(*keys, "a", F.coalesce("_q", "p").alias("p"))
+    target = F.coalesce("_q", "p")
+    return level.join(step, [*keys, "p"], "left").select(
+        *keys, "a", target.alias("p"), (target != F.col("p")).alias("moved")
+    )
 
 
 def _contract(links: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:

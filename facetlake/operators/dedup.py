@@ -132,9 +132,11 @@ def banded_pairs(late: DataFrame, early: DataFrame, threshold: int = DEFAULT_THR
     disjoint DataFrames: one for the ordinary buckets, further ones only where buckets
     exceed ``hot_bucket`` candidate pairs.
     """
-    level = {0: child_bands(Band(0, 0, ()), threshold)}
-    late_b, early_b = _bucketed(late, level[0]), _bucketed(early, level[0])
-    bands = level[0]
+    bands = child_bands(Band(0, 0, ()), threshold)
+    late_b, early_b = _bucketed(late, bands), _bucketed(early, bands)
+    if late.count() * early.count() <= hot_bucket:  # no bucket can exceed the whole
+        yield _join_bucket(late_b, early_b, threshold)
+        return
     for depth in range(1, MAX_DEPTH + 1):
         loads = _bucket_loads(late_b, early_b)
         if loads.filter(F.col("load") > hot_bucket).isEmpty():
@@ -251,8 +253,9 @@ def first_wins(
 
     Adds ``duplicate_of`` (NULL for kept photos): the earliest kept photo it matches.
     """
-    numbered, prefixes = _prefixes(representatives(hashes), first_prefix)
-    reps = materialize(numbered, "reps")
+    hashes = materialize(hashes, "hashes")
+    numbered, prefixes = _prefixes(materialize(representatives(hashes), "reps"), first_prefix)
+    reps = materialize(numbered, "reps") if prefixes > 1 else numbered
     kept, marks = None, None
     for k in range(prefixes):
         todo = reps.filter(F.col("prefix") == k).drop("prefix")

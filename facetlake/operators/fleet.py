@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import text as tx
+from facetlake.functions.numbers import round_even
 from facetlake.operators.ordering import positions, running_sum
 from facetlake.session import materialize
 
@@ -501,8 +502,8 @@ def hardware_grid(configs: DataFrame) -> DataFrame:
     return rows.withColumn("gpu_seconds", gpu).select(
         "job_id", F.col("h.option").alias("option"), F.col("m.mode").alias("mode"), "gpu_seconds",
         total.alias("total_seconds"),
-        F.bround(F.col("h.spot") * total / 3600, 3).alias("usd_spot"),
-        F.bround(F.col("h.demand") * total / 3600, 3).alias("usd_ondemand"),
+        round_even(F.col("h.spot") * total / 3600, 3).alias("usd_spot"),
+        round_even(F.col("h.demand") * total / 3600, 3).alias("usd_ondemand"),
     )
 
 

@@ -39,7 +39,7 @@ def extreme_points(triangles: DataFrame, n: int = 500) -> DataFrame:
                 pts = part[["x", "y", "z"]].to_numpy()
                 reach = dirs @ pts.T
                 best = reach.argmax(axis=1)
-                rows = pd.DataFrame(pts[best], columns=list(g.XYZ))
+                rows = pd.DataFrame(pts[best], columns=["x", "y", "z"])
                 rows.insert(0, "dir", np.arange(len(dirs), dtype=np.int32))
                 rows["reach"] = reach[np.arange(len(dirs)), best]
                 rows.insert(0, "mesh_id", mesh_id)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import geometry as g
+from facetlake.functions.numbers import round_even
 from facetlake.functions.text import slug
 from facetlake.operators import mesh
 from facetlake.operators.fleet import unique_names
@@ -18,6 +19,7 @@ MIN_AREA_SHARE = 0.01
 MAX_PARTS = 8
 MAX_COMPONENTS = 200
 KMEANS_ROUNDS = 30
+ROUNDS_PER_PLAN = 5
 
 
 def chosen_labels(
@@ -149,25 +151,26 @@ def cluster_faces(triangles: DataFrame, max_parts: int = MAX_PARTS, rounds: int
         nearest = F.array_min(F.transform("cs", lambda c, i: F.struct(d2(c).alias("d"), i.alias("i"))))
         return feats.join(centres, "mesh_id").select("mesh_id", "fid", "f", "cs", nearest["i"].alias("label"))
 
-    for _ in range(rounds):
-        means = (
-            assign(centres)
-            .groupBy("mesh_id", "label")
-            .agg(*[F.avg(F.get("f", i)).alias(f"m{i}") for i in range(6)])
-            .groupBy("mesh_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("label", F.array(*[f"m{i}" for i in range(6)])))).alias("_m"))
+    def step(centres: DataFrame) -> DataFrame:
+        """Centres moved to the mean of their faces; one that lost all its faces stays."""
+        means = assign(centres).groupBy("mesh_id", "label").agg(
+            F.array(*[F.avg(F.get("f", i)) for i in range(6)]).alias("m"), F.first("cs").alias("cs")
         )
-        # A centre that lost all its faces stays where it was.
-        moved = centres.join(means, "mesh_id").select(
-            "mesh_id", F.transform("cs", lambda c, i: F.coalesce(F.element_at("_m", i), c)).alias("cs"),
-            F.col("cs").alias("_old"),
+        return means.groupBy("mesh_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("_m"), F.first("cs").alias("_old")
+        ).select("mesh_id", F.transform("_old", lambda c, i: F.coalesce(F.element_at("_m", i), c)).alias("cs"), "_old")
+
+    # A few rounds share one plan; each reads only the centres of the round before.
+    for start in range(0, rounds, ROUNDS_PER_PLAN):
+        for _ in range(min(ROUNDS_PER_PLAN, rounds - start)):
+            centres = step(centres)
+        centres = materialize(centres, "centres")
+        moving = F.exists(
+            F.zip_with("cs", "_old", lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d > 1e-9)),
+            lambda m: m,
         )
-        moved = materialize(moved, "centres")
-        still = moved.filter(
-            F.exists(F.arrays_zip("cs", "_old"), lambda z: F.exists(
-                F.zip_with(z["cs"], z["_old"], lambda a, b: F.abs(a - b)), lambda d: d > 1e-9))
-        ).isEmpty()
-        centres = moved.drop("_old")
+        still = centres.filter(moving).isEmpty()
+        centres = centres.drop("_old")
         if still:
             break
     return assign(centres).select("mesh_id", "fid", F.col("label").cast("bigint").alias("label"))
@@ -199,15 +202,15 @@ def describe(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     shortest = F.least(*ext)
     names = ("left_to_right", "back_to_front", "bottom_to_top")
     spot = [
-        F.bround((F.col(f"centre_{t}") - F.col(f"_l{t}")) / F.when(F.col(f"_e{t}") > 1e-9, F.col(f"_e{t}")).otherwise(1.0), 3).alias(n)
+        round_even((F.col(f"centre_{t}") - F.col(f"_l{t}")) / F.when(F.col(f"_e{t}") > 1e-9, F.col(f"_e{t}")).otherwise(1.0), 3).alias(n)
         for t, n in zip(g.XYZ, names)
     ]
     return parts.join(w, "mesh_id").select(
         *parts.columns, *spot,
-        F.bround(F.when(F.col("_volume") > 0, F.col("volume") / F.col("_volume")).otherwise(0.0), 4).alias("volume_fraction"),
-        F.bround(F.col("n_faces") / F.greatest("_faces", F.lit(1)), 4).alias("face_fraction"),
-        F.bround(longest / F.greatest(shortest, F.lit(1e-9)), 2).alias("elongation"),
-        F.bround(shortest / longest, 3).alias("flatness"),
+        round_even(F.when(F.col("_volume") > 0, F.col("volume") / F.col("_volume")).otherwise(0.0), 4).alias("volume_fraction"),
+        round_even(F.col("n_faces") / F.greatest("_faces", F.lit(1)), 4).alias("face_fraction"),
+        round_even(longest / F.greatest(shortest, F.lit(1e-9)), 2).alias("elongation"),
+        round_even(shortest / longest, 3).alias("flatness"),
     )
 
 
@@ -250,7 +253,7 @@ def export_rows(named_parts: DataFrame, budgets: DataFrame, wholes: DataFrame) -
         {
             "texture": texture_size(F.col("target_faces"), F.col("total_budget")),
             "file": F.concat("stem", F.lit(".glb")),
-            "volume_share": F.bround(F.col("volume") / F.nullif(F.col("_whole"), F.lit(0.0)), 4),
+            "volume_share": round_even(F.col("volume") / F.nullif(F.col("_whole"), F.lit(0.0)), 4),
         }
     ).drop("_whole")
 

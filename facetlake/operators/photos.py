@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import pixels as px
+from facetlake.functions.numbers import round_even
 
 # Viewpoint vocabulary, cardinal order and photo file suffixes.
 VIEWPOINTS = (
@@ -173,7 +174,7 @@ def distinctness(grids: DataFrame) -> DataFrame:
     pairs = n * (n - 1) / 2
     mean = F.sum("_d") / (F.count("*") * pairs) / 255.0
     return cells.groupBy("shoot_id").agg(
-        n.alias("n_photos"), F.when(n < 2, F.lit(0.0)).otherwise(F.bround(mean, 4)).alias("distinctness")
+        n.alias("n_photos"), F.when(n < 2, F.lit(0.0)).otherwise(round_even(mean, 4)).alias("distinctness")
     )
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import facetlake
+
 # Runtime-settable SQL options every plan relies on. Shuffle parallelism and scan
 # split size are left to the cluster: they depend on executors, not on the query.
 SQL_OPTIONS = {
@@ -26,7 +29,12 @@ _unset_dirs: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL options to an existing session."""
+    """Apply the runtime SQL options to an existing session.
+
+    Functions of this package travel to Python workers by value, so executors need not have it
+    installed.
+    """
+    cloudpickle.register_pickle_by_value(facetlake)
     for key, value in SQL_OPTIONS.items():
         spark.conf.set(key, value)
     return spark

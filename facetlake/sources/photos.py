@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.functions import pixels as px
+from facetlake.functions.pixels import BRIGHT_LEVEL, DARK_LEVEL, SUBJECT_FLOOR
 from facetlake.operators.ordering import positions
 from facetlake.operators.photos import PHOTO_SUFFIXES
 
@@ -83,7 +83,7 @@ def image_sharpness(g: np.ndarray) -> float:
 
 def subject_mask(g: np.ndarray) -> np.ndarray:
     """False over black background connected to a corner; whole frame if little else remains."""
-    dark = g <= px.DARK_LEVEL
+    dark = g <= DARK_LEVEL
     h, w = g.shape
     reached = np.zeros_like(dark)
     for y, x in ((0, 0), (0, w - 1), (h - 1, 0), (h - 1, w - 1)):
@@ -98,7 +98,7 @@ def subject_mask(g: np.ndarray) -> np.ndarray:
                 for i in range(1, len(a)):
                     a[i] |= a[i - 1] & d[i]
     subject = ~reached
-    return subject if subject.mean() > px.SUBJECT_FLOOR else np.ones_like(subject)
+    return subject if subject.mean() > SUBJECT_FLOOR else np.ones_like(subject)
 
 
 def area_resize(g: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -132,8 +132,8 @@ def _score_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             g = grey(r.data, r.height, r.width, r.channels)
             lit = g[subject_mask(g)]
             rows.append(
-                (r.path, r.width, r.height, image_sharpness(g), float((lit <= px.DARK_LEVEL).mean()),
-                 float((lit >= px.BRIGHT_LEVEL).mean()), gradient_hash(g), gradient_hash(g[:, ::-1]))
+                (r.path, r.width, r.height, image_sharpness(g), float((lit <= DARK_LEVEL).mean()),
+                 float((lit >= BRIGHT_LEVEL).mean()), gradient_hash(g), gradient_hash(g[:, ::-1]))
             )
         out = pd.DataFrame(rows, columns=names)
         for c in ("width", "height", "h", "h_flip"):

@@ -5,6 +5,7 @@ from facetlake.starschema import (  # noqa: F401
     mesh_queries,
     part_queries,
     photo_queries,
+    stream_queries,
     view_queries,
     volume_queries,
 )

@@ -122,8 +122,8 @@ DESCRIBED = """w AS (SELECT mesh_id, count(*) AS wf, sum(vol6)/6.0 AS wv, min(le
       sum(area*((ax+bx+cx)/3.0))/sum(area) AS cx, sum(area*((ay+by_+cy)/3.0))/sum(area) AS cy, sum(area*((az+bz+cz)/3.0))/sum(area) AS cz,
       max(greatest(ax,bx,cx)) - min(least(ax,bx,cx)) AS ex, max(greatest(ay,by_,cy)) - min(least(ay,by_,cy)) AS ey, max(greatest(az,bz,cz)) - min(least(az,bz,cz)) AS ez
       FROM asg JOIN face_geo USING (mesh_id, fid) GROUP BY 1, 2, 3),
-   ds AS (SELECT pt.mesh_id, part_index, method, n_faces, volume, wv, round((cx-lx)/sx, 3) AS left_to_right, round((cy-ly)/sy, 3) AS back_to_front, round((cz-lz)/sz, 3) AS bottom_to_top,
-      round(volume/wv, 4) AS volume_fraction, round(n_faces/wf, 4) AS face_fraction, round(greatest(ex,ey,ez)/least(ex,ey,ez), 2) AS elongation, round(least(ex,ey,ez)/greatest(ex,ey,ez), 3) AS flatness
+   ds AS (SELECT pt.mesh_id, part_index, method, n_faces, volume, wv, round_even((cx-lx)/sx, 3) AS left_to_right, round_even((cy-ly)/sy, 3) AS back_to_front, round_even((cz-lz)/sz, 3) AS bottom_to_top,
+      round_even(volume/wv, 4) AS volume_fraction, round_even(n_faces/wf, 4) AS face_fraction, round_even(greatest(ex,ey,ez)/least(ex,ey,ez), 2) AS elongation, round_even(least(ex,ey,ez)/greatest(ex,ey,ez), 3) AS flatness
       FROM pt JOIN w USING (mesh_id)),
    nm AS (SELECT ds.*, CASE WHEN part_index % 3 = 1 THEN 'wheel' WHEN part_index = 0 THEN 'body' ELSE
       concat_ws('-', CASE WHEN bottom_to_top > 0.66 THEN 'upper' WHEN bottom_to_top < 0.33 THEN 'lower' END, CASE WHEN back_to_front > 0.6 THEN 'front' WHEN back_to_front < 0.4 THEN 'rear' ELSE 'mid' END,
@@ -206,11 +206,11 @@ def _(v):
     return m.select("mesh_id", "vid", "valence", *[F.round(c, 6).alias(c) for c in ("mx", "my", "mz")])
 
 
-@query("taubin_one_step", "E3", f"WITH {SMOOTH1} SELECT mesh_id, vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM v2", ("ring", "verts"))
+@query("taubin_one_step", "E3", f"WITH {SMOOTH1} SELECT mesh_id, vid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM v2", ("ring", "verts"))
 def _(v):
     vertices, ring = smooth.topology_of(v.triangles)
     out = smooth.smooth_vertices(vertices, ring, 1)
-    return out.select("mesh_id", "vid", *[F.round(t, 6).alias(t) for t in g.XYZ])
+    return out.select("mesh_id", "vid", *[F.round(t, 9).alias(t) for t in g.XYZ])
 
 
 @query("taubin_report", "D35 E3", f"""WITH {SMOOTH1}, sh AS (SELECT a.mesh_id, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS d, a.pinned FROM v2 a JOIN v0 b USING (mesh_id, vid)),

@@ -35,9 +35,14 @@ class Views:
 
     @cached_property
     def photos(self) -> DataFrame:
+        return self.photo_rows(self.grids)
+
+    @staticmethod
+    def photo_rows(grids: DataFrame) -> DataFrame:
+        """Grids with synthetic size and path."""
         seq = F.col("seq")
         names = F.array(*[F.lit(n) for n in ("front", "left", "back", "rear", "right", "front_left", "top", "IMG")])
-        return self.grids.withColumns(
+        return grids.withColumns(
             {
                 "width": (480 + (seq % 7) * 160).cast("int"),
                 "height": (360 + (seq % 5) * 240).cast("int"),
