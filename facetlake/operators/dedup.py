@@ -83,16 +83,20 @@ def _bucketed(rows: DataFrame, bands: list[Band]) -> DataFrame:
 BUCKET = ["shoot_id", "path", "bits"]
 
 
-def _refined(rows: DataFrame, by_parent: dict[int, list[Band]]) -> DataFrame:
-    """Replace bucketed rows by their child buckets."""
-    choices = F.create_map(*[c for p, bands in by_parent.items() for c in (F.lit(p), _band_array(bands))])
-    return (
-        rows.withColumn("_b", F.explode(F.element_at(choices, F.col("path"))))
-        .withColumn("path", F.col("_b.path"))
-        .withColumn("prior", F.col("_b.prior"))
-        .withColumn("bits", F.col("h").bitwiseAND(F.col("_b.mask")))
-        .drop("_b")
+def _refined(rows: DataFrame, parents: list[Band], threshold: int) -> DataFrame:
+    """Replace bucketed rows by their child buckets.
+
+    The band table is fixed: (threshold + 1) ** depth rows, so it is broadcast.
+    """
+    table = rows.sparkSession.createDataFrame(
+        [(p.path, c.path, _signed(c.mask), [_signed(m) for m in c.prior]) for p in parents for c in child_bands(p, threshold)],
+        "path INT, child INT, mask BIGINT, child_prior ARRAY<BIGINT>",
     )
+    return rows.join(F.broadcast(table), "path").select(
+        "shoot_id", "seq", "h", *(["h_flip"] if "h_flip" in rows.columns else []),
+        F.col("child").alias("path"), F.col("child_prior").alias("prior"),
+        F.col("h").bitwiseAND(F.col("mask")).alias("bits"),
+    )
 
 
 def _join_bucket(late: DataFrame, early: DataFrame, threshold: int, salted: bool = False) -> DataFrame:
@@ -148,10 +152,9 @@ def banded_pairs(late: DataFrame, early: DataFrame, threshold: int = DEFAULT_THR
         if depth == MAX_DEPTH:
             yield _join_bucket(late_h, early_h, threshold, salted=True)
             return
-        children = {b.path: child_bands(b, threshold) for b in bands}
-        late_b = materialize(_refined(late_h, children), "late_buckets")
-        early_b = materialize(_refined(early_h, children), "early_buckets")
-        bands = [c for group in children.values() for c in group]
+        late_b = materialize(_refined(late_h, bands, threshold), "late_buckets")
+        early_b = materialize(_refined(early_h, bands, threshold), "early_buckets")
+        bands = [c for b in bands for c in child_bands(b, threshold)]
 
 
 def _union(frames: Iterator[DataFrame]) -> DataFrame:

@@ -94,3 +94,47 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
         .write.partitionBy("mesh_id")
         .text(path)
     )
+
+
+def parse_stl(lines: DataFrame, order: Sequence[str] = ("block", "row")) -> DataFrame:
+    """Triangles of ASCII STL text: every three ``vertex`` lines are one face."""
+    words = F.split(F.trim("line"), r"\s+")
+    spots = lines.select("mesh_id", *order, words.alias("w")).filter(F.get("w", 0) == "vertex")
+    numbered = positions(spots, ["mesh_id"], list(order), "n").select(
+        "mesh_id", F.expr("n div 3").alias("fid"), (F.col("n") % 3).alias("c"),
+        *[F.get("w", i).try_cast("double").alias(t) for i, t in ((1, "x"), (2, "y"), (3, "z"))],
+    )
+    return numbered.groupBy("mesh_id", "fid").agg(
+        *[F.max(F.when(F.col("c") == i, F.col(t))).alias(f"{k}{t}") for i, k in enumerate("abc") for t in "xyz"]
+    )
+
+
+def parse_ply(lines: DataFrame, order: Sequence[str] = ("block", "row")) -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of ASCII PLY text whose vertex element comes first and starts with x y z.
+
+    The header gives the counts; body lines are told apart by their number.
+    """
+    text = lines.select("mesh_id", *order, F.trim("line").alias("line")).filter("line <> ''")
+    numbered = materialize(positions(text, ["mesh_id"], list(order), "n"), "ply_lines")
+    count = F.regexp_extract("line", r"^element\s+vertex\s+(\d+)", 1).try_cast("bigint")
+    header = numbered.groupBy("mesh_id").agg(
+        F.min(F.when(F.col("line") == "end_header", F.col("n"))).alias("_end"),
+        F.max(count).alias("_vertices"),
+        F.max(F.regexp_extract("line", r"^element\s+face\s+(\d+)", 1).try_cast("bigint")).alias("_faces"),
+    )
+    body = numbered.join(header, "mesh_id").filter("n > _end").select(
+        "mesh_id", (F.col("n") - F.col("_end") - 1).alias("m"), "_vertices", "_faces", F.split("line", r"\s+").alias("w")
+    )
+    vertices = body.filter("m < _vertices").select(
+        "mesh_id", F.col("m").alias("vid"), *[F.get("w", i).try_cast("double").alias(t) for i, t in enumerate("xyz")]
+    )
+    polygons = body.filter("m >= _vertices AND m < _vertices + _faces").select(
+        "mesh_id", "m", F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda s: s.try_cast("bigint")).alias("ids")
+    )
+    fans = polygons.filter(F.size("ids") >= 3).select(
+        "mesh_id", "m", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 2)).alias("t")
+    )
+    faces = positions(fans, ["mesh_id"], ["m", "t"], "fid").select(
+        "mesh_id", "fid", F.get("ids", 0).alias("v0"), F.get("ids", F.col("t")).alias("v1"), F.get("ids", F.col("t") + 1).alias("v2")
+    )
+    return vertices, faces

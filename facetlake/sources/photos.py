@@ -36,8 +36,8 @@ def list_photos(spark: SparkSession, root: str) -> DataFrame:
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root/<job>/...`` with size and time; only file metadata is read."""
-    prefix = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
-    rel = F.substring_index("path", F.concat(F.element_at(F.split(prefix, "/"), -1), F.lit("/")), -1)
+    folder = root.rstrip("/").rsplit("/", 1)[-1]
+    rel = F.substring_index("path", f"/{folder}/", -1)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

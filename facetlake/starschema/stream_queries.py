@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from facetlake.operators import fleet
 from facetlake.session import scratch_path
 from facetlake.starschema.fleet_queries import LOG, _host_jobs
-from facetlake.starschema.registry import query
+from facetlake.starschema.registry import QUERIES, query
 from facetlake.starschema.views import grids_from
 from facetlake.streaming import admission, intake, presence, run, tail
 
@@ -75,7 +75,7 @@ def _(v):
     return run.drain(presence.presence_stream(run.read_stream(v.spark, path)))
 
 
-@query("host_admission_stream", "S5 E10")
+@query("host_admission_stream", "S5 E10", QUERIES["host_admission"].sql)
 def _(v):
     path = staged(_host_jobs(v), "submissions")
     return run.drain(admission.admission_stream(run.read_stream(v.spark, path)))
@@ -102,7 +102,7 @@ def _(v):
     return admission.wait_outcomes(wait_events(v))
 
 
-@query("resource_wait_stream", "S6")
+@query("resource_wait_stream", "S6", QUERIES["resource_wait_outcomes"].sql)
 def _(v):
     path = staged(wait_events(v), "waits")
     return run.drain(admission.wait_stream(run.read_stream(v.spark, path)))
