@@ -53,3 +53,8 @@ def corner_struct(corner: str) -> Column:
 
 def centroid(axis: str) -> Column:
     return (col("a", axis) + col("b", axis) + col("c", axis)) / 3.0
+
+
+def exact_sum(x: Column, precision: str = "decimal(30,12)") -> Column:
+    """Sum of doubles as decimals: the same for every partitioning, so rankings do not flip."""
+    return F.sum(x.cast(precision)).cast("double")

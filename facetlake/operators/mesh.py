@@ -204,7 +204,7 @@ def component_areas(triangles: DataFrame, components: DataFrame) -> DataFrame:
         triangles.select("mesh_id", "fid", g.area().alias("area"))
         .join(components, ["mesh_id", "fid"])
         .groupBy("mesh_id", "comp")
-        .agg(F.count("*").alias("n_faces"), F.sum("area").alias("area"))
+        .agg(F.count("*").alias("n_faces"), g.exact_sum(F.col("area")).alias("area"))
     )
 
 

@@ -45,7 +45,7 @@ def label_areas(triangles: DataFrame, labels: DataFrame) -> DataFrame:
         triangles.select("mesh_id", "fid", g.area().alias("area"))
         .join(labels, ["mesh_id", "fid"])
         .groupBy("mesh_id", "label")
-        .agg(F.count("*").alias("n_faces"), F.sum("area").alias("area"))
+        .agg(F.count("*").alias("n_faces"), g.exact_sum(F.col("area")).alias("area"))
     )
 
 
@@ -154,7 +154,7 @@ def cluster_faces(triangles: DataFrame, max_parts: int = MAX_PARTS, rounds: int
     def step(centres: DataFrame) -> DataFrame:
         """Centres moved to the mean of their faces; one that lost all its faces stays."""
         means = assign(centres).groupBy("mesh_id", "label").agg(
-            F.array(*[F.avg(F.get("f", i)) for i in range(6)]).alias("m"), F.first("cs").alias("cs")
+            F.array(*[g.exact_sum(F.get("f", i), "decimal(28,15)") / F.count("*") for i in range(6)]).alias("m"), F.first("cs").alias("cs")
         )
         return means.groupBy("mesh_id").agg(
             F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("_m"), F.first("cs").alias("_old")

@@ -172,7 +172,7 @@ def test_tail_delivers_each_line_once(spark, tmp_path):
 
 def test_waits_and_silence(spark, tmp_path):
     ev = [(1, 0, "queued"), (1, 100, "ready"), (2, 0, "queued"), (2, 50, "failed"), (3, 0, "queued"), (3, 4000, "ready"), (4, 0, "queued"), (9, 90000, "ready"), (9, 89000, "queued")]
-    df = spark.createDataFrame(ev, "job_id BIGINT, s BIGINT, kind STRING").select("job_id", F.timestamp_seconds("s").alias("ts"), "kind")
+    df = spark.createDataFrame(ev, "job_id BIGINT, s BIGINT, kind STRING").select("job_id", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"), "kind")
     want = {1: "released", 2: "failed", 3: "timed out", 4: "timed out", 9: "released"}
     assert {r.job_id: r.outcome for r in admission.wait_outcomes(df).collect()} == want
     src = str(tmp_path / "w")
@@ -180,9 +180,9 @@ def test_waits_and_silence(spark, tmp_path):
     out = run.drain(admission.wait_stream(run.read_stream(spark, src)))
     assert {r.job_id: r.outcome for r in out.collect()} == want
     beats = spark.createDataFrame([(1, 0, False), (1, 100, True), (2, 0, False), (3, 90000, False)], "job_id BIGINT, s BIGINT, terminal BOOLEAN").select(
-        "job_id", F.timestamp_seconds("s").alias("ts"), "terminal"
+        "job_id", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"), "terminal"
     )
-    batch = admission.silent_jobs(beats, 3600, F.timestamp_seconds(F.lit(90000)))
+    batch = admission.silent_jobs(beats, 3600, F.timestamp_seconds(F.lit(90000 + 10**9)))
     assert {r.job_id: r.status for r in batch.collect()} == {1: "finished", 2: "failed", 3: "running"}
     src = str(tmp_path / "b")
     beats.coalesce(1).write.parquet(src)

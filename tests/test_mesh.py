@@ -55,7 +55,7 @@ def test_measures(solids):
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_components_do_not_depend_on_partitions(solids, partitions):
     found = labels_of(solids.repartition(partitions)).groupBy("mesh_id").agg(F.count_distinct("comp").alias("n"))
-    assert {r.mesh_id: r.n for r in found.collect()} == {"box": 1, "tetra": 1, "ball": 1, "torn": 1, "pinch": 1, "pair": 2}
+    assert {r.mesh_id: r.n for r in found.collect()} == {"box": 1, "tetra": 1, "ball": 1, "torn": 1, "pinch": 3, "pair": 2}
 
 
 def test_components_equal_union_find(spark):
