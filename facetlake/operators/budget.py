@@ -38,7 +38,7 @@ def grid_boxes(triangles: DataFrame) -> DataFrame:
 
 def _distinct_faces(celled: DataFrame) -> DataFrame:
     a, b, c = (F.col(f"cell_{k}") for k in g.CORNERS)
-    key = F.array_sort(F.array(a, b, c))
+    key = F.sort_array(F.array(a, b, c))
     return celled.filter((a != b) & (b != c) & (a != c)).withColumn("_key", key)
 
 

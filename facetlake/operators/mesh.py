@@ -186,16 +186,16 @@ def drop_degenerate(triangles: DataFrame) -> DataFrame:
 def drop_duplicates(triangles: DataFrame) -> DataFrame:
     """Keep the first face on each set of three positions.
 
-    Only ids travel through the shuffle; the semi-join brings the geometry back.
+    Only ids and position keys are grouped. The geometry meets just the ids to drop, so where
+    copies are rare that join is a broadcast and wide rows are not shuffled.
     """
-    corners_key = F.array_sort(F.array(*[g.position_key(k) for k in g.CORNERS]))
-    first = (
-        triangles.select("mesh_id", "fid", corners_key.alias("k"))
-        .groupBy("mesh_id", "k")
-        .agg(F.min("fid").alias("fid"))
-        .select("mesh_id", "fid")
+    key = F.sort_array(F.array(*[g.position_key(k) for k in g.CORNERS]))
+    keyed = triangles.select("mesh_id", "fid", key.alias("k"))
+    repeated = (
+        keyed.groupBy("mesh_id", "k").agg(F.min("fid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    return triangles.join(first, ["mesh_id", "fid"], "left_semi")
+    extra = keyed.join(repeated, ["mesh_id", "k"]).filter("fid > first").select("mesh_id", "fid")
+    return triangles.join(extra, ["mesh_id", "fid"], "left_anti")
 
 
 def component_areas(triangles: DataFrame, components: DataFrame) -> DataFrame:

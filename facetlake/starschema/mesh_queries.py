@@ -129,7 +129,7 @@ CLEAN = """good AS (SELECT f.* FROM face_geo f WHERE area > 0),
 
 @query("mesh_drop_bad_faces", "D20", f"WITH {CLEAN} SELECT mesh_id, fid FROM firsts", ("face_geo",))
 def _(v):
-    return mesh.drop_duplicates(mesh.drop_degenerate(v.triangles)).select("mesh_id", "fid")
+    return mesh.drop_duplicates(mesh.drop_degenerate(v.stored_triangles)).select("mesh_id", "fid")
 
 
 DEBRIS = """areas AS (SELECT c.mesh_id, c.comp, count(*) AS n_faces, sum(area) AS area FROM components c JOIN face_geo USING (mesh_id, fid) GROUP BY 1,2),
@@ -160,7 +160,7 @@ def _(v):
 def _(v):
     from facetlake.plans.cleanup import clean
 
-    _, report = clean(v.triangles, 0.005)
+    _, report = clean(v.stored_triangles, 0.005)
     return report.select("mesh_id", "faces_before", "vertices_before", "faces_after", "vertices_after", "components_removed")
 
 
@@ -174,7 +174,7 @@ def _(v):
    SELECT mesh_id, warnings = '' AS ok, round(ex/longest, 6) AS aspect_x, round(ez/longest, 6) AS aspect_z, round(ratio, 6) AS area_ratio, round(fill, 6) AS fill,
      n_components, holes, non_manifold, warnings FROM w""", ("face_geo", "edge_stats", "components"))
 def _(v):
-    r = mesh.sanity_report(v.triangles, labelled(v))
+    r = mesh.sanity_report(v.stored_triangles, labelled(v))
     return r.select(
         "mesh_id", "ok", *[F.round(c, 6).alias(c) for c in ("aspect_x", "aspect_z", "area_ratio", "fill")],
         "n_components", "holes", "non_manifold", F.array_join("warnings", "; ").alias("warnings"),

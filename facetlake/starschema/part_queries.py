@@ -54,13 +54,13 @@ def budgets(v):
 
 @query("face_budget_reduction", "V7", f"WITH {grid_sql('tri', TARGET)} SELECT *, faces_after = target_faces AS exact FROM plan", ("tri",))
 def _(v):
-    _, report = budget.reduce_to_budget(v.triangles, budgets(v))
+    _, report = budget.reduce_to_budget(v.stored_triangles, budgets(v))
     return report
 
 
 @query("reduced_face_counts", "V7 D20", f"WITH {grid_sql('tri', TARGET)} SELECT mesh_id, faces_after AS n FROM plan", ("tri",))
 def _(v):
-    reduced, _ = budget.reduce_to_budget(v.triangles, budgets(v))
+    reduced, _ = budget.reduce_to_budget(v.stored_triangles, budgets(v))
     return reduced.groupBy("mesh_id").agg(F.count("*").alias("n"))
 
 
@@ -71,7 +71,7 @@ def _(v):
 def _(v):
     from facetlake.plans.tail import mesh_tail
 
-    _, report = mesh_tail(v.triangles, budgets(v), min_area_frac=0.005)
+    _, report = mesh_tail(v.stored_triangles, budgets(v), min_area_frac=0.005)
     return report.select("mesh_id", "faces_before", "faces_clean", "components_removed", "faces_final", "target_faces", "grid")
 
 
@@ -88,7 +88,7 @@ BY_LABEL = PART_STATS.format(labels="SELECT * FROM start_labels", method="semant
 
 
 def connected(v):
-    return parts.split(v.triangles, labelled(v), "connected")
+    return parts.split(v.stored_triangles, labelled(v), "connected")
 
 
 @query("split_connected", "P1", f"WITH {BY_COMPONENT} SELECT * FROM asg", ("components", "face_geo", "tri"))
@@ -113,7 +113,7 @@ def _(v):
 
 @query("cluster_faces", "E8")
 def _(v):
-    return parts.cluster_faces(v.triangles)
+    return parts.cluster_faces(v.stored_triangles)
 
 
 DESCRIBED = """w AS (SELECT mesh_id, count(*) AS wf, sum(vol6)/6.0 AS wv, min(least(ax,bx,cx)) AS lx, min(least(ay,by_,cy)) AS ly, min(least(az,bz,cz)) AS lz,
@@ -131,8 +131,8 @@ DESCRIBED = """w AS (SELECT mesh_id, count(*) AS wf, sum(vol6)/6.0 AS wv, min(le
 
 
 def named_parts(v):
-    table = materialize(parts.part_table(v.triangles, connected(v)), "parts")
-    described = parts.describe(table, mesh.measures(v.triangles))
+    table = materialize(parts.part_table(v.stored_triangles, connected(v)), "parts")
+    described = parts.describe(table, mesh.measures(v.stored_triangles))
     names = table.filter("part_index % 3 = 1").select("mesh_id", "part_index", F.lit(" Wheel ").alias("name"))
     return parts.named(described, names)
 
@@ -180,7 +180,7 @@ def _(v):
 def _(v):
     from facetlake.plans.semantic import semantic_split
 
-    return semantic_split(v.triangles, pixel_hits(v))
+    return semantic_split(v.stored_triangles, pixel_hits(v))
 
 
 # --- smoothing and fill ------------------------------------------------------
@@ -220,13 +220,13 @@ def _(v):
    va AS (SELECT mesh_id, abs(sum(ax*(by_*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - by_*cx)))/6.0 AS va FROM t GROUP BY 1), vb AS (SELECT mesh_id, abs(sum(vol6))/6.0 AS vb FROM face_geo GROUP BY 1)
    SELECT mesh_id, round(avg(d), 6) AS moved_mean, round(max(d), 6) AS moved_max, round(any_value((va-vb)/vb), 6) AS volume_change, count(*) FILTER (pinned) AS pinned FROM sh JOIN va USING (mesh_id) JOIN vb USING (mesh_id) GROUP BY mesh_id""", ("ring", "verts", "corners", "face_geo"))
 def _(v):
-    _, report = smooth.smooth(v.triangles, iterations=1)
+    _, report = smooth.smooth(v.stored_triangles, iterations=1)
     return report.select("mesh_id", *[F.round(c, 6).alias(c) for c in ("moved_mean", "moved_max", "volume_change")], "pinned")
 
 
 @query("taubin_smoothing", "E3")
 def _(v):
-    after, _ = smooth.smooth(v.triangles)
+    after, _ = smooth.smooth(v.stored_triangles)
     return after
 
 
@@ -254,13 +254,13 @@ def sample_points(v):
    SELECT p.mesh_id, pid, arg_min(vid, ((v.x-p.x)*(v.x-p.x)+(v.y-p.y)*(v.y-p.y)+(v.z-p.z)*(v.z-p.z), vid)) AS vid, round(min((v.x-p.x)*(v.x-p.x)+(v.y-p.y)*(v.y-p.y)+(v.z-p.z)*(v.z-p.z)), 6) AS d2
    FROM pts p JOIN verts v USING (mesh_id) GROUP BY 1, 2""", ("tri", "verts"))
 def _(v):
-    found = nearest.nearest_vertex(sample_points(v), mesh.weld(v.triangles).select("mesh_id", "vid", "x", "y", "z"))
+    found = nearest.nearest_vertex(sample_points(v), mesh.weld(v.stored_triangles).select("mesh_id", "vid", "x", "y", "z"))
     return found.select("mesh_id", "pid", "vid", F.round("d2", 6).alias("d2"))
 
 
 @query("nearest_face_normals", "C6")
 def _(v):
-    return nearest.nearest_normals(sample_points(v), mesh.drop_degenerate(v.triangles))
+    return nearest.nearest_normals(sample_points(v), mesh.drop_degenerate(v.stored_triangles))
 
 
 TEX = 128
@@ -269,7 +269,7 @@ TEX = 128
 def atlas(v):
     """Texture coordinates for every face: a right triangle in one of 256 cells of the atlas."""
     s, t = (F.col("fid") % 16) / 16.0, (F.expr("fid div 16") % 16) / 16.0
-    return v.triangles.withColumns(
+    return v.stored_triangles.withColumns(
         {"a_s": s, "a_t": t, "b_s": s + 0.0625, "b_t": t, "c_s": s, "c_t": t + 0.0625}
     )
 
@@ -310,7 +310,7 @@ def _(v):
 
 @query("baked_normal_map", "C6 I27 I28")
 def _(v):
-    return bake.bake_normals(mesh.drop_degenerate(v.triangles), atlas(v), 64, 2)
+    return bake.bake_normals(mesh.drop_degenerate(v.stored_triangles), atlas(v), 64, 2)
 
 
 # --- mesh text ---------------------------------------------------------------
@@ -320,8 +320,8 @@ OBJ = """vn AS (SELECT mesh_id, vid, x, y, z, row_number() OVER (PARTITION BY me
 
 
 def text_lines(v):
-    vertices = materialize(mesh.weld(v.triangles), "vertices")
-    return meshtext.obj_lines(vertices, mesh.indexed(v.triangles, vertices))
+    vertices = materialize(mesh.weld(v.stored_triangles), "vertices")
+    return meshtext.obj_lines(vertices, mesh.indexed(v.stored_triangles, vertices))
 
 
 @query("mesh_text_lines", "A9", f"""WITH {OBJ} SELECT mesh_id, 0 AS part, n-1 AS line_no, printf('v %.6f %.6f %.6f', x, y, z) AS line FROM vn

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetlake.functions.pixels import mirrored
 from facetlake.operators.ordering import positions
+from facetlake.session import materialize
 from facetlake.starschema.boxes import BOX
 
 def ints(*values: int):
@@ -28,10 +29,19 @@ class Views:
         zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({n: F.col(n).cast("timestamp") for n in zoneless}) if zoneless else df
 
+    def spread(self, name: str) -> DataFrame:
+        """A table that each row of is expanded many times, spread over all cores.
+
+        Only where it lies in fewer files than there are cores; a large table is split by its files.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     @cached_property
     def grids(self) -> DataFrame:
         """Photos as 8x8 grey grids: originals, near copies, mirrors, exact copies and flat shots."""
-        return grids_from(self.table("embeddings"))
+        return grids_from(self.spread("embeddings"))
 
     @cached_property
     def photos(self) -> DataFrame:
@@ -56,7 +66,7 @@ class Views:
     @cached_property
     def corners_per_part(self) -> DataFrame:
         p = F.col("p_partkey")
-        return self.table("part").select(
+        return self.spread("part").select(
             F.col("p_brand").alias("mesh_id"),
             "p_partkey",
             ((p % 16) * 60).alias("x0"),
@@ -95,6 +105,11 @@ class Views:
             *corner(F.col("a"), "a"), *corner(b, "b"), *corner(c, "c"),
         )
 
+    @cached_property
+    def stored_triangles(self) -> DataFrame:
+        """The mesh view as a written table, for plans that read it many times."""
+        return materialize(self.triangles, "triangles")
+
     @cached_property
     def frames(self) -> DataFrame:
         events = self.table("events").select(

@@ -103,6 +103,6 @@ def _(v):
 @query("mesh_repair_by_hull_fill", "V5 D17")
 def _(v):
     """Repair of whole assemblies judged by their hull fill."""
-    fills = hull.fill_ratio(v.triangles).select("mesh_id", "fill")
-    _, report = voxels.repair(v.triangles, fills, 32, (2, 4))
+    fills = hull.fill_ratio(v.stored_triangles).select("mesh_id", "fill")
+    _, report = voxels.repair(v.stored_triangles, fills, 32, (2, 4))
     return report
