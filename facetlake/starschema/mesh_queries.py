@@ -48,14 +48,15 @@ def _(v):
     return mesh.gather(mesh.indexed(v.triangles, vertices), vertices)
 
 
-@query("mesh_referenced_vertices", "C4", """WITH degen AS (SELECT mesh_id, fid FROM face_geo WHERE area > 0),
-  used AS (SELECT DISTINCT mesh_id, x, y, z FROM corners JOIN degen USING (mesh_id, fid) WHERE fid % 16 < 4),
+@query("mesh_referenced_vertices", "C4", """WITH large AS (SELECT mesh_id, fid FROM face_geo WHERE area >= 200),
+  used AS (SELECT DISTINCT mesh_id, x, y, z FROM corners JOIN large USING (mesh_id, fid)),
   ids AS (SELECT mesh_id, x, y, z, min(fid*3+corner)::BIGINT AS vid FROM corners GROUP BY mesh_id, x, y, z)
   SELECT mesh_id, vid FROM ids JOIN used USING (mesh_id, x, y, z)""", ("face_geo", "corners"))
 def _(v):
+    """Vertices left once the faces below an area limit are gone."""
     vertices = mesh.weld(v.triangles)
-    faces = mesh.indexed(v.triangles, vertices).filter("fid % 16 < 4")
-    return mesh.referenced(vertices, faces).select("mesh_id", "vid")
+    large = v.triangles.filter(g.area() >= 200)
+    return mesh.referenced(vertices, mesh.indexed(large, vertices)).select("mesh_id", "vid")
 
 
 @query("mesh_edges", "D7", f"SELECT mesh_id, {EDGE_COLS}, n FROM edge_stats", ("edge_stats",))

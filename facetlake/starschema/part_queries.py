@@ -293,7 +293,7 @@ def _(v):
 
 
 def colours(v):
-    t = bake.texels(atlas(v), TEX).filter("px % 8 < 4")
+    t = bake.texels(atlas(v), TEX)
     return materialize(t.select("mesh_id", "px", "py", (F.col("fid") % 256).cast("int").alias("r"), (F.col("px") % 200).alias("g"), (F.col("py") * 2 % 251).alias("b")), "colours")
 
 
@@ -303,7 +303,7 @@ def _gutter(prev: str, name: str) -> str:
       WHERE c.px+dx BETWEEN 0 AND {TEX - 1} AND c.py+dy BETWEEN 0 AND {TEX - 1} AND NOT EXISTS (SELECT 1 FROM {prev} q WHERE q.mesh_id=c.mesh_id AND q.px=c.px+dx AND q.py=c.py+dy) GROUP BY 1, 2, 3)"""
 
 
-@query("normal_map_gutter", "I27", f"""WITH g0 AS (SELECT mesh_id, px, py, (fid%256)::INT AS r, px%200 AS g, py*2%251 AS b FROM texels WHERE px%8 < 4), {_gutter('g0', 'g1')}, {_gutter('g1', 'g2')} SELECT mesh_id, px::INT AS px, py::INT AS py, r, g, b FROM g2""", ("texels",))
+@query("normal_map_gutter", "I27", f"""WITH g0 AS (SELECT mesh_id, px, py, (fid%256)::INT AS r, px%200 AS g, py*2%251 AS b FROM texels), {_gutter('g0', 'g1')}, {_gutter('g1', 'g2')} SELECT mesh_id, px::INT AS px, py::INT AS py, r, g, b FROM g2""", ("texels",))
 def _(v):
     return bake.fill_gutter(colours(v), TEX, 2)
 

@@ -243,3 +243,16 @@ def _(v):
    FROM bucketed WHERE ok) WHERE rn = 1""", ("clip_frames",))
 def _(v):
     return frames.pick(v.frames, 8)
+
+
+@query("photo_subject_exposure", "B2 B3", """WITH RECURSIVE dk AS (SELECT shoot_id, seq, pos FROM pixels WHERE g <= 5),
+   fl AS (SELECT * FROM dk WHERE pos IN (0, 7, 56, 63) UNION
+     SELECT d.shoot_id, d.seq, d.pos FROM fl JOIN dk d ON d.shoot_id=fl.shoot_id AND d.seq=fl.seq AND ((d.pos = fl.pos+1 AND fl.pos%8 < 7) OR (d.pos = fl.pos-1 AND fl.pos%8 > 0) OR abs(d.pos-fl.pos) = 8)),
+   sub AS (SELECT p.*, f.pos IS NOT NULL AS bg, count(f.pos) OVER (PARTITION BY p.shoot_id, p.seq) AS n FROM pixels p LEFT JOIN fl f ON f.shoot_id=p.shoot_id AND f.seq=p.seq AND f.pos=p.pos)
+   SELECT shoot_id || '/' || seq AS path, round(avg((g<=5)::INT), 6) AS dark, round(avg((g>=250)::INT), 6) AS bright FROM sub WHERE NOT bg OR (64-n)/64.0 <= 0.10 GROUP BY shoot_id, seq""", ("pixels",))
+def _(v):
+    """Image path: exposure on the subject, black border background left out."""
+    from facetlake.sources.photos import grids_to_images, score_images
+
+    s = score_images(grids_to_images(v.grids))
+    return s.select("path", F.round("dark", 6).alias("dark"), F.round("bright", 6).alias("bright"))

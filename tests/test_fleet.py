@@ -244,3 +244,16 @@ def test_instance_listing_gaps(spark):
 def test_model_replies(spark, text, ok):
     r = spark.createDataFrame([(text,)], "t STRING").select(records.parse_reply(F.col("t"), "a INT").alias("r")).first().r
     assert (r.error is None) == ok
+
+
+def test_keyed_table_round_trip(spark, tmp_path):
+    from facetlake.sources.tables import read_table, write_table
+
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, 2.0), ("b", 2, 3.0)], "mesh_id STRING, fid BIGINT, area DOUBLE")
+    write_table(rows, path, ["mesh_id"])
+    write_table(rows.filter("mesh_id = 'b'").withColumn("fid", F.col("fid") + 10), path, ["mesh_id"])
+    back = read_table(spark, path, "mesh_id STRING, fid BIGINT, area DOUBLE")
+    assert sorted((r.mesh_id, r.fid) for r in back.collect()) == [("a", 1), ("b", 2), ("b", 12)]
+    plan = back.filter("mesh_id = 'b'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan
