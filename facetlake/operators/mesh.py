@@ -424,4 +424,5 @@ def sanity_report(triangles: DataFrame, components: DataFrame, fill: DataFrame |
 def ranked_components(areas: DataFrame, limit: int = 200) -> DataFrame:
     """The ``limit`` largest components of each mesh; the row_number filter is pushed below the shuffle."""
     w = Window.partitionBy("mesh_id").orderBy(F.desc("area"), "comp")
-    return areas.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < limit)
+    top = areas.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    return top.withColumn("rank", F.col("_rn") - 1).drop("_rn")

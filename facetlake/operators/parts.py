@@ -34,9 +34,9 @@ def chosen_labels(
     w = Window.partitionBy("mesh_id").orderBy(F.desc("area"), "label")
     return (
         big.filter(F.col("area") >= min_share * F.col("total"))
-        .withColumn("part_index", F.row_number().over(w) - 1)
-        .filter(F.col("part_index") < max_parts)
-        .select("mesh_id", "label", "part_index")
+        .withColumn("_rn", F.row_number().over(w))
+        .filter(F.col("_rn") <= max_parts)
+        .select("mesh_id", "label", (F.col("_rn") - 1).alias("part_index"))
     )
 
 

@@ -292,3 +292,13 @@ def test_up_axis_is_a_rotation(spark):
         assert by_mesh(mesh.measures(t))["m"].volume == pytest.approx(6)
         assert by_mesh(mesh.measures(t))["m"].extent_z == {"x": 1, "y": 2, "z": 3}[axis]
     assert g.WELD_DIGITS == 6
+
+
+def test_top_n_is_cut_before_the_shuffle(spark):
+    areas = spark.range(100).select(
+        (F.col("id") % 2).cast("string").alias("mesh_id"), F.col("id").alias("comp"), F.lit(5).cast("bigint").alias("n_faces"), F.col("id").cast("double").alias("area")
+    )
+    totals = areas.groupBy("mesh_id").agg(F.sum("area").alias("total"))
+    for df in (mesh.ranked_components(areas, 8), parts.chosen_labels(areas.withColumnRenamed("comp", "label"), totals)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2, plan

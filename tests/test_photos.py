@@ -191,3 +191,9 @@ def test_lengths_and_names(spark):
         else:
             assert r.p.error
     assert px.MIN_LONG_EDGE == 640
+
+
+def test_samples_are_cut_before_the_shuffle(spark):
+    rows = spark.range(50).select((F.col("id") % 3).cast("int").alias("shoot_id"), F.col("id").alias("seq"), F.lit("a/front.jpg").alias("path"))
+    for df in (photos.first_n(rows), photos.conditioning_views(rows)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
