@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import contamination, fingerprints, mixing, secrets, token_counts
+from facetlake.llm import contamination, fingerprints, languages, mixing, quality, repeats, secrets, token_counts, toxicity
+from facetlake.llm.training import held_out
 from facetlake.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.log_tokens(logs, vocabulary()).withColumnRenamed("job_id", "doc_id")
 
 
+@numbered
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.col("text").alias("name"), "lang")
+    fold = held_out("session_id", 3, 1)
+    found = languages.session_languages(sessions.select("session_id", "name"), sessions.filter(~fold))
+    return found.select(F.col("session_id").alias("doc_id"), fold.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@numbered
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
+    fold = held_out("job_id", 5, 0)
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"), F.col("quality").alias("useful")).filter(~fold)
+    score = F.col("useful_score")
+    return quality.log_quality(logs, marks).select(F.col("job_id").alias("doc_id"), fold.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 @numbered
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
@@ -62,6 +80,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("job_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("spans_text").alias("spans"))
 
 
+@numbered
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
+    return repeats.remove_repeats(logs).select(F.col("job_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 @numbered
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), F.col("source").alias("shoot_id"), words_of("text").alias("size"))
@@ -106,6 +130,15 @@ FROM queued q LEFT JOIN taken t USING (doc_id)
 """
 
 
+@numbered
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.col("text").alias("name"))
+    fold = held_out("session_id", 5, 0)
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id"), "toxic").filter(~fold)
+    score = F.col("toxic_score")
+    return toxicity.session_toxicity(sessions, marks).select(F.col("session_id").alias("doc_id"), fold.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 @numbered
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     meshes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("mesh_id"), F.col("text").alias("mesh_text"))
