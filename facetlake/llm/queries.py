@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import contamination, fingerprints, languages, mixing, quality, repeats, secrets, token_counts, toxicity
+from facetlake.llm import alike, contamination, fingerprints, languages, mixing, quality, repeats, secrets, token_counts, toxicity
 from facetlake.llm.training import held_out
 from facetlake.session import tune
 
@@ -41,6 +41,12 @@ def words_of(text: str) -> F.Column:
     return F.coalesce(F.size(fingerprints.words(F.col(text))), F.lit(0)).cast("long")
 
 
+@numbered
+def op1_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
+    return alike.alike_logs(logs).withColumnsRenamed({"job_id": "doc_id", "alike_id": "component_id"})
+
+
 @numbered
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
