@@ -352,7 +352,8 @@ def alike_logs(logs: DataFrame) -> DataFrame:
         logs: ``job_id`` (long) and ``log``; further columns are left out.
 
     Returns:
-        ``job_id``, ``n_shingles``, ``alike_id``: the smallest ``job_id`` reachable by links, its own included.
+        ``job_id``, ``log_key`` (hash of the log), ``n_shingles``, ``alike_id`` (the smallest ``job_id`` reachable by
+        links, its own included) and ``group_key``, which names the group and is null without shingles.
 
     Logs of fewer than five words are one shingle; null logs and logs without words have none and are linked with
     nothing. Repeated rows stay repeated and are linked like any copies; null ids stay null unless linked with others.
@@ -387,7 +388,26 @@ def alike_logs(logs: DataFrame) -> DataFrame:
         groups = nodes.withColumn("group", F.col("owner"))
     else:
         groups = materialize(components(nodes, links, (), "a", "b", "owner", "group"), "groups")
-    named = known.filter("n > 0").select("job_id", "n", "owner").join(groups, "owner", "left").withColumn("group", F.coalesce("group", "owner"))
+    named = known.filter("n > 0").select("job_id", "log_key", "n", "owner").join(groups, "owner", "left").withColumn("group", F.coalesce("group", "owner"))
     least = named.groupBy("group").agg(F.min("job_id").alias("alike_id"))
-    joined = named.join(least, "group").select("job_id", F.col("n").alias("n_shingles"), "alike_id")
-    return joined.unionByName(known.filter("n = 0").select("job_id", F.col("n").alias("n_shingles"), F.col("job_id").alias("alike_id")))
+    alone = known.filter("n = 0").withColumn("group", F.lit(None).cast("long")).withColumn("alike_id", F.col("job_id"))
+    columns = ["job_id", "log_key", F.col("n").alias("n_shingles"), "alike_id", F.col("group").alias("group_key")]
+    return named.join(least, "group").select(*columns).unionByName(alone.select(*columns))
+
+
+def distinct_logs(logs: DataFrame) -> DataFrame:
+    """One log of each group of near copies, that with the smallest id, with all of its columns.
+
+    Logs without words belong to no group and all stay.
+    """
+    found = materialize(alike_logs(logs), "alike")
+    first = found.filter("group_key is not null").groupBy("group_key").agg(F.min(F.struct("job_id", "log_key")).alias("first")).select("first.*")
+    keyed = logs.withColumn("_key", F.xxhash64("log"))
+    # A filter of its own, so that the join need not carry logs without words.
+    wordless = found.filter("group_key is null").select("job_id", "log_key").distinct()
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys, keyed["job_id"].eqNullSafe(keys["job_id"]) & (keyed["_key"] == keys["log_key"]), "left_semi")
+
+    kept = rows_of(first).dropDuplicates(["job_id", "_key"])
+    return kept.unionByName(rows_of(wordless)).drop("_key")

@@ -10,7 +10,6 @@ number, each block over all shards, and only the slim results of the blocks are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,12 +120,6 @@ class Shard:
         return lo
 
 
-_OUT = pa.schema([
-    ("job_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()),
-    ("items", pa.list_(pa.string())), ("longest", pa.int64()),
-])
-
-
 def _search(items: Items, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[list[str]], np.ndarray]:
     """Words per log, hit word positions per log, items per log and longest match per log."""
     found = words(data, off, ALNUM, lower=True)
@@ -186,14 +179,14 @@ def contaminated_logs(logs: DataFrame, items: DataFrame, window: int = WINDOW, s
         block_items: items sent to the tasks at a time.
 
     Returns:
-        ``job_id``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (ids as sorted strings),
+        ``job_id``, ``log_key`` (hash of the log), ``n_words``, ``n_hit``, ``n_items``, ``items`` (ids as sorted strings),
         ``items_sha256``, ``longest`` (words of the longest verbatim match from a window on),
         ``spans`` (first word and end of every hit stretch), ``contaminated``.
 
     Null and empty logs have no words and are clean. Repeated rows stay repeated; empty tables
     are allowed on either side. A long log is never split, so nothing is lost at a shard's edge.
     """
-    numbered = logs.select(F.col("job_id").cast("long").alias("job_id"), "log")
+    numbered = logs.select(F.col("job_id").cast("long").alias("job_id"), "log", F.xxhash64("log").alias("log_key"))
     listed = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
     blocks = max(1, -(-listed.count() // block_items))
     parts = []
@@ -201,20 +194,24 @@ def contaminated_logs(logs: DataFrame, items: DataFrame, window: int = WINDOW, s
         chosen = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         index = Items([(r.item_id, item_words(r.text)) for r in chosen.toLocalIterator()], window)
         parts.append(_one_block(numbered, index))
-    if len(parts) == 1:
-        joined = parts[0].drop("row_id")
-    else:
-        joined = _combine(parts)
+    joined = parts[0] if len(parts) == 1 else _combine(parts)
     clean = F.col("items")
     return joined.select(
-        "job_id", "n_words", "n_hit", F.size(clean).cast("long").alias("n_items"), "items",
+        "job_id", "log_key", "n_words", "n_hit", F.size(clean).cast("long").alias("n_items"), "items",
         F.sha2(F.array_join(clean, ","), 256).alias("items_sha256"), "longest", "spans",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def clean_logs(logs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The logs that are not contaminated, with all of their columns; see ``contaminated_logs``."""
+    bad = contaminated_logs(logs, items, **options).filter("contaminated").select("job_id", "log_key").distinct()
+    same = logs["job_id"].eqNullSafe(bad["job_id"]) & (F.xxhash64(logs["log"]) == bad["log_key"])
+    return logs.join(bad, same, "left_anti")
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_SCHEMA = "row_id string, job_id long, n_words long, n_hit long, items array<string>, longest long, spans array<struct<start:int,end:int>>"
+_SCHEMA = "job_id long, log_key long, n_words long, n_hit long, items array<string>, longest long, spans array<struct<start:int,end:int>>"
 
 
 def _spans(hits: np.ndarray) -> list[dict[str, int]]:
@@ -231,15 +228,13 @@ def _one_block(logs: DataFrame, index: Items) -> DataFrame:
         for batch in batches:
             for part, data, off in slices(batch, "log"):
                 n_words, hits, named, longest = _search(shipped.value, data, off)
-                # The same row in another block is known by its id and content.
-                keys = [f"{i}-{hashlib.blake2b(data[a:b].tobytes(), digest_size=12).hexdigest()}" for i, a, b in zip(part.column("job_id").to_pylist(), off, off[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys, pa.string()), part.column("job_id"), pa.array(n_words, pa.int64()),
+                        part.column("job_id"), part.column("log_key"), pa.array(n_words, pa.int64()),
                         pa.array([len(h) for h in hits], pa.int64()), pa.array(named, pa.list_(pa.string())),
                         pa.array(longest, pa.int64()), pa.array([_spans(h) for h in hits], _SPANS),
                     ],
-                    ["row_id", "job_id", "n_words", "n_hit", "items", "longest", "spans"],
+                    ["job_id", "log_key", "n_words", "n_hit", "items", "longest", "spans"],
                 )
 
     return logs.mapInArrow(run, _SCHEMA)
@@ -252,7 +247,7 @@ def _combine(parts: list[DataFrame]) -> DataFrame:
         rows = rows.unionByName(part)
     rows = materialize(rows, "blocks")
     copies = len(parts)
-    merged = rows.groupBy("row_id", "job_id", "n_words").agg(
+    merged = rows.groupBy("job_id", "log_key", "n_words").agg(
         (F.count("*") / copies).cast("int").alias("_copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max("longest").alias("longest"),
@@ -276,5 +271,5 @@ def _combine(parts: list[DataFrame]) -> DataFrame:
         merged.withColumn("spans", spans)
         .withColumn("n_hit", hit)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-        .drop("_all", "_copy", "_copies", "row_id")
+        .drop("_all", "_copy", "_copies")
     )

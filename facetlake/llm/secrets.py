@@ -23,6 +23,8 @@ from facetlake.session import scratch_path
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 BASE = KINDS[:3]
 RULE_VERSION = "2024-1"
+#: What a masked secret reads as.
+MARK = "[secret]"
 FINDINGS = "spans array<struct<kind:string,start:int,end:int>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans_text string"
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -114,3 +116,32 @@ def _known(files: DataFrame, ledger: str, rule_version: str) -> DataFrame | None
         return None
     schema = f"sha256 string, {FINDINGS}, rule_version string"
     return spark.read.schema(schema).parquet(ledger).filter(F.col("rule_version") == rule_version).drop("rule_version")
+
+
+def masked(content: str, spans: list[tuple[int, int]]) -> str:
+    """``content`` with every stretch that spans cover replaced by one mark."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if not out or start >= at:
+            out += [content[at:start], MARK]
+        at = max(at, end)
+    return "".join([*out, content[at:]])
+
+
+def mask_files(files: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """The files with every secret in ``content`` replaced by ``MARK``; all columns and rows stay.
+
+    See ``scan_files``. Overlapping spans become one mark; null content stays null.
+    """
+    found = scan_files(files, ledger, rule_version)
+    columns = [c for c in found.columns if c in files.columns or c == "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, spans = batch.column("content").to_pylist(), batch.column("spans").to_pylist()
+            new = [masked(c, [(s["start"], s["end"]) for s in x]) if x else c for c, x in zip(content, spans, strict=True)]
+            names = [n for n in batch.schema.names if n != "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "content" else batch.column(n) for n in names], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*columns).schema.fields if f.name != "spans")
+    return found.select(*columns).mapInArrow(run, fields)
