@@ -30,8 +30,9 @@ PASSAGE = 40
 #: Labelled texts learnt from, for each label, and how much of each: so many characters.
 PER_LABEL = 2500
 TRAIN_CHARS = 20_000
-EPOCHS = 6
-#: Batches at least, and passages of each.
+#: Rounds over the sample, at least and, where it is small, at most.
+EPOCHS, MOST_EPOCHS = 6, 60
+#: Batches to aim for, and passages of each.
 STEPS, BATCH = 800, 32
 
 
@@ -123,12 +124,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
     distinct = Words(np.array([0, len(where)]), found.start[where], found.end[where], found.hash[where], np.zeros(len(where), np.int64))
     which, bucket = subwords(data, distinct)
     order = np.argsort(which, kind="stable")
-    bucket, count = bucket[order], np.bincount(which, minlength=len(where))
+    # Only buckets that were seen have vectors; the others stay without evidence.
+    seen, bucket = np.unique(bucket[order], return_inverse=True)
+    count = np.bincount(which, minlength=len(where))
     begin = np.cumsum(count) - count
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.05, (BUCKETS, DIMENSION)).astype(np.float32)
+    vectors = rng.normal(0, 0.05, (len(seen), DIMENSION)).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)
-    squares, layer_squares, bias_squares = np.full(BUCKETS, 1e-6, np.float32), np.full_like(layer, 1e-6), np.full(2, 1e-6, np.float32)
+    squares, layer_squares, bias_squares = np.full(len(seen), 1e-6, np.float32), np.full_like(layer, 1e-6), np.full(2, 1e-6, np.float32)
 
     def ids(start: int, end: int) -> np.ndarray:
         kinds = np.unique(kind[start:end])
@@ -136,7 +139,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
         return bucket[np.repeat(begin[kinds], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
 
     worded = np.flatnonzero(np.diff(found.first) > 0)
-    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(worded))))
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // max(1, len(worded)))))
     for epoch in range(epochs):
         if epoch * 4 < epochs:
             # First the whole texts, so that the insults stand out before any passage is chosen.
@@ -175,7 +178,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
             vectors[used] -= rate * g_vectors / np.sqrt(squares[used])[:, None]
             layer -= 0.1 * rate * g_layer / np.sqrt(layer_squares)
             bias -= 0.1 * rate * g_bias / np.sqrt(bias_squares)
-    return ToxicModel((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    weight = np.zeros(BUCKETS, np.float32)
+    weight[seen] = vectors @ (layer[:, 1] - layer[:, 0])
+    return ToxicModel(weight, float(bias[1] - bias[0]))
 
 
 def learn(sessions: DataFrame, marks: DataFrame, per_label: int = PER_LABEL, train_chars: int = TRAIN_CHARS) -> ToxicModel:
