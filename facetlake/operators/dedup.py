@@ -93,7 +93,7 @@ def _refined(rows: DataFrame, parents: list[Band], threshold: int) -> DataFrame:
         "path INT, child INT, mask BIGINT, child_prior ARRAY<BIGINT>",
     )
     return rows.join(F.broadcast(table), "path").select(
-        "shoot_id", "seq", "h", *(["h_flip"] if "h_flip" in rows.columns else []),
+        "shoot_id", "seq", "h", *[c for c in ("h_flip", "last") if c in rows.columns],
         F.col("child").alias("path"), F.col("child_prior").alias("prior"),
         F.col("h").bitwiseAND(F.col("mask")).alias("bits"),
     )
@@ -105,12 +105,13 @@ def _join_bucket(late: DataFrame, early: DataFrame, threshold: int, salted: bool
         keys.append("salt")
         late = late.withColumn("salt", F.pmod(F.xxhash64("seq", "path"), F.lit(SALTS)).cast("int"))
         early = early.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    a = late.select(*keys, "seq", "h", "prior")
+    last = F.col("last") if "last" in late.columns else F.col("seq")
+    a = late.select(*keys, "seq", "h", "prior", last.alias("_last"))
     b = early.select(*keys, F.col("seq").alias("seq_e"), F.col("h").alias("h_e"), F.col("h_flip").alias("h_flip_e"))
     apart = F.col("h").bitwiseXOR(F.col("h_e"))
     return (
         a.join(b, keys)
-        .filter((F.col("seq_e") < F.col("seq")) & is_near_duplicate(F.col("h"), F.col("h_e"), F.col("h_flip_e"), threshold))
+        .filter((F.col("seq_e") < F.col("_last")) & is_near_duplicate(F.col("h"), F.col("h_e"), F.col("h_flip_e"), threshold))
         # A pair is reported only by the first band it agrees on, so no distinct is needed.
         .filter(F.forall("prior", lambda m: apart.bitwiseAND(m) != 0))
         .select(
@@ -175,10 +176,30 @@ def representatives(hashes: DataFrame) -> DataFrame:
     )
 
 
+def hash_classes(hashes: DataFrame) -> DataFrame:
+    """Photos of a shoot with equal hashes, mirrored hash included: first ``seq``, ``last`` and their number.
+
+    The rule reads both hashes of the earlier photo, so only photos that agree in both are alike to it.
+    """
+    return hashes.groupBy("shoot_id", "h", "h_flip").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"), F.count("*").alias("n"))
+
+
 def near_duplicate_pairs(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """All near-duplicate pairs between the distinct hashes of each shoot."""
-    reps = materialize(representatives(hashes), "reps")
-    return _union(banded_pairs(reps, reps, threshold))
+    """Near-duplicate pairs of classes: ``shoot_id earlier later d``.
+
+    A row says that each photo of the class of ``later`` duplicates every photo of the class of ``earlier`` that comes
+    before it, and that there is such a pair; both are the first photos of their classes, and may be
+    the same class. With ``near_duplicate_members`` every pair of photos can be told, and a
+    class of many copies is one row.
+    """
+    classes = materialize(hash_classes(hashes), "classes")
+    return _union(banded_pairs(classes, classes, threshold))
+
+
+def near_duplicate_members(hashes: DataFrame) -> DataFrame:
+    """The class of every photo, by its first photo: ``shoot_id seq class``."""
+    keys = ["shoot_id", "h", "h_flip"]
+    return hashes.join(hash_classes(hashes).select(*keys, F.col("seq").alias("class")), keys).select("shoot_id", "seq", "class")
 
 
 def _prefixes(reps: DataFrame, first: int) -> tuple[DataFrame, int]:

@@ -292,9 +292,6 @@ def loss_checks(before: Column, after: Column, budget: Column) -> Column:
 
 # --- cache -------------------------------------------------------------------
 
-FLAT_INPUTS = 10_000
-
-
 def multiset_digest(keys: Sequence[str], rows: DataFrame, value: Column) -> DataFrame:
     """Order-insensitive digest of a group: count and two sums of 60-bit pieces of each row's md5."""
     md5 = F.md5(value)
@@ -307,25 +304,11 @@ def multiset_digest(keys: Sequence[str], rows: DataFrame, value: Column) -> Data
 
 
 def stage_keys(inputs: DataFrame, stage: str, params_json: str) -> DataFrame:
-    """Cache key of a stage per job: hash of stage, parameters and its input fingerprints in sorted order.
-
-    Jobs with more than ``FLAT_INPUTS`` inputs hash an order-insensitive digest of them instead
-    of the list, so no group is ever collected whole.
-    """
-    counts = inputs.groupBy("job_id").agg(F.count("*").alias("_n"))
-    sized = inputs.join(counts, "job_id")
-    listed = (
-        sized.filter(F.col("_n") <= FLAT_INPUTS)
-        .groupBy("job_id")
-        .agg(F.sort_array(F.collect_list("fingerprint")).alias("_l"))
-        .select("job_id", F.concat(F.lit('["'), F.array_join("_l", '", "'), F.lit('"]')).alias("_in"))
-    )
-    digested = multiset_digest(["job_id"], sized.filter(F.col("_n") > FLAT_INPUTS), F.col("fingerprint")).select(
-        "job_id", F.concat(F.lit('"'), F.col("digest"), F.lit('"')).alias("_in")
-    )
-    payload = F.concat(F.lit('{"inputs": '), F.col("_in"), F.lit(f', "params": {params_json}, "stage": "{stage}"}}'))
-    key = F.concat(F.lit(f"{stage}-"), F.substring(F.sha2(payload, 256), 1, 12))
-    return listed.unionByName(digested).select("job_id", key.alias("key"))
+    """Cache key of a stage per job: hash of stage, parameters and an order-insensitive digest of its input
+    fingerprints, so no job's inputs are ever collected."""
+    digested = multiset_digest(["job_id"], inputs, F.col("fingerprint"))
+    payload = F.concat(F.lit('{"inputs": "'), F.col("digest"), F.lit(f'", "params": {params_json}, "stage": "{stage}"}}'))
+    return digested.select("job_id", F.concat(F.lit(f"{stage}-"), F.substring(F.sha2(payload, 256), 1, 12)).alias("key"))
 
 
 def cache_split(requests: DataFrame, done: DataFrame) -> DataFrame:

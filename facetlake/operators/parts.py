@@ -17,8 +17,6 @@ from facetlake.session import materialize
 MIN_FACES = 4
 MIN_AREA_SHARE = 0.01
 MAX_PARTS = 8
-MAX_COMPONENTS = 200
-KMEANS_ROUNDS = 30
 ROUNDS_PER_PLAN = 5
 
 
@@ -106,7 +104,7 @@ def split(
     return connected.unionByName(parts_from_labels(rest, clusters, max_parts, min_share, "cluster"))
 
 
-def cluster_faces(triangles: DataFrame, max_parts: int = MAX_PARTS, rounds: int = KMEANS_ROUNDS) -> DataFrame:
+def cluster_faces(triangles: DataFrame, max_parts: int = MAX_PARTS) -> DataFrame:
     """k-means over face position (in the unit box) and half-weighted normal, per mesh.
 
     k = max(2, min(max_parts, faces/4)). All meshes run in the same rounds. Starting centres are
@@ -160,9 +158,11 @@ def cluster_faces(triangles: DataFrame, max_parts: int = MAX_PARTS, rounds: int
             F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("_m"), F.first("cs").alias("_old")
         ).select("mesh_id", F.transform("_old", lambda c, i: F.coalesce(F.element_at("_m", i), c)).alias("cs"), "_old")
 
-    # A few rounds share one plan; each reads only the centres of the round before.
-    for start in range(0, rounds, ROUNDS_PER_PLAN):
-        for _ in range(min(ROUNDS_PER_PLAN, rounds - start)):
+    # A few rounds share one plan; each reads only the centres of the round before. Every round lowers the sum
+    # of distances, so the centres come to rest.
+    still = False
+    while not still:
+        for _ in range(ROUNDS_PER_PLAN):
             centres = step(centres)
         centres = materialize(centres, "centres")
         moving = F.exists(
@@ -171,8 +171,6 @@ def cluster_faces(triangles: DataFrame, max_parts: int = MAX_PARTS, rounds: int
         )
         still = centres.filter(moving).isEmpty()
         centres = centres.drop("_old")
-        if still:
-            break
     return assign(centres).select("mesh_id", "fid", F.col("label").cast("bigint").alias("label"))
 
 

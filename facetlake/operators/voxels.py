@@ -197,10 +197,11 @@ def surface(voxels: DataFrame, pitch: DataFrame) -> DataFrame:
         "mesh_id", *IJK, "side", "q.half",
         *[((at[t] + F.col(f"q.{k}{t}")) * F.col("pitch")).alias(f"{k}{t}") for k in g.CORNERS for t in g.XYZ],
     )
-    # A face id from cell, side and half: 19 bits per signed index, unique for grids up to 2**19.
+    # A face id from cell, side and half: 19 bits per signed index. Beyond that ids would repeat.
     packed = F.lit(0).cast("bigint")
     for n in IJK:
-        packed = packed * 524288 + (F.col(n) + 262144) % 524288
+        inside = F.col(n).between(-262144, 262143)
+        packed = packed * 524288 + F.when(inside, F.col(n) + 262144).otherwise(F.raise_error(F.lit("cell index beyond 19 bits")).cast("bigint"))
     return out.withColumn("fid", packed * 12 + F.col("side") * 2 + F.col("half")).drop(*IJK, "side", "half")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,8 @@ SQL_OPTIONS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows with whole texts or images are large; small batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -58,14 +62,26 @@ def local_session(cores: int | str = "*", app: str = "facetlake", partitions: in
     return tune(spark)
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temp folder only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only on a local master; executors elsewhere would each write to
+    their own disk, so there an unset folder is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _unset_dirs:
         _unset_dirs[app] = tempfile.mkdtemp(prefix="facetlake-")
+        atexit.register(shutil.rmtree, _unset_dirs[app], ignore_errors=True)
     return _unset_dirs[app]
 
 

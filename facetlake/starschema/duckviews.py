@@ -64,11 +64,10 @@ DUCK_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             sum(CASE WHEN b.g < a.g THEN (1::HUGEINT << (63 - (a.pos - a.pos%8 + (14 - a.pos%8) % 8))::INT) ELSE 0::HUGEINT END) AS f
           FROM pixels a JOIN pixels b ON a.shoot_id=b.shoot_id AND a.seq=b.seq AND b.pos = a.pos - a.pos%8 + (a.pos%8 + 1) % 8
           GROUP BY a.shoot_id, a.seq)"""),
-    "reps": (("hashes",), """
-        SELECT shoot_id, h, min(seq) AS seq, arg_min(h_flip, seq) AS h_flip FROM hashes GROUP BY shoot_id, h"""),
-    "near_pairs": (("reps",), """
-        SELECT a.shoot_id, a.seq AS earlier, b.seq AS later, bit_count(xor(a.h, b.h))::INT AS d
-        FROM reps a JOIN reps b ON a.shoot_id = b.shoot_id AND a.seq < b.seq
+    "near_pairs": (("hashes",), """
+        WITH c AS (SELECT *, min(seq) OVER (PARTITION BY shoot_id, h, h_flip) AS class FROM hashes)
+        SELECT DISTINCT a.shoot_id, a.class AS earlier, b.class AS later, bit_count(xor(a.h, b.h))::INT AS d
+        FROM c a JOIN c b ON a.shoot_id = b.shoot_id AND a.seq < b.seq
         WHERE bit_count(xor(a.h, b.h)) <= 6 AND NOT bit_count(xor(b.h, a.h_flip)) < bit_count(xor(b.h, a.h))"""),
     "boxes": ((), f"""
         SELECT p_brand AS mesh_id, p_partkey, (p_partkey%16)*60 AS x0, ((p_partkey//16)%16)*60 AS y0, (p_partkey//256)*60 AS z0,

@@ -405,7 +405,8 @@ def _(v):
     return v.files.select("doc_id", tx.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-KEYS = """keys AS (SELECT job_id, 's0-ingest-' || sha256('{"inputs": ["' || string_agg(sha256(text)[1:16], '", "' ORDER BY sha256(text)[1:16]) || '"], "params": {"dedup": 6, "long_edge": 1600}, "stage": "s0-ingest"}')[1:12] AS key FROM files GROUP BY job_id)"""
+KEYS = """keys AS (SELECT job_id, 's0-ingest-' || sha256('{"inputs": "' || sha256(count(*) || ':' || sum(('0x' || md5(f)[1:15])::BIGINT)::HUGEINT || ':' || sum(('0x' || md5(f)[17:31])::BIGINT)::HUGEINT)[1:16] || '", "params": {"dedup": 6, "long_edge": 1600}, "stage": "s0-ingest"}')[1:12] AS key
+   FROM (SELECT job_id, sha256(text)[1:16] AS f FROM files) GROUP BY job_id)"""
 PARAMS = '{"dedup": 6, "long_edge": 1600}'
 
 

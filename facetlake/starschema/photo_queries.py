@@ -119,6 +119,11 @@ def _(v):
     return dedup.near_duplicate_pairs(photos.hashes(v.grids))
 
 
+@query("near_duplicate_members", "C1", "SELECT shoot_id, seq, min(seq) OVER (PARTITION BY shoot_id, h, h_flip) AS class FROM hashes", ("hashes",))
+def _(v):
+    return dedup.near_duplicate_members(photos.hashes(v.grids))
+
+
 @query("first_wins_duplicates", "E2 C1", "WITH RECURSIVE " + FIRST_WINS.format(items="hashes", hashes="hashes")
        + " SELECT shoot_id, seq, duplicate_of FROM walk", ("hashes",))
 def _(v):

@@ -14,6 +14,9 @@ WAIT_SECONDS = 3600
 
 
 def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()  # whatever may still come starts after the host is free
+        return
     busy_until = state.get[0] if state.exists else None
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["start_ts", "job_id"])
     accepted = []
@@ -22,21 +25,23 @@ def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         accepted.append(free)
         busy_until = end if free else busy_until
     state.update((busy_until,))
+    state.setTimeoutTimestamp(max(int(busy_until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"job_id": pdf["job_id"].to_numpy(), "host": key[0], "accepted": accepted})
 
 
 def admission_stream(submissions: DataFrame, late: str = "1 day") -> DataFrame:
     """Accept a job iff no accepted job is active on its host. Input: ``job_id host start_ts end_ts``.
 
-    The state of a host is one timestamp. Submissions must arrive in time order across batches up
-    to the watermark.
+    The state of a host is one timestamp, and goes when the watermark passes it. Rows behind the
+    watermark are dropped by Spark. Jobs of one batch are taken in time order; across batches an earlier start
+    that arrives later is judged against what was accepted by then.
     """
     return (
         submissions.withWatermark("start_ts", late)
         .groupBy("host")
         .applyInPandasWithState(
             _admit, "job_id bigint, host bigint, accepted boolean", "busy_until timestamp", "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
@@ -63,50 +68,58 @@ def wait_outcomes(events: DataFrame, wait_seconds: int = WAIT_SECONDS) -> DataFr
 
 
 def _waiter(wait_seconds: int):
+    limit = pd.Timedelta(seconds=wait_seconds)
+
     def wait(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit = pd.Timedelta(seconds=wait_seconds)
-        if state.hasTimedOut:
-            queued = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "outcome": ["timed out"], "ts": [queued + limit]})
-            return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        queued = state.get[0] if state.exists else None
-        if queued is None:
+        queued, times, kinds = state.get if state.exists else (None, [], [])
+        answers = list(zip(times, kinds, strict=True))
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(batches), ignore_index=True)
             starts = pdf.loc[pdf["kind"] == "queued", "ts"]
-            if starts.empty:
+            queued = min([*starts, *([] if queued is None else [queued])], default=None)
+            answers += list(pdf.loc[pdf["kind"] != "queued", ["ts", "kind"]].itertuples(index=False, name=None))
+        watermark = state.getCurrentWatermarkMs()
+        if queued is None:
+            # An answer may come before its request; it is kept while such a request could still arrive.
+            answers = [(ts, kind) for ts, kind in answers if _ms(ts) > watermark]
+            if not answers:
+                if state.exists:
+                    state.remove()
                 return
-            queued = starts.min()
-        answers = pdf[(pdf["kind"] != "queued") & (pdf["ts"] >= queued)].sort_values(["ts", "kind"])
-        if not answers.empty:
-            first = answers.iloc[0]
-            if state.exists:
-                state.remove()
-            if first["ts"] <= queued + limit:
-                outcome = "released" if first["kind"] == "ready" else "failed"
-                yield pd.DataFrame({"job_id": [key[0]], "outcome": [outcome], "ts": [first["ts"]]})
-            else:
-                yield pd.DataFrame({"job_id": [key[0]], "outcome": ["timed out"], "ts": [queued + limit]})
+            state.update((None, [ts for ts, _ in answers], [kind for _, kind in answers]))
+            state.setTimeoutTimestamp(max(_ms(ts) for ts, _ in answers))
             return
-        deadline = int((queued + limit).timestamp() * 1000)
-        if deadline <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "outcome": ["timed out"], "ts": [queued + limit]})
+        first = min(((ts, kind) for ts, kind in answers if ts >= queued), default=None)
+        if first is None and _ms(queued + limit) > watermark:
+            state.update((queued, [], []))
+            state.setTimeoutTimestamp(_ms(queued + limit))
             return
-        state.update((queued,))
-        state.setTimeoutTimestamp(deadline)
+        if state.exists:
+            state.remove()
+        if first is not None and first[0] <= queued + limit:
+            outcome, ts = ("released" if first[1] == "ready" else "failed"), first[0]
+        else:
+            outcome, ts = "timed out", queued + limit
+        yield pd.DataFrame({"job_id": [key[0]], "outcome": [outcome], "ts": [ts]})
 
     return wait
 
 
+def _ms(ts: pd.Timestamp) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1000)
+
+
 def wait_stream(events: DataFrame, wait_seconds: int = WAIT_SECONDS, late: str = "10 minutes") -> DataFrame:
-    """The same outcomes from a stream; the watermark fires the timeouts and bounds the state."""
+    """The same outcomes from a stream; the watermark fires the timeouts and bounds the state.
+
+    Requests and answers may arrive in either order, up to the watermark.
+    """
     return (
         events.withWatermark("ts", late)
         .groupBy("job_id")
         .applyInPandasWithState(
-            _waiter(wait_seconds), "job_id bigint, outcome string, ts timestamp", "queued timestamp", "append",
+            _waiter(wait_seconds), "job_id bigint, outcome string, ts timestamp",
+            "queued timestamp, times array<timestamp>, kinds array<string>", "append",
             GroupStateTimeout.EventTimeTimeout,
         )
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "project bigint, poll_ts timestamp, running bigint, preempted string, presence string"
+#: A project without events for so long is forgotten.
+KEEP = pd.Timedelta(days=30)
 STATE = "running array<string>, teardown boolean, preempted string, last_ts timestamp"
 
 
@@ -91,6 +93,9 @@ def events(polls: DataFrame, times: DataFrame, teardowns: DataFrame) -> DataFram
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold the new events of one project, in time order, into its state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     running, teardown, preempted, last_ts = state.get if state.exists else ([], False, None, None)
     running = set(running)
     pdf = pd.concat(list(batches), ignore_index=True)
@@ -114,14 +119,19 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             seen = "ready" if names else "preempted" if preempted else "absent"
             out.append((key[0], row.ts, len(names), preempted, seen))
     state.update((sorted(running), teardown, preempted, last_ts))
+    quiet = int((pdf["ts"].max() + KEEP).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
     if out:
         yield pd.DataFrame(out, columns=["project", "poll_ts", "running", "preempted", "presence"])
 
 
 def presence_stream(stream: DataFrame, late: str = "2 hours") -> DataFrame:
-    """The same states from a stream of ``project ts kind running``; late events are dropped by watermark."""
+    """The same states from a stream of ``project ts kind running``.
+
+    Spark drops events behind the watermark; a project without events for ``KEEP`` is forgotten.
+    """
     return (
         stream.withWatermark("ts", late)
         .groupBy("project")
-        .applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -67,6 +67,24 @@ def test_banded_join_equals_brute_force(spark, hot):
     assert set(got) == want
 
 
+def test_class_pairs_and_members_tell_every_pair(spark):
+    rng = np.random.default_rng(8)
+    rows = clustered(rng, 90, centres=3, flips=7)
+    rows += [(100 + seq, h, f if seq % 2 else ~f) for seq, h, f in rows[:40]]
+    hashes = spark.createDataFrame([(0, *r) for r in rows], HASHES)
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = {
+        (a[0], b[0]) for a in rows for b in rows
+        if a[0] < b[0] and bits(a[1], b[1]) <= 6 and not bits(b[1], a[2]) < bits(a[1], b[1])
+    }
+    kind = {r.seq: r["class"] for r in dedup.near_duplicate_members(hashes).collect()}
+    found = [(r.earlier, r.later) for r in dedup.near_duplicate_pairs(hashes).collect()]
+    assert len(found) == len(set(found)) and len(found) < len(want)
+    told = set(found)
+    assert {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (kind[a[0]], kind[b[0]]) in told} == want
+    assert told == {(kind[a], kind[b]) for a, b in want}
+
+
 def test_pair_join_has_no_cartesian_product(spark):
     reps = spark.createDataFrame([(0, 1, 5, 9), (0, 2, 7, 9)], HASHES)
     plan = next(iter(dedup.banded_pairs(reps, reps)))._jdf.queryExecution().executedPlan().toString()
