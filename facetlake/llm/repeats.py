@@ -28,6 +28,8 @@ from facetlake.llm.words import Running, grams, slices, words
 from facetlake.session import materialize
 
 WINDOW = 50
+#: Blocks whose windows a task lists at a time.
+_BLOCKS = 20_000
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -87,16 +89,19 @@ def _windows(logs: DataFrame, window: int) -> DataFrame:
             for part, data, off in slices(batch, "log"):
                 found = words(data, off)
                 running = Running(found.hash, 29)
-                for r, blocks in enumerate(part.column("blocks").to_pylist()):
-                    first = np.array([b["first"] for b in blocks], np.int64) + found.first[r]
-                    n = np.array([b["n"] for b in blocks], np.int64)
-                    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    place = np.repeat(first, n) + inside
+                asked = part.column("blocks")
+                blocks = asked.flatten()
+                anchor, content, first, n = (blocks.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("anchor", "content", "first", "n"))
+                row = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
+                for lo in range(0, len(n), _BLOCKS):
+                    some = slice(lo, lo + _BLOCKS)
+                    each = np.repeat(np.arange(len(n))[some], n[some])
+                    inside = np.arange(len(each)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                    place = found.first[row[each]] + first[each] + inside
                     hashed = running.of(place, place + window)
-                    of_block = {c: pa.array(np.repeat(np.array([b[c] for b in blocks], np.int64), n)) for c in ("anchor", "content")}
-                    owner = part.column("job_id").take(pa.array(np.full(len(place), r)))
+                    owner = part.column("job_id").take(pa.array(row[each]))
                     yield pa.RecordBatch.from_arrays(
-                        [of_block["anchor"], of_block["content"], pa.array(hashed.view(np.int64)), owner, pa.array(inside.astype(np.int32))],
+                        [pa.array(anchor[each]), pa.array(content[each]), pa.array(hashed.view(np.int64)), owner, pa.array(inside.astype(np.int32))],
                         ["anchor", "content", "hash", "job_id", "inside"],
                     )
 
@@ -153,8 +158,8 @@ def remove_repeats(logs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
                 rows = []
                 for text, factors in zip(part.column("log"), part.column("factors"), strict=True):
                     found = (text.as_py() or "").encode().split()

@@ -1,6 +1,6 @@
 """Words of whole texts as numpy arrays, for tasks that read Arrow batches.
 
-A batch is cut into slices of whole texts of a few megabytes, so the arrays of a task stay small;
+A batch is cut into slices of whole texts of about a megabyte, so the arrays of a task stay small;
 one very long text is a slice of its own. Words are runs of bytes; UTF-8 keeps every byte of a
 non-ASCII character above 0x7F, so byte classes and character classes agree.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACES = np.ones(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = False
