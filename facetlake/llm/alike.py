@@ -10,11 +10,13 @@ groups that are not yet known to hang together:
 1. Logs with equal sets are one class from the start.
 2. A link needs three quarters of a class's shingles in some other class. The fragments count, for every
    class, how many of its shingles occur in another; most classes end here.
-3. Star rounds: every shingle of the remaining classes points at one holder, drawn anew each round. A
-   fragment counts, per class and holder, the shingles that point there. Summed, that is a lower bound
-   of the overlap, and links it proves join groups. Step 2 follows again, for groups in place of classes.
-4. When a round proves nothing new, what is still open goes through a prefix join on the rarest
-   shingles, whose pairs are verified by summed partial overlaps.
+   What is left is looked at by size bands from here on, for sets of unlike size cannot be linked.
+3. Star rounds: every shingle of the remaining classes points at one holder, the class with the largest
+   share of shingles that others have too, as an original has among its edited copies. A fragment counts, per
+   class and holder, the shingles that point there. Summed, that is a lower bound of the overlap, and links it
+   proves join groups. Step 2 follows again, for groups in place of classes.
+4. When a round no longer closes a good part of what is open, the rest goes through a prefix join on the
+   rarest shingles, whose pairs are verified by summed partial overlaps.
 
 Shingles that tasks see in several groups are not shuffled per holder: a task settles what it can among its
 own rows and sends one row per shingle. So neither a passage that a third of all logs share
@@ -41,8 +43,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles of a fragment, about.
 FRAGMENT = 1_500_000
+#: Star rounds go on while they leave at most this share of the classes open.
+CLOSING = 0.8
 #: Shingles a task handles at a time.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -227,7 +231,11 @@ def _open(classes: DataFrame, bits: int) -> DataFrame:
     shared = counts.select(F.col("owner").alias("second"), F.col("told").alias("with_group"))
     bound = F.coalesce("told", F.lit(0)) + F.coalesce("local", F.lit(0)) + F.coalesce("with_group", F.lit(0))
     bounds = counts.join(seconds, "owner").join(shared, "second", "left").select("owner", bound.alias("bound"))
-    return classes.join(bounds, "owner").filter(F.col("bound") * 100 >= F.col("n") * PERCENT).drop("bound")
+    return _still(classes.drop("bound").join(bounds, "owner"))
+
+
+def _still(counted: DataFrame) -> DataFrame:
+    return counted.filter(F.col("bound") * 100 >= F.col("n") * PERCENT)
 
 
 # ---- star rounds -----------------------------------------------------------------------------------
@@ -248,22 +256,24 @@ def _linked(overlap, na, nb):
     return overlap * 100 >= (na + nb - overlap) * PERCENT
 
 
-_STAR = pa.schema([("frag", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *[(n, pa.binary()) for n in ("tokens", "owners", "groups", "sizes", "runs")]])
+_STAR = pa.schema([("frag", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *[(n, pa.binary()) for n in ("tokens", "owners", "groups", "sizes", "shares", "runs")]])
 
 
 def _star_round(classes: DataFrame, turn: int, bits: int) -> DataFrame:
     """Links ``a b`` between groups that one drawing of holders proves."""
 
-    def drawn(owner: np.ndarray) -> np.ndarray:
-        return np.argsort(np.argsort(mix(owner.view(np.uint64) ^ np.uint64(turn * 7919 + 1)), kind="stable"))
+    def drawn(owner: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Rank as a holder: shares by steps of a twentieth, then a hash that changes with the turn."""
+        return np.argsort(np.lexsort((mix(owner.view(np.uint64) ^ np.uint64(turn * 7919 + 1)), -share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, tokens, row in _chunks(batch):
                 owner, group, n = (_longs(part, c) for c in ("owner", "group", "n"))
-                a, b, count, held = _stars(tokens, row, drawn(owner), group)
+                share = np.minimum(_longs(part, "bound") * 20 // n, 20)
+                a, b, count, held = _stars(tokens, row, drawn(owner, share), group)
                 sure = _linked(count, n[a], n[b])
-                rows = [(-1, int(owner[x]), int(owner[y]), b"", b"", b"", b"", b"") for x, y in zip(a[sure], b[sure], strict=True)]
+                rows = [(-1, int(owner[x]), int(owner[y]), b"", b"", b"", b"", b"", b"") for x, y in zip(a[sure], b[sure], strict=True)]
                 t, r = tokens[held], row[held]
                 frag = (t >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.lexsort((r, frag))
@@ -273,7 +283,7 @@ def _star_round(classes: DataFrame, turn: int, bits: int) -> DataFrame:
                     new = np.flatnonzero(np.append(True, np.diff(r[lo:hi]) != 0))
                     who = r[lo:hi][new]
                     runs = np.diff(np.append(new, hi - lo)).astype(np.int32)
-                    rows.append((int(frag[lo]), None, None, t[lo:hi].tobytes(), owner[who].tobytes(), group[who].tobytes(), n[who].tobytes(), runs.tobytes()))
+                    rows.append((int(frag[lo]), None, None, t[lo:hi].tobytes(), owner[who].tobytes(), group[who].tobytes(), n[who].tobytes(), share[who].tobytes(), runs.tobytes()))
                 if rows:
                     yield _batch(rows, _STAR)
 
@@ -283,12 +293,12 @@ def _star_round(classes: DataFrame, turn: int, bits: int) -> DataFrame:
         owners = np.concatenate([np.frombuffer(b, np.int64) for b in frame.owners])
         names, where, row = np.unique(owners, return_index=True, return_inverse=True)
         group = np.concatenate([np.frombuffer(b, np.int64) for b in frame.groups])[where]
-        n = np.concatenate([np.frombuffer(b, np.int64) for b in frame.sizes])[where]
-        # All fragments must draw the same holders, so the order is that of the hash, not of what is here.
-        a, b, count, _ = _stars(tokens, np.repeat(row, runs), drawn(names), group)
+        n, share = (np.concatenate([np.frombuffer(b, np.int64) for b in column])[where] for column in (frame.sizes, frame.shares))
+        # All fragments draw the same holders, for their order does not depend on what else is here.
+        a, b, count, _ = _stars(tokens, np.repeat(row, runs), drawn(names, share), group)
         return pd.DataFrame({"a": names[a], "b": names[b], "na": n[a], "nb": n[b], "overlap": count})
 
-    told = materialize(classes.mapInArrow(run, "frag long, a long, b long, tokens binary, owners binary, groups binary, sizes binary, runs binary"), "stars")
+    told = materialize(classes.mapInArrow(run, "frag long, a long, b long, tokens binary, owners binary, groups binary, sizes binary, shares binary, runs binary"), "stars")
     partial = told.filter("frag >= 0").groupBy("frag").applyInPandas(fragment, "a long, b long, na long, nb long, overlap long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return told.filter("frag < 0").select("a", "b").unionByName(summed.filter(_linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
@@ -329,17 +339,37 @@ def _prefix_join(classes: DataFrame, parts: int = 16) -> DataFrame:
 # ---- all together ------------------------------------------------------------------------------------------
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
+def _banded(texts: DataFrame) -> DataFrame:
+    """A row per class and size band: ``owner`` of the row, ``class``, ``group``, ``bound``, ``n``, ``tokens``.
+
+    Linked sets differ in size by a third at most, so size classes of that width put both in one of the two
+    bands that each belongs to. Shingles are salted by band: sets of unlike size never meet.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in slices(batch, "log"):
-                sets = shingle_sets(data, off)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("owner"), part.column("owner"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["owner", "group", "n", "tokens"],
-                )
+                rows = []
+                for owner, bound, tokens in zip(part.column("owner").to_pylist(), part.column("bound").to_pylist(), shingle_sets(data, off), strict=True):
+                    at = math.floor(math.log(len(tokens)) / math.log(100 / PERCENT))
+                    for band in (at, at + 1):
+                        salt = mix(np.array([band + 1000], np.uint64))
+                        name = int((mix(np.array([owner], np.int64).view(np.uint64) ^ salt) | np.uint64(1)).view(np.int64)[0])
+                        rows.append((name, owner, owner, bound, len(tokens), np.sort(mix(tokens ^ salt)).tobytes()))
+                if rows:
+                    yield _batch(rows, _BANDED)
 
-    return texts.mapInArrow(run, "owner long, group long, n long, tokens binary")
+    return texts.mapInArrow(run, "owner long, class long, group long, bound long, n long, tokens binary")
+
+
+_BANDED = pa.schema([*[(c, pa.int64()) for c in ("owner", "class", "group", "bound", "n")], ("tokens", pa.binary())])
+
+
+def _of_classes(links: DataFrame, class_of: DataFrame) -> DataFrame:
+    """Links between rows as links between their classes."""
+    for end in "ab":
+        links = links.join(class_of.select(F.col("owner").alias(end), F.col("class").alias(f"_{end}")), end)
+    return links.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def alike_logs(logs: DataFrame) -> DataFrame:
@@ -365,25 +395,32 @@ def alike_logs(logs: DataFrame) -> DataFrame:
     counted = _counted(_note_logs(keyed, _bits(size / 6)))
     classes = known.filter("n > 0").groupBy("owner", "check", "n").agg(F.min(F.struct("job_id", "log_key")).alias("rep"))
     bound = F.coalesce("told", F.lit(0)) + F.coalesce("local", F.lit(0))
-    asked = materialize(classes.join(counted, "owner").filter(bound * 100 >= F.col("n") * PERCENT).select("owner", F.col("rep.*")), "asked")
-    chosen = keyed.join(asked, keyed["job_id"].eqNullSafe(asked["job_id"]) & (keyed["log_key"] == asked["log_key"])).select("owner", "log")
-    open_ = materialize(_tokens(chosen.dropDuplicates(["owner"])), "classes")
-    nodes = open_.select("owner")
-    links = None
-    turn, done = 0, False
-    while not done:
+    asked = materialize(_still(classes.join(counted, "owner").withColumn("bound", bound)).select("owner", "bound", F.col("rep.*")), "asked")
+    chosen = keyed.join(asked, keyed["job_id"].eqNullSafe(asked["job_id"]) & (keyed["log_key"] == asked["log_key"])).select("owner", "bound", "log")
+    rows_of = materialize(_banded(chosen.dropDuplicates(["owner"])), "classes")
+    class_of = rows_of.select("owner", "class")
+    nodes = class_of.select(F.col("class").alias("owner")).distinct()
+    open_, links, turn = rows_of, None, 0
+    total, rows = open_.agg(F.sum("n"), F.count("*")).first()
+    if rows:
+        open_ = materialize(_open(open_, _bits(total)), "classes")
         total, rows = open_.agg(F.sum("n"), F.count("*")).first()
-        if not rows:
-            break
-        bits = _bits(total)
-        found = materialize(_star_round(open_, turn, bits), "links")
-        if found.isEmpty():
-            found, done = materialize(_prefix_join(open_), "links"), True
-        links = found if links is None else links.unionByName(found)
-        if not done:
-            turn += 1
+    while rows:
+        bits, before = _bits(total), rows
+        found = _star_round(open_, turn, bits)
+        found = materialize(_of_classes(found, class_of), "links")
+        proven = not found.isEmpty()
+        if proven:
+            links = found if links is None else links.unionByName(found)
             groups = materialize(components(nodes, links, (), "a", "b", "owner", "group"), "groups")
-            open_ = materialize(_open(open_.drop("group").join(groups, "owner"), bits), "classes")
+            regrouped = open_.drop("group").join(groups.withColumnRenamed("owner", "class"), "class")
+            open_ = materialize(_open(regrouped, bits), "classes")
+            total, rows = open_.agg(F.sum("n"), F.count("*")).first()
+            turn += 1
+        if rows and (not proven or rows > CLOSING * before):
+            rest = materialize(_of_classes(_prefix_join(open_), class_of), "links")
+            links = rest if links is None else links.unionByName(rest)
+            break
     if links is None:
         groups = nodes.withColumn("group", F.col("owner"))
     else:
