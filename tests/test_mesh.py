@@ -252,7 +252,7 @@ def test_level_merge_equals_sequential_merge(spark):
 
 
 def test_labels_reach_the_end_of_a_long_strip(spark):
-    n = 90
+    n = 70
     labels = spark.range(n).select(F.lit("m").alias("mesh_id"), F.col("id").alias("fid"), F.when(F.col("id") == 0, 7).otherwise(-1).cast("bigint").alias("label"))
     strip = spark.range(n - 2).select(F.lit("m").alias("mesh_id"), F.col("id").alias("fa"), (F.col("id") + 1).alias("fb"))
     got = {r.fid: r.label for r in views.propagate(labels, strip).collect()}
