@@ -28,8 +28,8 @@ DIMENSION = 8
 #: Words of a passage.
 PASSAGE = 40
 #: Labelled texts learnt from, for each label, and how much of each: so many characters.
-PER_LABEL = 2500
-TRAIN_CHARS = 20_000
+PER_LABEL = 1500
+TRAIN_CHARS = 10_000
 #: Rounds over the sample, at least and, where it is small, at most.
 EPOCHS, MOST_EPOCHS = 6, 60
 #: Batches to aim for, and passages of each.
@@ -111,6 +111,18 @@ class ToxicModel:
         return sigmoid(best + self.bias)
 
 
+def _words_in_parts(data: np.ndarray, off: np.ndarray, texts: int = 200) -> Words:
+    """``words`` of a few texts at a time, for a driver with little memory."""
+    parts, base = [], 0
+    for lo in range(0, len(off) - 1, texts):
+        some = off[lo : lo + texts + 1]
+        w = words(data[some[0] : some[-1]], some - some[0], ALNUM)
+        parts.append((w.first[:-1] + base, w.start + some[0], w.end + some[0], w.hash, w.row + lo))
+        base += len(w.hash)
+    first, start, end, hashed, row = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return Words(np.append(first, base), start, end, hashed, row)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
     """Learn from whole texts and their 0/1 labels; without both labels every score is the share of ones."""
     y = np.array(labels, np.int64)
@@ -119,7 +131,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
         return ToxicModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     raw = [t.lower().encode() for t in texts]
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
-    found = words(data, off, ALNUM)
+    found = _words_in_parts(data, off)
     _, where, kind = np.unique(found.hash, return_index=True, return_inverse=True)
     distinct = Words(np.array([0, len(where)]), found.start[where], found.end[where], found.hash[where], np.zeros(len(where), np.int64))
     which, bucket = subwords(data, distinct)
