@@ -1,6 +1,6 @@
 """Useful and useless job logs, told by the votes of the nearest labelled logs.
 
-A log is a bag of hashed byte trigrams, weighted by rarity, projected onto the latent directions of the labelled
+A log is a bag of hashed byte trigrams and repetitions, weighted by rarity, projected onto the latent directions of the labelled
 sample (a truncated SVD). The labelled vectors are few by a documented bound and go to every task;
 each log is compared with all of them in blocks of exact cosine products, and its nearest ones
 vote with their similarity.
@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from facetlake.llm.training import sample_ids, sample_texts
-from facetlake.llm.words import slices
+from facetlake.llm.words import slices, words
 
-TERMS = 4096
+TRIGRAMS = 4096
+#: An immediate repetition of a word counts like so many trigrams.
+REPEATED = 24
+TERMS = TRIGRAMS + REPEATED
 LATENT = 64
 NEIGHBOURS = 25
 #: Labelled logs of each label that become voters.
@@ -27,7 +30,7 @@ _ROWS = 128
 
 
 def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Hashed counts of the byte trigrams of each text; the text's ends count as line ends."""
+    """Hashed counts of the byte trigrams of each text, whose ends count as line ends, and of words said twice in a row."""
     n = len(off) - 1
     out = np.zeros(len(data) + 2 * n, np.uint32) + np.uint32(0x0A)
     row = np.repeat(np.arange(n), np.diff(off))
@@ -37,7 +40,11 @@ def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         term = ((code * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
     inside = owner[:-2] == owner[2:]
-    return np.bincount(owner[:-2][inside] * TERMS + term[inside], minlength=n * TERMS).reshape(n, TERMS)
+    trigrams = np.bincount(owner[:-2][inside] * TRIGRAMS + term[inside], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
+    found = words(data, off)
+    again = (found.hash[1:] == found.hash[:-1]) & (found.row[1:] == found.row[:-1])
+    repeats = np.bincount(found.row[1:][again], minlength=n)
+    return np.concatenate((trigrams, np.repeat(repeats[:, None], REPEATED, 1)), 1)
 
 
 @dataclass

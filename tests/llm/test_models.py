@@ -117,10 +117,11 @@ def test_votes_equal_brute_force():
 
 
 def test_trigrams_stay_inside_texts():
-    texts = [b"", b"a", b"abab", b"\n"]
+    texts = [b"", b"a", b"abab", b"\n", b"x x  x y", b"x"]
     data, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
     counts = quality.term_counts(data, off)
-    assert counts.sum(1).tolist() == [len(t) for t in texts]
+    assert counts[:, : quality.TRIGRAMS].sum(1).tolist() == [len(t) for t in texts]
+    assert counts[:, -1].tolist() == [0, 0, 0, 0, 2, 0]
     for r, t in enumerate(texts):
         alone = quality.term_counts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         assert (alone[0] == counts[r]).all()
