@@ -10,9 +10,8 @@ from facetlake.operators.nearest import nearest_normals
 from facetlake.operators.views import raster_rows
 from facetlake.session import materialize
 
-# Barycentric slack and background colour of the map.
+# Fixed value: barycentric slack.
 SLACK = 1e-5
-BACKGROUND = (128, 128, 255)
 
 
 def texels(triangles: DataFrame, resolution: int) -> DataFrame:

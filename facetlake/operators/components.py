@@ -1,8 +1,8 @@
 """Connected components by repeated contraction.
 
 Each round every node points at its smallest neighbour, pointers are doubled until they reach
-a root, and the graph is contracted onto the roots, so nodes with an edge at least halve per
-round. Labels of the levels are composed backwards: a node ends with the smallest id of its
+a root, and the graph is contracted onto the roots. A star whose centre has the largest id loses only
+that centre in its first round; over two rounds the nodes with an edge at least halve. Labels of the levels are composed backwards: a node ends with the smallest id of its
 component.
 """
 

@@ -204,7 +204,6 @@ def conditioning_views(paths: DataFrame, limit: int = 4) -> DataFrame:
     order = F.array(*[F.lit(t) for t in CARDINALS])
     chosen = view_map(paths).select("shoot_id", "seq", F.array_position(order, F.col("tag")).alias("_slot"))
     priority = F.struct(F.coalesce("_slot", F.lit(len(CARDINALS) + 1)), F.col("seq"))
-    # Only `limit` candidates per priority class can survive, so cut before joining.
     ranked = paths.join(chosen, ["shoot_id", "seq"], "left").withColumn(
         "slot", F.row_number().over(Window.partitionBy("shoot_id").orderBy(priority))
     )

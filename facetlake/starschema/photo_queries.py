@@ -9,11 +9,6 @@ from facetlake.operators import dedup, frames, photos
 from facetlake.starschema.registry import query
 
 
-def _verdict_rows(v):
-    scored = photos.scores(v.grids).join(v.photos.drop("grid"), ["shoot_id", "seq"])
-    return photos.verdicts(scored)
-
-
 def _scored(v):
     """Scores in one pass over the photo rows, without a join."""
     grid = F.col("grid")

@@ -289,3 +289,13 @@ def test_keyed_table_round_trip(spark, tmp_path):
     assert sorted((r.mesh_id, r.fid) for r in back.collect()) == [("a", 1), ("b", 2), ("b", 12)]
     plan = back.filter("mesh_id = 'b'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull" in plan
+
+
+def test_shared_folder_is_needed_beyond_a_local_master(spark, monkeypatch):
+    from facetlake import session
+
+    assert session.is_local("local") and session.is_local("local[8]") and not session.is_local("local-cluster[2,1,1024]")
+    monkeypatch.setattr(session, "is_local", lambda master: False)
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch_path(spark, "x")

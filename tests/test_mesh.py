@@ -251,6 +251,15 @@ def test_level_merge_equals_sequential_merge(spark):
         assert len(pairs) == len(set(want)) == len(set(mine.values()))
 
 
+def test_components_of_a_star_with_the_largest_centre(spark):
+    from facetlake.operators.components import components
+
+    spokes = spark.range(60).select(F.col("id").alias("a"), F.lit(99).cast("bigint").alias("b"))
+    nodes = spark.range(100).select(F.col("id").alias("fid"))
+    got = {r.fid: r.comp for r in components(nodes, spokes, (), "a", "b").collect()}
+    assert got == {i: 0 if i < 60 or i == 99 else i for i in range(100)}
+
+
 def test_labels_reach_the_end_of_a_long_strip(spark):
     n = 70
     labels = spark.range(n).select(F.lit("m").alias("mesh_id"), F.col("id").alias("fid"), F.when(F.col("id") == 0, 7).otherwise(-1).cast("bigint").alias("label"))

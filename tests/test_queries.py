@@ -15,7 +15,7 @@ def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", NAMES[::4])
+@pytest.mark.parametrize("name", NAMES[::2])
 def test_query_equals_sql(spark, small, con, name):
     ok, note, _ = compare(spark, entry.queries()[name], name, small, con, entry.oracle_sql()[name])
     assert ok, note
