@@ -7,15 +7,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_RANGE = 1 << 40
+
+
 def sample_ids(marks: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """At most ``per_label`` keys of each non-null label: those with the smallest hash of the key.
 
-    Rows that repeat a key count once, with their largest label. Spark cuts each label's rows in every task
-    before they meet, so a label that most rows carry is no burden.
+    Rows that repeat a key count once, with their largest label. A label's count says which part of the hash
+    range holds about twice the rows wanted; only those rows are ordered, so a label that most rows
+    carry is no burden to one task.
     """
     marked = marks.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    return marked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_label).drop("_n")
+    hashed = marked.withColumn("_h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(_RANGE)))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_label + 100) / F.count("*"))
+    cuts = marked.groupBy(label).agg((share * _RANGE).alias("_cut"))
+    near = hashed.join(F.broadcast(cuts), label).filter(F.col("_h") < F.col("_cut"))
+    order = Window.partitionBy(label).orderBy("_h", key)
+    return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_label).select(key, label)
 
 
 def sample_texts(records: DataFrame, key: str, text: str, chosen: DataFrame, label: str) -> DataFrame:
