@@ -123,6 +123,13 @@ def _words_in_parts(data: np.ndarray, off: np.ndarray, texts: int = 200) -> Word
     return Words(np.append(first, base), start, end, hashed, row)
 
 
+def _word_buckets(data: np.ndarray, found: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of some words, word by word, and how many each has."""
+    chosen = Words(np.array([0, len(some)]), found.start[some], found.end[some], found.hash[some], np.zeros(len(some), np.int64))
+    which, bucket = subwords(data, chosen)
+    return bucket[np.argsort(which, kind="stable")].astype(np.int32), np.bincount(which, minlength=len(some))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
     """Learn from whole texts and their 0/1 labels; without both labels every score is the share of ones."""
     y = np.array(labels, np.int64)
@@ -133,12 +140,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
     found = _words_in_parts(data, off)
     _, where, kind = np.unique(found.hash, return_index=True, return_inverse=True)
-    distinct = Words(np.array([0, len(where)]), found.start[where], found.end[where], found.hash[where], np.zeros(len(where), np.int64))
-    which, bucket = subwords(data, distinct)
-    order = np.argsort(which, kind="stable")
+    parts = [_word_buckets(data, found, where[lo : lo + 20_000]) for lo in range(0, len(where), 20_000)]
+    bucket, count = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     # Only buckets that were seen have vectors; the others stay without evidence.
-    seen, bucket = np.unique(bucket[order], return_inverse=True)
-    count = np.bincount(which, minlength=len(where))
+    mark = np.zeros(BUCKETS, bool)
+    mark[bucket] = True
+    seen = np.flatnonzero(mark)
+    bucket = (np.cumsum(mark) - 1).astype(np.int32)[bucket]
     begin = np.cumsum(count) - count
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (len(seen), DIMENSION)).astype(np.float32)
