@@ -321,11 +321,16 @@ def _prefix_join(classes: DataFrame, parts: int = 16) -> DataFrame:
     own = Window.partitionBy("owner")
     place = F.row_number().over(own.orderBy("df", "token"))
     # Of the shingles no other group has, all could be missing from the overlap; the rest of the slack is the prefix.
-    length = F.count("*").over(own) - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = materialize(entries.withColumn("_p", place).withColumn("_l", length).filter("_p <= _l").select("token", "owner", "group", "n"), "prefix")
-    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("owner", "group", "n")]) for s in "ab")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = a.join(b, "token").filter((F.col("owner_a") < F.col("owner_b")) & (F.col("group_a") != F.col("group_b")) & (small * 100 >= large * PERCENT))
+    shared = F.count("*").over(own)
+    length = shared - F.ceil(F.col("n") * PERCENT / 100) + 1
+    placed = entries.withColumn("_p", place).withColumn("shared", shared).withColumn("_l", length)
+    prefix = materialize(placed.filter("_p <= _l").select("token", "owner", "group", "n", "shared"), "prefix")
+    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("owner", "group", "n", "shared")]) for s in "ab")
+    # An overlap has only shingles that both share with other groups. Copies that have lost too many of an
+    # original's to be linked with their likes are told apart by this before any pair is made.
+    apart = (F.col("owner_a") < F.col("owner_b")) & (F.col("group_a") != F.col("group_b"))
+    enough = _linked(F.least("shared_a", "shared_b"), F.col("n_a"), F.col("n_b"))
+    pairs = a.join(b, "token").filter(apart & enough)
     pairs = materialize(pairs.select("owner_a", "owner_b", "n_a", "n_b").distinct(), "pairs")
     cut = entries.groupBy("owner", F.pmod("token", F.lit(parts)).alias("part")).agg(F.collect_list("token").alias("tokens"))
     cut = materialize(cut, "segments")
