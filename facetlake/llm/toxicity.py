@@ -27,9 +27,10 @@ BUCKETS = 1 << 17
 DIMENSION = 8
 #: Words of a passage.
 PASSAGE = 40
-#: Labelled texts learnt from, for each label, and how much of each: so many characters.
+#: Labelled texts learnt from, for each label.
 PER_LABEL = 1500
-TRAIN_CHARS = 10_000
+#: Words of a sample whose passages are looked at together.
+TOGETHER = 200_000
 #: Rounds over the sample, at least and, where it is small, at most.
 EPOCHS, MOST_EPOCHS = 6, 60
 #: Batches to aim for, and passages of each.
@@ -111,37 +112,45 @@ class ToxicModel:
         return sigmoid(best + self.bias)
 
 
-def _words_in_parts(data: np.ndarray, off: np.ndarray, texts: int = 200) -> Words:
-    """``words`` of a few texts at a time, for a driver with little memory."""
-    parts, base = [], 0
-    for lo in range(0, len(off) - 1, texts):
-        some = off[lo : lo + texts + 1]
-        w = words(data[some[0] : some[-1]], some - some[0], ALNUM)
-        parts.append((w.first[:-1] + base, w.start + some[0], w.end + some[0], w.hash, w.row + lo))
-        base += len(w.hash)
-    first, start, end, hashed, row = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return Words(np.append(first, base), start, end, hashed, row)
+def coded(text: str) -> tuple[bytes, bytes]:
+    """A whole text as its distinct words, joined by spaces, and the number among them of every word."""
+    raw = text.lower().encode()
+    found = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+    _, where, kind = np.unique(found.hash, return_index=True, return_inverse=True)
+    return b" ".join(raw[found.start[i] : found.end[i]] for i in where), kind.astype(np.int32).tobytes()
 
 
-def _word_buckets(data: np.ndarray, found: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_buckets(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of some words, word by word, and how many each has."""
-    chosen = Words(np.array([0, len(some)]), found.start[some], found.end[some], found.hash[some], np.zeros(len(some), np.int64))
-    which, bucket = subwords(data, chosen)
+    end = np.cumsum([len(w) for w in some])
+    start = np.append(0, end[:-1])
+    chosen = Words(np.array([0, len(some)]), start, end, np.zeros(len(some), np.uint64), np.zeros(len(some), np.int64))
+    which, bucket = subwords(np.frombuffer(b"".join(some), np.uint8), chosen)
     return bucket[np.argsort(which, kind="stable")].astype(np.int32), np.bincount(which, minlength=len(some))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
     """Learn from whole texts and their 0/1 labels; without both labels every score is the share of ones."""
+    return fit([coded(t) for t in texts], labels, seed)
+
+
+def fit(texts: list[tuple[bytes, bytes]], labels: list[int], seed: int = 7) -> ToxicModel:
+    """``train`` from texts as ``coded`` gives them."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return ToxicModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    raw = [t.lower().encode() for t in texts]
-    data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
-    found = _words_in_parts(data, off)
-    _, where, kind = np.unique(found.hash, return_index=True, return_inverse=True)
-    parts = [_word_buckets(data, found, where[lo : lo + 20_000]) for lo in range(0, len(where), 20_000)]
+    known: dict[bytes, int] = {}
+    numbered = []
+    for names, kinds in texts:
+        own = np.array([known.setdefault(w, len(known)) for w in names.split(b" ")] if names else [], np.int32)
+        numbered.append(own[np.frombuffer(kinds, np.int32)])
+    starts, kind = np.append(0, np.cumsum([len(k) for k in numbered])), np.concatenate(numbered)
+    del numbered
+    listed = list(known)
+    parts = [_word_buckets(listed[lo : lo + 20_000]) for lo in range(0, len(listed), 20_000)]
     bucket, count = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    del known, listed, parts
     # Only buckets that were seen have vectors; the others stay without evidence.
     mark = np.zeros(BUCKETS, bool)
     mark[bucket] = True
@@ -158,22 +167,47 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
         size = count[kinds]
         return bucket[np.repeat(begin[kinds], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
 
-    worded = np.flatnonzero(np.diff(found.first) > 0)
+    def spans() -> Iterator[tuple[int, int]]:
+        """Ranges of texts of about ``TOGETHER`` words."""
+        lo = 0
+        while lo < len(y):
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + TOGETHER, "right")) - 1)
+            yield lo, hi
+            lo = hi
+
+    def best(own: np.ndarray) -> list[np.ndarray]:
+        """Text and first word of the passage that scores highest in each text."""
+        found = []
+        for lo, hi in spans():
+            some = kind[starts[lo] : starts[hi]]
+            row_of = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+            row, start, mean = passages(Words(starts[lo : hi + 1] - starts[lo], some, some, some.astype(np.uint64), row_of), own[some], count[some])
+            order = np.lexsort((mean, row))
+            last = order[np.append(np.flatnonzero(np.diff(row[order])), len(order) - 1)] if len(order) else order
+            found.append((row[last] + lo, start[last] + starts[lo]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+    size = np.diff(starts)
+    worded = np.flatnonzero(size > 0)
+    # Passages of the clean texts, counted as ``passages`` lists them.
+    clean = worded[y[worded] == 0]
+    upto = np.cumsum(np.maximum(0, size[clean] - PASSAGE + 3) // 4 + 1)
     epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // max(1, len(worded)))))
     for epoch in range(epochs):
         if epoch * 4 < epochs:
             # First the whole texts, so that the insults stand out before any passage is chosen.
-            chosen = [(int(found.first[r]), int(found.first[r + 1]), int(r)) for r in worded]
+            chosen = [(int(starts[r]), int(starts[r + 1]), int(r)) for r in worded]
         else:
             weight = vectors @ (layer[:, 1] - layer[:, 0])
             own = np.add.reduceat(weight[bucket], begin) if len(bucket) else np.zeros(0)
-            row, start, mean = passages(found, own[kind], count[kind])
-            best = np.lexsort((mean, row))
-            last = best[np.append(np.flatnonzero(np.diff(row[best])), len(best) - 1)]
+            row, start = best(own)
             # A random passage of clean texts keeps ordinary text in sight.
-            clean = np.flatnonzero(y[row] == 0)
-            more = rng.choice(clean, min(len(clean), len(y) // 3), replace=False)
-            chosen = [(int(start[i]), int(min(start[i] + PASSAGE, found.first[row[i] + 1])), int(row[i])) for i in np.append(last, more)]
+            more = rng.choice(int(upto[-1]), min(int(upto[-1]), len(y) // 3), replace=False) if len(upto) else np.zeros(0, np.int64)
+            at = np.searchsorted(upto, more, "right")
+            inside = (more - np.append(0, upto)[at]) * 4
+            row = np.append(row, clean[at])
+            start = np.append(start, starts[clean[at]] + np.minimum(inside, np.maximum(0, size[clean[at]] - PASSAGE)))
+            chosen = [(int(s), int(min(s + PASSAGE, starts[r + 1])), int(r)) for s, r in zip(start, row, strict=True)]
         rng.shuffle(chosen)
         rate = 0.5 * (1 - epoch / epochs) + 0.05
         for lo in range(0, len(chosen), BATCH):
@@ -203,12 +237,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicModel:
     return ToxicModel(weight, float(bias[1] - bias[0]))
 
 
-def learn(sessions: DataFrame, marks: DataFrame, per_label: int = PER_LABEL, train_chars: int = TRAIN_CHARS) -> ToxicModel:
-    """A model from at most ``per_label`` marked sessions of each label, ``train_chars`` characters of each."""
+def learn(sessions: DataFrame, marks: DataFrame, per_label: int = PER_LABEL) -> ToxicModel:
+    """A model from at most ``per_label`` marked sessions of each label. Tasks code their whole texts."""
     chosen = sample_ids(marks, "session_id", "toxic", per_label)
-    rows = sample_texts(sessions, "session_id", "name", chosen, "toxic").selectExpr("_key", f"left(coalesce(text, ''), {train_chars}) AS text", "label").collect()
-    rows.sort(key=lambda r: (str(r["_key"]), r["text"]))
-    return train([r["text"] for r in rows], [int(r["label"]) for r in rows])
+    sample = sample_texts(sessions, "session_id", "name", chosen, "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in slices(batch):
+                both = [coded(t or "") for t in part.column("text").to_pylist()]
+                columns = [pa.array([str(k) for k in part.column("_key").to_pylist()], pa.string()), part.column("label").cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([b[i] for b in both], pa.binary()) for i in (0, 1))], ["k", "label", "names", "kinds"])
+
+    rows = sample.mapInArrow(run, "k string, label long, names binary, kinds binary").collect()
+    rows.sort(key=lambda r: (r["k"], r["names"], r["kinds"]))
+    return fit([(bytes(r["names"]), bytes(r["kinds"])) for r in rows], [int(r["label"]) for r in rows])
 
 
 def session_toxicity(sessions: DataFrame, marks: DataFrame, model: ToxicModel | None = None) -> DataFrame:

@@ -207,3 +207,18 @@ def test_toxicity_edges(spark):
     assert all(r.toxic_score < 0.01 for r in none)
     assert toxicity.session_toxicity(sessions.limit(0), marks).count() == 0
     assert sessions.select(F.col("name")).count() == len(got)
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """Insults that stand after 12,000 clean characters are learnt, and the tasks' coding changes nothing."""
+    rng = random.Random(3)
+    plain = lambda n: " ".join("".join(rng.choices(["ta", "ro", "mi", "sel", "bo", "kan"], k=3)) for _ in range(n))
+    rows = [(i, plain(1800) + (" grontch vilpax smurgle" * 5 if i % 2 else " taromi selbo kanta" * 5)) for i in range(60)]
+    assert min(r[1].find("grontch") for r in rows if r[0] % 2) > 12_000
+    sessions, marks = frame(spark, rows, "session_id long, name string"), frame(spark, [(i, i % 2) for i, _ in rows], "session_id long, toxic int")
+    model = toxicity.learn(sessions.repartition(3), marks)
+    got = scores(model, [t for _, t in rows] + [plain(30) + " grontch vilpax smurgle", plain(33)])
+    assert ((got >= 0.5) == np.array([i % 2 == 1 for i, _ in rows] + [True, False])).all()
+    rows.sort(key=lambda r: str(r[0]))
+    whole = toxicity.train([t for _, t in rows], [i % 2 for i, _ in rows])
+    assert np.array_equal(model.weight, whole.weight) and model.bias == whole.bias
