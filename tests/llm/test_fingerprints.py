@@ -86,3 +86,27 @@ def test_equal_texts_and_containment(spark):
 def test_no_python_in_the_plan(spark, small):
     plan = QUERIES["op10_fingerprints"](spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_likeness_is_exact_containment(spark, small):
+    """Both likenesses against plain 5-word shingles, short texts among them; a short text inside a long one reads 1."""
+
+    def shingles(text):
+        ws = SPACED.findall(text or "")
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    docs |= {10**9 + i: " ".join(f"w{j}" for j in range(i * 30, i * 30 + (14, 200)[i % 2])) for i in range(40)}
+    docs[10**9 + 100], docs[10**9 + 101] = " ".join(f"v{j}" for j in range(3000)), " ".join(f"v{j}" for j in range(50, 64))
+    order = sorted(docs, reverse=True)
+    got = {r.mesh_id: r for r in re_export_report(frame(spark, list(docs.items()), "mesh_id long, mesh_text string")).collect()}
+    assert got[10**9 + 101].near_next == 1.0
+    short = 0
+    for at, key in enumerate(order):
+        text, nxt = docs[key] or "", docs[order[(at + 1) % len(order)]] or ""
+        third = len(text) // 3
+        a = shingles(text)
+        short += len(a) < 80
+        assert got[key].near_edited == pytest.approx(near(a, shingles(text[: len(text) - third] + nxt[:third]))), key
+        assert got[key].near_next == pytest.approx(near(a, shingles(nxt))), key
+    assert short > 40
