@@ -22,7 +22,7 @@ from facetlake.session import scratch_path
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 BASE = KINDS[:3]
-RULE_VERSION = "2024-1"
+RULE_VERSION = "2024-2"
 #: What a masked secret reads as.
 MARK = "[secret]"
 FINDINGS = "spans array<struct<kind:string,start:int,end:int>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans_text string"
@@ -35,6 +35,23 @@ _LONG = (
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
 )
 
+_PEM_EDGE = re.compile(r"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----")
+# Line ends may be escaped, as in JSON; encrypted keys have header lines.
+_PEM_HEADS = r"(?:(?:\s|\\[nr])*+[A-Za-z-]{2,20}:\x20[^\r\n\\]*+(?=[\r\n\\]))*+"
+_PEM_WHOLE = re.compile(rf"""{_PEM_HEADS}(?:[A-Za-z0-9+/=\s"',>|#]|\\[nr])*+""")
+_PEM_CUT = re.compile(rf"{_PEM_HEADS}(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)*+(?:(?:\r?\n|\\n)[A-Za-z0-9+/=]++(?=\s*(?:[\r\n\\]|$)))?")
+
+
+def _key_ends(content: str) -> dict[int, int]:
+    """Where the private key that begins at each BEGIN line ends: with its END line, or where its base64 lines stop."""
+    edges = list(_PEM_EDGE.finditer(content))
+    ends = {}
+    for edge, after in zip(edges, [*edges[1:], None], strict=True):
+        if edge[1] == "BEGIN":
+            closed = after is not None and after[1] == "END" and _PEM_WHOLE.fullmatch(content, edge.end(), after.start())
+            ends[edge.start()] = after.end() if closed else _PEM_CUT.match(content, edge.end()).end()
+    return ends
+
 
 def spans_of(content: str) -> list[tuple[str, int, int]]:
     """All spans of one content as (kind, start, end) in code points, by start, then kind."""
@@ -42,6 +59,9 @@ def spans_of(content: str) -> list[tuple[str, int, int]]:
     # A run that must have 12 or 32 characters matches exactly where the open run of that length does.
     for kind, pattern in _LONG:
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(content)]
+    if any(s[0] == "pem" for s in found):
+        ends = _key_ends(content)
+        found = [(kind, start, ends.get(start, end) if kind == "pem" else end) for kind, start, end in found]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -106,3 +107,18 @@ def test_ledger_scans_each_content_and_rule_version_once(spark, tmp_path):
         spans = [(s.kind, s.start, s.end) for s in r.spans]
         assert spans == secrets.spans_of(r.content or "")
     assert secrets.scan_files(files.limit(0)).count() == 0
+
+
+def test_private_keys_are_masked_whole(spark):
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(6)] + ["QUJDREVGRw=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    heads = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0011", ""]
+    texts = ["\n".join(["before", begin, *body, *tail, "after it."]) for body in (lines, [*heads, *lines]) for tail in ([end], [])]
+    texts += ["before " + sep.join([begin, *lines, end]) + " after it." for sep in (" ", "\r\n", "\\n", "")]
+    files = frame(spark, list(enumerate([*texts, f"before {begin} and after it."])), "job_id long, content string").selectExpr("job_id", "'p' path", "1 version", "content")
+    got = {r.job_id: r.content for r in secrets.mask_files(files).collect()}
+    for i in range(len(texts)):
+        assert not any(line in got[i] for line in lines) and "END RSA" not in got[i], (i, got[i])
+        assert got[i].split() == ["before", secrets.MARK, "after", "it."], (i, got[i])
+    assert got[len(texts)] == f"before {secrets.MARK} and after it."
