@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import alike, contamination, fingerprints, languages, mixing, quality, repeats, secrets, token_counts, toxicity
+from facetlake.llm import alike, archive, contamination, fingerprints, languages, mixing, quality, repeats, secrets, token_counts, toxicity
 from facetlake.llm.training import held_out
 from facetlake.session import tune
 
@@ -149,3 +149,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     meshes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("mesh_id"), F.col("text").alias("mesh_text"))
     return fingerprints.re_export_report(meshes).withColumnRenamed("mesh_id", "doc_id")
+
+
+@numbered
+def op11_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), "url", F.col("html").alias("content"))
+    read = archive.read_archives(spark, archive.write_archives(files), payloads=False)
+    return read.select(F.col("file_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op11_archive"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM q
+"""
