@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import alike, archive, contamination, fingerprints, languages, mixing, quality, repeats, secrets, token_counts, toxicity
+from facetlake.llm import alike, archive, contamination, fingerprints, languages, mixing, quality, repeats, resample, secrets, token_counts, toxicity
 from facetlake.llm.training import held_out
 from facetlake.session import tune
 
@@ -167,3 +167,50 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM q
 """
+
+
+@numbered
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
+    targets = table(spark, sf_dir, "benchmark").select(F.col("text").alias("log"))
+    drawn = resample.resample_logs(logs, targets)
+    return drawn.select(F.col("job_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+SQL["op13_resample"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS b, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT b, c FROM bits WHERE k = 8),
+texts AS (
+  SELECT 0 AS target, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+rows AS (
+  SELECT row_number() OVER () AS r, target, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+words AS (SELECT r, target, unnest(ws) AS w FROM rows),
+crc AS (
+  SELECT w, 4294967295 AS c, 0 AS p, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)
+  UNION ALL
+  SELECT w, xor(x.c >> 8, s.c), p + 1, h
+  FROM crc x JOIN steps s ON s.b = xor(x.c & 255, CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT)) WHERE 2 * p < length(h)),
+bucket AS (SELECT w, xor(c, 4294967295) % 10000 AS b FROM crc WHERE 2 * p = length(h)),
+counts AS (SELECT b, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM words JOIN bucket USING (w) GROUP BY b),
+sums AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS ss, CAST(coalesce(sum(t), 0) AS DOUBLE) AS tt FROM counts),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (ss + 10000) / ((CAST(s AS DOUBLE) + 1) * (tt + 10000)))) AS BIGINT) AS g FROM counts, sums),
+weights AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM words JOIN bucket USING (w) JOIN gains USING (b) WHERE target = 0 GROUP BY r),
+weighed AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features,
+         CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM rows LEFT JOIN weights USING (r) WHERE target = 0),
+scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weighed),
+ranked AS (
+  SELECT doc_id, n_features, weight, score, n_features >= 20 AS fit,
+         row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features DESC) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS number FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * number // 100 THEN place END AS rank FROM ranked
+"""
