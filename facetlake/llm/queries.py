@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import alike, archive, contamination, fingerprints, languages, mixing, quality, repeats, resample, secrets, token_counts, toxicity
+from facetlake.llm import alignment, alike, archive, contamination, fingerprints, languages, mixing, quality, repeats, resample, secrets, token_counts, toxicity
 from facetlake.llm.training import held_out
 from facetlake.session import tune
 
@@ -36,6 +36,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def words_of(text: str) -> F.Column:
     """Number of words between spaces, tabs and line ends."""
     return F.coalesce(F.size(fingerprints.words(F.col(text))), F.lit(0)).cast("long")
@@ -169,6 +175,12 @@ FROM q
 """
 
 
+@numbered
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
+    return alignment.align_logs(logs, vocabulary(), piece_model()).withColumnRenamed("job_id", "doc_id")
+
+
 @numbered
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))

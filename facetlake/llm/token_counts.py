@@ -21,7 +21,7 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 REMEMBERED = 200_000
 
 
-def _printable() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The byte-level alphabet: the character that stands for each byte, and its byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -35,7 +35,7 @@ def whole_tokens(vocabulary: str) -> frozenset[str]:
     """
     tokenizer = Tokenizer.from_file(vocabulary)
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    byte = _printable()
+    byte = byte_of()
     strings = []
     for entry in tokenizer.get_vocab(with_added_tokens=False):
         try:
