@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ from facetlake.session import materialize
 CHUNK = 2 << 20
 #: Segments that a task remembers.
 REMEMBERED = 300_000
+#: Links of a group from which ids that repeat in it are counted first.
+BIG_GROUP = 1 << 16
 #: A space begins a segment if a printed ASCII character, a letter or a number stands before it.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SEGMENT = regex.compile(r" [^ ]*+(?:(?<![!-~\p{L}\p{N}]) [^ ]*+)*+")
@@ -51,8 +55,14 @@ class Aligner:
         self.a.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         byte = byte_of()
-        self.bytes_a = {i: bytes(byte[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        known = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            if all(c in byte for c in token):
+                self.bytes_a[i] = bytes(byte[c] for c in token)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.names = np.array([str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -70,62 +80,110 @@ class Aligner:
         probe = "a  b\tc ½ ﬁ  d"
         return plain and not inner and b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == f" {probe}".encode()
 
-    def align(self, segments: list[str]) -> list[tuple]:
-        """Of each segment: tokens of A, of B, groups, links, groups as text, its id pairs and how often each is linked.
-
-        None for a segment whose bytes one of the tokenizers does not keep.
-        """
+    def align(self, segments: list[str]) -> Aligned:
         left = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
         right = self.b.encode([s[1:] for s in segments], num_threads=1)
         # The library adds no space to an empty text; behind a character a lone space stays.
         alone = self.b.encode("a ")[len(self.b.encode("a")) :]
         right = [alone if s == " " else r for s, r in zip(segments, right, strict=True)]
-        out = []
-        for segment, a, b in zip(segments, left, right, strict=True):
-            raw = segment.encode()
-            whole_a, whole_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(whole_a) != raw or b"".join(whole_b) != raw:
-                out.append(None)
-                continue
-            out.append(self._grouped(a, b, np.cumsum([len(x) for x in whole_a]), np.cumsum([len(x) for x in whole_b])))
-        return out
+        kept = np.ones(len(segments), bool)
+        if not (self._keeps(segments, left, self.bytes_a) and self._keeps(segments, right, self.bytes_b)):
+            for k, (segment, x, y) in enumerate(zip(segments, left, right, strict=True)):
+                kept[k] = self._keeps([segment], [x], self.bytes_a) and self._keeps([segment], [y], self.bytes_b)
+                if not kept[k]:
+                    left[k], right[k] = [], []
+        return self._grouped(kept, left, right)
 
     @staticmethod
-    def _grouped(a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray) -> tuple:
-        if len(a) == 1 and len(b) == 1:
-            return 1, 1, 1, 1, f"{a[0]}|{b[0]}", np.array([a[0] << 32 | b[0]], np.int64), np.ones(1, np.int64)
-        both = np.intersect1d(ends_a, ends_b)
-        cut_a, cut_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        texts, pairs, times, links, lo_a, lo_b = [], [], [], 0, 0, 0
-        for hi_a, hi_b in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            x, y = a[lo_a:hi_a], b[lo_b:hi_b]
-            texts.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            links += len(x) * len(y)
-            # Ids that repeat inside a group are paired once, with the number of their links.
-            ids_x, n_x = np.unique(np.array(x, np.int64), return_counts=True)
-            ids_y, n_y = np.unique(np.array(y, np.int64), return_counts=True)
-            pairs.append(((ids_x << 32)[:, None] | ids_y[None, :]).ravel())
-            times.append((n_x[:, None] * n_y[None, :]).ravel())
-            lo_a, lo_b = hi_a, hi_b
-        pair, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        return len(a), len(b), len(both), links, ";".join(texts), pair, np.bincount(where, np.concatenate(times), len(pair)).astype(np.int64)
+    def _keeps(segments: list[str], ids: list[list[int]], table: list[bytes]) -> bool:
+        """Whether the tokens of every segment have its bytes."""
+        return all(map(bytes.__eq__, (s.encode() for s in segments), (b"".join([table[i] for i in x]) for x in ids)))
+
+    def _grouped(self, kept: np.ndarray, left: list[list[int]], right: list[list[int]]) -> Aligned:
+        """Groups of all segments at once: they end where tokens of both end."""
+        sides = []
+        for ids, size in ((left, self.size_a), (right, self.size_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
+            sides.append((n, flat, np.cumsum(size[flat])))
+        (n_a, a, end_a), (n_b, b, end_b) = sides
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        # First token of each group, on either side; tokens of a segment end where the segment does.
+        from_a, from_b = (np.concatenate(([0], np.searchsorted(e, ends, "right"))) for e in (end_a, end_b))
+        wide_a, wide_b = np.diff(from_a), np.diff(from_b)
+        owner = np.repeat(np.arange(len(kept)), n_a)[from_a[:-1]] if len(ends) else np.zeros(0, np.int64)
+        product = wide_a * wide_b
+        groups = np.bincount(owner, minlength=len(kept))
+        links = np.bincount(owner, product, len(kept)).astype(np.int64)
+        big = product > BIG_GROUP
+        codes, times = [], []
+        group_a = np.repeat(np.arange(len(ends)), wide_a)
+        some = ~big[group_a] if len(ends) else np.zeros(0, bool)
+        each = wide_b[group_a[some]]
+        at = np.repeat(from_b[group_a[some]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        codes.append((np.repeat(owner[group_a[some]] * len(self.bytes_a) + a[some], each)) * len(self.bytes_b) + b[at])
+        times.append(np.ones(len(at), np.int64))
+        for g in np.flatnonzero(big):
+            # Ids that repeat inside a large group are paired once, with the number of their links.
+            x, n = np.unique(a[from_a[g] : from_a[g + 1]], return_counts=True)
+            y, m = np.unique(b[from_b[g] : from_b[g + 1]], return_counts=True)
+            codes.append((((owner[g] * len(self.bytes_a) + x) * len(self.bytes_b))[:, None] + y[None, :]).ravel())
+            times.append((n[:, None] * m[None, :]).ravel())
+        code, where = np.unique(np.concatenate(codes), return_inverse=True)
+        times = np.bincount(where, np.concatenate(times), len(code)).astype(np.int64)
+        of, pair = code // (len(self.bytes_a) * len(self.bytes_b)), code % (len(self.bytes_a) * len(self.bytes_b))
+        return Aligned(kept, np.stack([n_a, n_b, groups, links], 1), self._said(kept, n_a, a, b, owner, from_a, from_b), np.bincount(of, minlength=len(kept)), pair, times)
+
+    def _said(self, kept: np.ndarray, n_a: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> list[str]:
+        """The groups of every segment as text, written in one go: tokens of A and of B by turns, each with what follows it."""
+        line = np.full(2 * (len(a) + len(b)), ",", object)
+        at_a = np.arange(len(a)) + np.repeat(from_b[:-1], np.diff(from_a))
+        at_b = np.arange(len(b)) + np.repeat(from_a[1:], np.diff(from_b))
+        line[2 * at_a], line[2 * at_b] = self.names[a], self.names[b]
+        line[2 * at_a[from_a[1:] - 1] + 1] = "|"
+        line[2 * at_b[from_b[1:] - 1] + 1] = np.where(np.append(owner[1:] != owner[:-1], True), "\n", ";") if len(owner) else []
+        said = iter("".join(line.tolist()).split("\n"))
+        return [next(said) if n else "" for n in n_a.tolist()]
+
+
+class Aligned(NamedTuple):
+    """Segments: whether the tokenizers keep them, their tokens of A, of B, groups and links, their groups as text, and their pairs.
+
+    A pair is the number of its A id times the size of B's vocabulary, plus its B id; ``times`` is how often it is linked.
+    """
+
+    kept: np.ndarray
+    shape: np.ndarray
+    said: list[str]
+    size: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
 
 
 # ---- one chunk of texts ------------------------------------------------------------------------------------
 
 
 class _Memory:
-    """Aligned segments; forgotten when there are too many."""
+    """Aligned segments by number; forgotten when there are too many."""
 
     def __init__(self, aligner: Aligner):
-        self.aligner, self.found = aligner, {}
+        self.aligner = aligner
+        self.forget()
 
-    def of(self, segments: list[str]) -> list[tuple | None]:
-        new = [s for s in segments if s not in self.found]
-        if len(new) + len(self.found) > REMEMBERED:
-            self.found, new = {}, segments
-        self.found |= zip(new, self.aligner.align(new), strict=True)
-        return [self.found[s] for s in segments]
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.known = Aligned(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], *[np.zeros(0, np.int64)] * 3)
+
+    def learn(self, cut: list[list[str]]) -> None:
+        new = list({s for found in cut for s in found if s not in self.number})
+        if len(new) + len(self.number) > REMEMBERED:
+            self.forget()
+            new = list({s for found in cut for s in found})
+        if new:
+            self.number |= zip(new, range(len(self.number), len(self.number) + len(new)), strict=True)
+            more = self.aligner.align(new)
+            joined = [old + own if isinstance(old, list) else np.concatenate([old, own]) for old, own in zip(self.known, more, strict=True)]
+            self.known = Aligned(*joined)
 
 
 #: A chunk: per text its key, copies and measures; its distinct pairs; per text and pair, step in those and links.
@@ -138,40 +196,32 @@ _CHUNK_SQL = (
 )
 
 
-_NONE = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def _aligned(memory: _Memory, chunk: int, keys: list[str], texts: list[str], copies: list[int]) -> pa.RecordBatch:
     cut = [SEGMENT.findall(f" {t}") if t else [] for t in texts]
-    number = {s: i for i, s in enumerate({s for found in cut for s in found})}
-    known = memory.of(list(number))
-    lost = np.array([k is None for k in known], bool)
-    known = [k or _NONE for k in known]
-    shape = np.array([k[:4] for k in known], np.int64).reshape(-1, 4)
-    said = {s: known[i][4] for s, i in number.items()}
-    size = np.array([len(k[5]) for k in known], np.int64)
-    start = np.cumsum(size) - size
-    distinct, pair = np.unique(np.concatenate([_NONE[5], *[k[5] for k in known]]), return_inverse=True)
-    linked = np.concatenate([_NONE[6], *[k[6] for k in known]])
+    memory.learn(cut)
+    known, number = memory.known, memory.number.__getitem__
+    start = np.cumsum(known.size) - known.size
     row, kind, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     measures, hashes = np.zeros((len(texts), 4), np.int64), []
     for r, found in enumerate(cut):
-        kinds, n = np.unique(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), return_counts=True)
-        if not found or lost[kinds].any():
+        ids = np.fromiter(map(number, found), np.int64, len(found))
+        kinds, n = np.unique(ids, return_counts=True)
+        if not found or not known.kept[kinds].all():
             hashes.append("")
             continue
-        measures[r] = n @ shape[kinds]
-        hashes.append(hashlib.sha256(";".join(map(said.__getitem__, found)).encode()).hexdigest())
+        measures[r] = n @ known.shape[kinds]
+        hashes.append(hashlib.sha256(";".join(map(known.said.__getitem__, ids.tolist())).encode()).hexdigest())
         row.append(np.full(len(kinds), r))
         kind.append(kinds)
         often.append(n)
     row, kind, often = np.concatenate(row), np.concatenate(kind), np.concatenate(often)
     # Every segment of every text with its pairs, then a row per text and pair.
-    each = size[kind]
+    each = known.size[kind]
     at = np.repeat(start[kind] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    distinct, pair = np.unique(known.pair[at], return_inverse=True)
     wide = max(1, len(distinct))
-    code, same = np.unique(np.repeat(row, each) * wide + pair[at], return_inverse=True)
-    links = np.bincount(same, linked[at] * np.repeat(often, each), len(code)).astype(np.int64)
+    code, same = np.unique(np.repeat(row, each) * wide + pair, return_inverse=True)
+    links = np.bincount(same, known.times[at] * np.repeat(often, each), len(code)).astype(np.int64)
     text, which = code // wide, code % wide
     many = np.array(copies, np.int64)
     held = np.bincount(which, many[text], len(distinct)).astype(np.int64)
@@ -213,14 +263,14 @@ def _chunks(texts: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
     return texts.select("_key", "_text", "copies").mapInArrow(run, _CHUNK_SQL)
 
 
-def _told(chunks: DataFrame) -> DataFrame:
+def _told(chunks: DataFrame, pieces: int) -> DataFrame:
     """``a b chunk at held``: every distinct pair of every chunk, with the logs of the chunk that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, pairs, held in zip(*(batch.column(c) for c in ("chunk", "pairs", "held")), strict=True):
                 pair, n = np.frombuffer(pairs.as_buffer(), np.int64), np.frombuffer(held.as_buffer(), np.int64)
-                columns = [pair >> 32, pair & 0xFFFFFFFF, np.full(len(pair), chunk.as_py()), np.arange(len(pair), dtype=np.int64), n]
+                columns = [pair // pieces, pair % pieces, np.full(len(pair), chunk.as_py()), np.arange(len(pair), dtype=np.int64), n]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "chunk", "at", "held"])
 
     return chunks.select("chunk", "pairs", "held").mapInArrow(run, "a long, b long, chunk long, at long, held long")
@@ -283,13 +333,14 @@ def align_logs(logs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         definition = file.read()
     with open(pieces, "rb") as file:
         model = file.read()
-    if not Aligner(definition, model).proven():
+    aligner = Aligner(definition, model)
+    if not aligner.proven():
         raise ValueError(f"{pieces}: pieces reach over spaces; texts cannot be encoded in segments")
     keyed = logs.select("job_id", F.sha2(F.coalesce("log", F.lit("")).cast("binary"), 256).alias("_key"), F.monotonically_increasing_id().alias("_row"))
     texts = logs.select(F.coalesce("log", F.lit("")).alias("_text")).groupBy("_text").agg(F.count("*").alias("copies"))
     texts = texts.withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))
     chunks = materialize(_chunks(texts, definition, model), "aligned")
-    told = materialize(_told(chunks), "pairs")
+    told = materialize(_told(chunks, len(aligner.bytes_b)), "pairs")
     counted = told.join(pair_counts(told), ["a", "b"]).select("chunk", "at", "logs", "best")
     # A chunk's own pairs bound what meets here.
     measured = chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(_measured, _MEASURES)

@@ -99,10 +99,23 @@ def test_segments_equal_the_libraries(libraries, text):
         ALIGNER.append(alignment.Aligner(open(vocabulary(), encoding="utf-8").read(), open(piece_model(), "rb").read()))
     segments = alignment.SEGMENT.findall(" " + text)
     assert "".join(segments) == " " + text
-    found = ALIGNER[0].align(segments) if text else []
+    found = ALIGNER[0].align(segments)
     whole = groups_of(libraries, text)
     said = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in whole)
-    assert ("" if None in found else ";".join(f[4] for f in found)) == said
+    assert (";".join(found.said) if text and found.kept.all() else "") == said
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abx1é▁"), max_size=30), min_size=1, max_size=5))
+def test_large_groups_count_the_same(libraries, words):
+    aligner = alignment.Aligner(open(vocabulary(), encoding="utf-8").read(), open(piece_model(), "rb").read()) if not ALIGNER else ALIGNER[0]
+    plain = aligner.align([" " + w for w in words])
+    held, alignment.BIG_GROUP = alignment.BIG_GROUP, 1
+    try:
+        large = aligner.align([" " + w for w in words])
+    finally:
+        alignment.BIG_GROUP = held
+    assert all(x == y if isinstance(x, list) else (x == y).all() for x, y in zip(plain, large, strict=True))
 
 
 def test_vocabularies_that_reach_over_spaces_are_refused(spark, monkeypatch):
