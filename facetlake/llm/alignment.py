@@ -32,11 +32,14 @@ from facetlake.llm.token_counts import byte_of
 from facetlake.session import materialize
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Bytes of segments that are encoded in a row.
+BLOCK = 1 << 14
 #: Segments that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Links of a group from which ids that repeat in it are counted first.
 BIG_GROUP = 1 << 16
+_CLOSED = regex.compile(r".*[!-~\p{L}\p{N}]", regex.DOTALL).fullmatch
 #: A space begins a segment if a printed ASCII character, a letter or a number stands before it.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SEGMENT = regex.compile(r" [^ ]*+(?:(?<![!-~\p{L}\p{N}]) [^ ]*+)*+")
@@ -81,37 +84,58 @@ class Aligner:
         return plain and not inner and b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == f" {probe}".encode()
 
     def align(self, segments: list[str]) -> Aligned:
-        left = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        right = self.b.encode([s[1:] for s in segments], num_threads=1)
-        # The library adds no space to an empty text; behind a character a lone space stays.
-        alone = self.b.encode("a ")[len(self.b.encode("a")) :]
-        right = [alone if s == " " else r for s, r in zip(segments, right, strict=True)]
+        """Segments that end in a printed character are encoded in a row, for each would be cut off from the next anyhow."""
+        closed = np.fromiter((_CLOSED(s) is not None for s in segments), bool, len(segments))
+        bytes_of = np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments))
         kept = np.ones(len(segments), bool)
-        if not (self._keeps(segments, left, self.bytes_a) and self._keeps(segments, right, self.bytes_b)):
-            for k, (segment, x, y) in enumerate(zip(segments, left, right, strict=True)):
-                kept[k] = self._keeps([segment], [x], self.bytes_a) and self._keeps([segment], [y], self.bytes_b)
-                if not kept[k]:
-                    left[k], right[k] = [], []
-        return self._grouped(kept, left, right)
-
-    @staticmethod
-    def _keeps(segments: list[str], ids: list[list[int]], table: list[bytes]) -> bool:
-        """Whether the tokens of every segment have its bytes."""
-        return all(map(bytes.__eq__, (s.encode() for s in segments), (b"".join([table[i] for i in x]) for x in ids)))
-
-    def _grouped(self, kept: np.ndarray, left: list[list[int]], right: list[list[int]]) -> Aligned:
-        """Groups of all segments at once: they end where tokens of both end."""
+        blocks = [[k] for k in np.flatnonzero(~closed).tolist()]
+        joint = np.flatnonzero(closed)
+        upto = np.cumsum(bytes_of[joint]) // BLOCK
+        blocks += [b.tolist() for b in np.split(joint, np.flatnonzero(np.diff(upto)) + 1) if len(b)]
+        sides = self._encoded(["".join([segments[k] for k in b]) for b in blocks])
+        order, left, right = [], [], []
+        for b, raw_a, raw_b in zip(blocks, *sides, strict=True):
+            if raw_a is None or raw_b is None:
+                # A tokenizer does not keep the block: its segments one by one.
+                for k, x, y in zip(b, *self._encoded([segments[k] for k in b]), strict=True):
+                    kept[k] = x is not None and y is not None
+                    order.append(k)
+                    left.append(x if kept[k] else [])
+                    right.append(y if kept[k] else [])
+            else:
+                order += b
+                left.append(raw_a)
+                right.append(raw_b)
+        order = np.array(order, np.int64)
+        return self._grouped(kept, order, np.where(kept, bytes_of, 0)[order], left, right)
+
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int] | None], list[list[int] | None]]:
+        """Tokens of A and of B for texts that begin with a space; None where the bytes of the tokens are not the text's."""
+        left = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        right = self.b.encode([t[1:] for t in texts], num_threads=1)
+        if " " in texts:
+            # The library adds no space to an empty text; behind a character a lone space stays.
+            alone = self.b.encode("a ")[len(self.b.encode("a")) :]
+            right = [alone if t == " " else r for t, r in zip(texts, right, strict=True)]
         sides = []
-        for ids, size in ((left, self.size_a), (right, self.size_b)):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
-            sides.append((n, flat, np.cumsum(size[flat])))
+        for ids, table in ((left, self.bytes_a), (right, self.bytes_b)):
+            sides.append([i if b"".join([table[t] for t in i]) == text.encode() else None for i, text in zip(ids, texts, strict=True)])
+        return sides[0], sides[1]
+
+    def _grouped(self, kept: np.ndarray, order: np.ndarray, size: np.ndarray, left: list[list[int]], right: list[list[int]]) -> Aligned:
+        """Groups of all segments at once: they end where tokens of both end. ``order`` names the segments as they are encoded."""
+        till = np.cumsum(size)
+        sides = []
+        for ids, wide in ((left, self.size_a), (right, self.size_b)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+            end = np.cumsum(wide[flat])
+            sides.append((np.diff(np.searchsorted(end, till, "right"), prepend=0), flat, end))
         (n_a, a, end_a), (n_b, b, end_b) = sides
         ends = np.intersect1d(end_a, end_b, assume_unique=True)
         # First token of each group, on either side; tokens of a segment end where the segment does.
         from_a, from_b = (np.concatenate(([0], np.searchsorted(e, ends, "right"))) for e in (end_a, end_b))
         wide_a, wide_b = np.diff(from_a), np.diff(from_b)
-        owner = np.repeat(np.arange(len(kept)), n_a)[from_a[:-1]] if len(ends) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(order)), n_a)[from_a[:-1]] if len(ends) else np.zeros(0, np.int64)
         product = wide_a * wide_b
         groups = np.bincount(owner, minlength=len(kept))
         links = np.bincount(owner, product, len(kept)).astype(np.int64)
@@ -132,9 +156,10 @@ class Aligner:
         code, where = np.unique(np.concatenate(codes), return_inverse=True)
         times = np.bincount(where, np.concatenate(times), len(code)).astype(np.int64)
         of, pair = code // (len(self.bytes_a) * len(self.bytes_b)), code % (len(self.bytes_a) * len(self.bytes_b))
-        return Aligned(kept, np.stack([n_a, n_b, groups, links], 1), self._said(kept, n_a, a, b, owner, from_a, from_b), np.bincount(of, minlength=len(kept)), pair, times)
+        said = self._said(n_a, a, b, owner, from_a, from_b)
+        return Aligned(kept[order], np.stack([n_a, n_b, groups, links], 1), said, np.bincount(of, minlength=len(kept)), pair, times, order)
 
-    def _said(self, kept: np.ndarray, n_a: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> list[str]:
+    def _said(self, n_a: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> list[str]:
         """The groups of every segment as text, written in one go: tokens of A and of B by turns, each with what follows it."""
         line = np.full(2 * (len(a) + len(b)), ",", object)
         at_a = np.arange(len(a)) + np.repeat(from_b[:-1], np.diff(from_a))
@@ -147,7 +172,7 @@ class Aligner:
 
 
 class Aligned(NamedTuple):
-    """Segments: whether the tokenizers keep them, their tokens of A, of B, groups and links, their groups as text, and their pairs.
+    """Segments, in an order of their own: whether the tokenizers keep them, their tokens of A, of B, groups and links, their groups as text, and their pairs.
 
     A pair is the number of its A id times the size of B's vocabulary, plus its B id; ``times`` is how often it is linked.
     """
@@ -158,6 +183,8 @@ class Aligned(NamedTuple):
     size: np.ndarray
     pair: np.ndarray
     times: np.ndarray
+    #: Which of the segments that were asked for each one is.
+    order: np.ndarray
 
 
 # ---- one chunk of texts ------------------------------------------------------------------------------------
@@ -172,7 +199,7 @@ class _Memory:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.known = Aligned(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], *[np.zeros(0, np.int64)] * 3)
+        self.known = Aligned(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], *[np.zeros(0, np.int64)] * 4)
 
     def learn(self, cut: list[list[str]]) -> None:
         new = list({s for found in cut for s in found if s not in self.number})
@@ -180,8 +207,8 @@ class _Memory:
             self.forget()
             new = list({s for found in cut for s in found})
         if new:
-            self.number |= zip(new, range(len(self.number), len(self.number) + len(new)), strict=True)
             more = self.aligner.align(new)
+            self.number |= zip([new[k] for k in more.order.tolist()], range(len(self.number), len(self.number) + len(new)), strict=True)
             joined = [old + own if isinstance(old, list) else np.concatenate([old, own]) for old, own in zip(self.known, more, strict=True)]
             self.known = Aligned(*joined)
 
