@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -31,12 +32,12 @@ from facetlake.llm.spread import join_one
 from facetlake.llm.token_counts import byte_of
 from facetlake.session import materialize
 
-#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+#: Characters of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK = 1 << 19
 #: Bytes of segments that are encoded in a row.
 BLOCK = 1 << 14
 #: Segments that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 #: Links of a group from which ids that repeat in it are counted first.
 BIG_GROUP = 1 << 16
 _CLOSED = regex.compile(r".*[!-~\p{L}\p{N}]", regex.DOTALL).fullmatch
@@ -52,6 +53,8 @@ class Aligner:
     """Tokens of both tokenizers for segments, each a space and what follows it."""
 
     def __init__(self, byte_level: str, pieces: bytes):
+        # Spark runs a worker per core already; threads of the library would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_str(byte_level)
         self.a.encode_special_tokens = True
         self.a.no_padding()
