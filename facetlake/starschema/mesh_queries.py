@@ -134,13 +134,13 @@ def _(v):
 
 
 DEBRIS = """areas AS (SELECT c.mesh_id, c.comp, count(*) AS n_faces, sum(area) AS area FROM components c JOIN face_geo USING (mesh_id, fid) GROUP BY 1,2),
-   marked AS (SELECT *, area >= 0.005*sum(area) OVER (PARTITION BY mesh_id) OR
-      (max(area) OVER (PARTITION BY mesh_id) < 0.005*sum(area) OVER (PARTITION BY mesh_id) AND row_number() OVER (PARTITION BY mesh_id ORDER BY area DESC, comp) = 1) AS keep FROM areas)"""
+   marked AS (SELECT *, area >= 0.0001*sum(area) OVER (PARTITION BY mesh_id) OR
+      (max(area) OVER (PARTITION BY mesh_id) < 0.0001*sum(area) OVER (PARTITION BY mesh_id) AND row_number() OVER (PARTITION BY mesh_id ORDER BY area DESC, comp) = 1) AS keep FROM areas)"""
 
 
 @query("mesh_debris_filter", "D19", f"WITH {DEBRIS} SELECT mesh_id, comp, n_faces, round(area, 4) AS area, keep FROM marked", ("components", "face_geo"))
 def _(v):
-    return mesh.surviving_components(mesh.component_areas(v.triangles, labelled(v)), 0.005).withColumn("area", F.round("area", 4))
+    return mesh.surviving_components(mesh.component_areas(v.triangles, labelled(v)), 0.0001).withColumn("area", F.round("area", 4))
 
 
 @query("mesh_cleanup_report", "D21", f"""WITH RECURSIVE {CLEAN},
@@ -152,7 +152,7 @@ def _(v):
          SELECT r.mesh_id, e.b, r.root FROM r JOIN (SELECT mesh_id, a, b FROM fa UNION ALL SELECT mesh_id, b, a FROM fa) e ON e.mesh_id=r.mesh_id AND e.a=r.fid WHERE r.root < e.b),
    comp AS (SELECT mesh_id, fid, min(root) AS comp FROM r GROUP BY 1,2),
    areas AS (SELECT mesh_id, comp, sum(area) AS area FROM comp JOIN face_geo USING (mesh_id, fid) GROUP BY 1,2),
-   kept AS (SELECT *, area >= 0.005*sum(area) OVER (PARTITION BY mesh_id) AS keep FROM areas),
+   kept AS (SELECT *, area >= 0.0001*sum(area) OVER (PARTITION BY mesh_id) AS keep FROM areas),
    fin AS (SELECT mesh_id, fid FROM comp JOIN kept USING (mesh_id, comp) WHERE keep),
    bef AS (SELECT mesh_id, count(DISTINCT fid) AS faces_before, count(*) AS vertices_before FROM corners GROUP BY 1),
    aft AS (SELECT mesh_id, count(DISTINCT fid) AS faces_after, count(DISTINCT (x,y,z)) AS vertices_after FROM corners JOIN fin USING (mesh_id, fid) GROUP BY 1)
@@ -161,7 +161,7 @@ def _(v):
 def _(v):
     from facetlake.plans.cleanup import clean
 
-    _, report = clean(v.stored_triangles, 0.005)
+    _, report = clean(v.stored_triangles, 0.0001)
     return report.select("mesh_id", "faces_before", "vertices_before", "faces_after", "vertices_after", "components_removed")
 
 

@@ -22,26 +22,39 @@ DUCK_VIEWS["clean_reach"] = (("clean_first", "clean_edges"), """
     ON e.mesh_id=r.mesh_id AND e.a=r.fid WHERE r.root < e.b""")
 DUCK_VIEWS["clean_comps"] = (("clean_reach",), "SELECT mesh_id, fid, min(root) AS comp FROM clean_reach GROUP BY 1, 2")
 DUCK_VIEWS["clean_marks"] = (("clean_comps", "face_geo"), """
-  SELECT *, area >= 0.005*sum(area) OVER (PARTITION BY mesh_id) AS keep FROM
+  SELECT *, area >= 0.0001*sum(area) OVER (PARTITION BY mesh_id) AS keep FROM
     (SELECT mesh_id, comp, sum(area) AS area FROM clean_comps JOIN face_geo USING (mesh_id, fid) GROUP BY 1, 2)""")
 DUCK_VIEWS["clean_faces"] = (("clean_first", "clean_comps", "clean_marks"), """
   SELECT f.* FROM clean_first f JOIN clean_comps USING (mesh_id, fid) JOIN clean_marks USING (mesh_id, comp) WHERE keep""")
 
-GRID_LIST = ",".join(f"({x})" for x in budget.GRIDS)
+def grid_sql(faces: str, target: str) -> str:
+    """Reduction to a budget, tried out: all levels, then every possible end of the order of splits."""
 
+    def quantised(corner: str) -> str:
+        axes = [(f"{corner}{'y_' if corner == 'b' and t == 'y' else t}", t) for t in "xyz"]
+        return ", ".join(f"coalesce(least(floor(({v}-l{t})/longest*1048576.0::DOUBLE), 1048575), 0)::BIGINT AS q{corner}{t}" for v, t in axes)
 
-def grid_sql(faces: str, target: str) -> str:
+    def cell(corner: str, shift: str) -> str:
+        return f"(((q{corner}x >> ({shift})) << 40) | ((q{corner}y >> ({shift})) << 20) | (q{corner}z >> ({shift})))"
+
+    def place(corner: str, shift: str) -> str:
+        return "((" + " + ".join(f"(q{corner}{t} >> ({shift}))*{m}" for t, m in zip("xyz", budget.SPLIT_ORDER)) + ") % 2147483648)"
+
+    fine = "19 - level"
     return f"""bx AS (SELECT mesh_id, count(*) AS n_faces, {target} AS target_faces,
       greatest(max(greatest(ax,bx,cx))-min(least(ax,bx,cx)), max(greatest(ay,by_,cy))-min(least(ay,by_,cy)), max(greatest(az,bz,cz))-min(least(az,bz,cz))) AS longest,
       min(least(ax,bx,cx)) AS lx, min(least(ay,by_,cy)) AS ly, min(least(az,bz,cz)) AS lz FROM {faces} GROUP BY mesh_id),
-   cel AS (SELECT mesh_id, grid, row(floor((ax-lx)/(longest/grid)), floor((ay-ly)/(longest/grid)), floor((az-lz)/(longest/grid))) AS a,
-      row(floor((bx-lx)/(longest/grid)), floor((by_-ly)/(longest/grid)), floor((bz-lz)/(longest/grid))) AS b,
-      row(floor((cx-lx)/(longest/grid)), floor((cy-ly)/(longest/grid)), floor((cz-lz)/(longest/grid))) AS c
-      FROM {faces} JOIN bx USING (mesh_id) CROSS JOIN (VALUES {GRID_LIST}) t(grid) WHERE n_faces > target_faces),
-   cnt AS (SELECT mesh_id, grid, count(DISTINCT list_sort([a,b,c])) AS n FROM cel WHERE a<>b AND b<>c AND a<>c GROUP BY 1, 2),
-   best AS (SELECT mesh_id, max(grid) AS grid, arg_max(n, grid) AS n FROM cnt JOIN bx USING (mesh_id) WHERE n <= target_faces GROUP BY mesh_id),
-   plan AS (SELECT mesh_id, n_faces AS faces_before, CASE WHEN n_faces <= target_faces THEN n_faces ELSE coalesce(n, 0) END AS faces_after, target_faces,
-      CASE WHEN n_faces > target_faces THEN coalesce(grid, 1) END AS grid FROM bx LEFT JOIN best USING (mesh_id))"""
+   qt AS (SELECT mesh_id, target_faces, {", ".join(quantised(k) for k in "abc")} FROM {faces} JOIN bx USING (mesh_id) WHERE n_faces > target_faces),
+   cel AS (SELECT mesh_id, target_faces, level, {", ".join(f"{cell(k, '20 - level')} AS {k}" for k in "abc")} FROM qt, range(21) r(level)),
+   cnt AS (SELECT mesh_id, target_faces, level, count(DISTINCT list_sort([a,b,c])) FILTER (a<>b AND b<>c AND a<>c) AS n FROM cel GROUP BY ALL),
+   lev AS (SELECT mesh_id, max(level)::INT AS level FROM cnt WHERE n <= target_faces GROUP BY mesh_id),
+   fin AS (SELECT DISTINCT mesh_id, target_faces, level, {", ".join(f"{cell(k, fine)} AS f{k}, {cell(k, '20 - level')} AS u{k}, {place(k, fine)} AS p{k}" for k in "abc")} FROM qt JOIN lev USING (mesh_id) WHERE level < 20),
+   ends AS (SELECT mesh_id, -1::BIGINT AS t FROM lev UNION SELECT mesh_id, unnest([pa, pb, pc]) FROM fin WHERE fa<>fb AND fb<>fc AND fa<>fc),
+   rep AS (SELECT mesh_id, target_faces, t, {", ".join(f"CASE WHEN p{k} <= t THEN 2*f{k} + 1 ELSE 2*u{k} END AS {k}" for k in "abc")} FROM fin JOIN ends USING (mesh_id) WHERE fa<>fb AND fb<>fc AND fa<>fc),
+   tried AS (SELECT mesh_id, target_faces, t, count(DISTINCT list_sort([a,b,c])) FILTER (a<>b AND b<>c AND a<>c) AS n FROM rep GROUP BY ALL),
+   best AS (SELECT mesh_id, max(t) AS t, arg_max(n, t) AS n FROM tried WHERE n <= target_faces GROUP BY mesh_id),
+   plan AS (SELECT mesh_id, n_faces AS faces_before, CASE WHEN level IS NULL THEN n_faces WHEN level = 20 THEN greatest(1, (SELECT n FROM cnt WHERE cnt.mesh_id = bx.mesh_id AND cnt.level = 20)) ELSE greatest(1, coalesce(n, 0)) END AS faces_after,
+      target_faces, (1::BIGINT << level) AS grid, CASE WHEN level IS NOT NULL THEN coalesce(t, -1) END AS split FROM bx LEFT JOIN lev USING (mesh_id) LEFT JOIN best USING (mesh_id))"""
 
 
 TARGET = "(400 + 200 * (ascii(substr(mesh_id, -1)) % 4))::BIGINT"
@@ -71,7 +84,7 @@ def _(v):
 def _(v):
     from facetlake.plans.tail import mesh_tail
 
-    _, report = mesh_tail(v.stored_triangles, budgets(v), min_area_frac=0.005)
+    _, report = mesh_tail(v.stored_triangles, budgets(v), min_area_frac=0.0001)
     return report.select("mesh_id", "faces_before", "faces_clean", "components_removed", "faces_final", "target_faces", "grid")
 
 
