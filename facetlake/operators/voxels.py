@@ -5,11 +5,15 @@ The rebuilt surface is blocky: it is made of voxel faces, not of a smoothed fiel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.functions import bitgrid
 from facetlake.functions import geometry as g
 from facetlake.operators import mesh
 from facetlake.operators.components import components
@@ -22,6 +26,8 @@ MAX_DILATE = 16
 DILATE_DIVISOR = 64
 FILL_FLOOR = 0.35
 SHATTERED_BELOW = 0.15
+#: A packed grid of so many divisions is about 150 MB; a mesh's grid meets in one task.
+MAX_DIVISIONS = 1024
 
 IJK = ("i", "j", "k")
 SIDES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
@@ -260,51 +266,142 @@ def dilation_schedule(start: int) -> list[int]:
     return [*out, MAX_DILATE]
 
 
+def packed_shell(triangles: DataFrame, pitch: DataFrame) -> DataFrame:
+    """The voxels of ``voxelise`` as packed columns: ``mesh_id i j word bits``.
+
+    ``bits`` has cells 64 * word to 64 * word + 63 of the column, the lowest in the lowest bit. Faces are sampled in
+    arrays and combined per task, so a large face costs memory for one block of its samples, and only words travel.
+    """
+    names = [f"{k}{t}" for k in g.CORNERS for t in g.XYZ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            corners = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1).reshape(-1, 3, 3)
+            edge = batch.column("pitch").to_numpy(zero_copy_only=False)
+            mesh_id = batch.column("mesh_id").to_pylist()
+            codes, number = np.unique(np.array([str(m) for m in mesh_id], object), return_inverse=True)
+            first = {c: mesh_id[i] for c, i in zip(codes, np.unique(number, return_index=True)[1], strict=True)}
+            for owner, i, j, k in _samples(corners, edge, number):
+                word, bit = k >> 6, np.uint64(1) << (k & 63).astype(np.uint64)
+                order = np.lexsort((word, j, i, owner))
+                key = np.stack([owner, i, j, word])[:, order]
+                start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+                bits = np.bitwise_or.reduceat(bit[order], start).view(np.int64)
+                owner, i, j, word = key[:, start]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first[codes[o]] for o in owner], batch.column("mesh_id").type), pa.array(i), pa.array(j), pa.array(word), pa.array(bits)],
+                    ["mesh_id", "i", "j", "word", "bits"],
+                )
+
+    kind = triangles.schema["mesh_id"].dataType.simpleString()
+    told = triangles.join(pitch, "mesh_id").select("mesh_id", "pitch", *names).mapInArrow(run, f"mesh_id {kind}, i long, j long, word long, bits long")
+    return told.groupBy("mesh_id", "i", "j", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+#: Samples of faces that a task has at a time.
+SAMPLES = 1 << 20
+
+
+def _samples(corners: np.ndarray, pitch: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """``owner i j k`` of the lattice points of faces, as ``voxelise`` places them."""
+    a, b, c = corners[:, 0], corners[:, 1], corners[:, 2]
+
+    def length(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        x, y, z = (p - q).T
+        return np.sqrt(x * x + y * y + z * z)
+
+    longest = np.maximum(np.maximum(length(a, b), length(b, c)), length(c, a))
+    steps = np.maximum(1, np.ceil(longest / (pitch * 0.5))).astype(np.int64)
+    for n in np.unique(steps):
+        faces = np.flatnonzero(steps == n)
+        # Rows of the lattice, in blocks: row s has n - s + 1 points.
+        size = n - np.arange(n + 1) + 1
+        cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), SAMPLES)[1:])
+        for rows in filter(len, np.split(np.arange(n + 1), cuts)):
+            s = np.repeat(rows, size[rows])
+            t = np.arange(len(s)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])
+            for lo in range(0, len(faces), max(1, SAMPLES // max(1, len(s)))):
+                part = faces[lo : lo + max(1, SAMPLES // max(1, len(s)))]
+                spots = []
+                for axis in range(3):
+                    p, q, r = (x[part, axis][:, None] for x in (a, b, c))
+                    spots.append(np.rint((p + (q - p) * s / n + (r - p) * t / n) / pitch[part][:, None]).astype(np.int64).ravel())
+                yield np.repeat(owner[part], len(s)), *spots
+
+
+def _close(shell: pd.DataFrame, steps: Sequence[int]) -> pd.DataFrame:
+    """All attempts at one mesh, and the packed solid of the best.
+
+    The grid has at most divisions plus twice the border cells an axis, whatever the number of faces: 3 MB at 256 divisions.
+    """
+    pad = max(steps) + 2
+    lo = np.array([shell["i"].min() - pad, shell["j"].min() - pad, shell["word"].min() - 1])
+    hi = np.array([shell["i"].max() + pad, shell["j"].max() + pad, shell["word"].max() + 1])
+    start = np.zeros(hi - lo + 1, np.uint64)
+    start[shell["i"] - lo[0], shell["j"] - lo[1], shell["word"] - lo[2]] = shell["bits"].to_numpy(np.int64).view(np.uint64)
+    tried, best, grid, done = [], None, start, 0
+    for d in steps:
+        grid, done = bitgrid.grown(grid, d - done), d
+        solid = bitgrid.shrunk(~bitgrid.outside(grid), d)
+        cells = bitgrid.count(solid)
+        if not cells:
+            continue
+        fill, bodies = cells / bitgrid.box_cells(solid), bitgrid.bodies(solid)
+        tried.append((d, fill, bodies, cells))
+        if best is None or fill > best[0][1]:
+            best = tried[-1], solid
+        if fill >= FILL_FLOOR and bodies == 1:
+            break
+    (d, fill, bodies, cells), solid = best or ((None, None, 0, 0), np.zeros((1, 1, 1), np.uint64))
+    return pd.DataFrame({
+        "mesh_id": [shell["mesh_id"].iloc[0]], "dilate": pd.array([d], "Int32"), "fill_after": pd.array([fill], "Float64"), "bodies": [bodies], "cells": [cells],
+        "low": [list(map(int, lo))], "shape": [list(solid.shape)], "grid": [solid.tobytes()],
+    })
+
+
+def unpacked(solids: DataFrame) -> DataFrame:
+    """``mesh_id i j k`` of packed solids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mesh_id, low, shape, grid in zip(*(batch.column(c) for c in ("mesh_id", "low", "shape", "grid")), strict=True):
+                i, j, k = np.nonzero(bitgrid.cells(np.frombuffer(grid.as_buffer(), np.uint64).reshape(shape.as_py())))
+                lo = low.as_py()
+                for at in range(0, len(i), SAMPLES):
+                    part = [x[at : at + SAMPLES] + o for x, o in zip((i, j, k), (lo[0], lo[1], lo[2] * bitgrid.BITS), strict=True)]
+                    name = pa.array([mesh_id.as_py()] * len(part[0]), mesh_id.type)
+                    yield pa.RecordBatch.from_arrays([name, *map(pa.array, part)], ["mesh_id", *IJK])
+
+    kind = solids.schema["mesh_id"].dataType.simpleString()
+    return solids.select("mesh_id", "low", "shape", "grid").mapInArrow(run, f"mesh_id {kind}, i long, j long, k long")
+
+
 def repair(
     triangles: DataFrame, fills: DataFrame, divisions: int = DIVISIONS, schedule: Sequence[int] | None = None,
     only_shattered: bool = True, fill_threshold: float = SHATTERED_BELOW,
 ) -> tuple[DataFrame, DataFrame]:
     """Close shattered meshes into solids by growing, filling and shrinking back.
 
-    ``fills``: ``mesh_id fill`` of the input. Only meshes still unrepaired enter the next, wider
-    dilation. Returns the occupied voxels of treated meshes (the best attempt of each) and a
-    report: ``mesh_id status dilate fill_before fill_after bodies``; status is ok, skipped (left
-    alone) or failed.
+    A mesh is voxelised once, as packed columns, and its attempts run on words, each growing the one before, until one is a single
+    body that fills enough of its box.
+
+    ``fills``: ``mesh_id fill`` of the input. Returns the occupied voxels of treated meshes (the best attempt of each) and a
+    report: ``mesh_id status dilate fill_before fill_after bodies``; status is ok, skipped (left alone) or failed. A mesh
+    without extent, or of which no attempt leaves a voxel, has failed.
     """
-    steps = list(schedule) if schedule is not None else dilation_schedule(start_dilate(divisions))
+    if divisions > MAX_DIVISIONS:
+        raise ValueError(f"a grid of {divisions} divisions does not fit a task; at most {MAX_DIVISIONS}")
+    steps = sorted(schedule) if schedule is not None else dilation_schedule(start_dilate(divisions))
     wanted = fills.withColumn("_treat", (F.col("fill") < fill_threshold) if only_shattered else F.lit(True))
     wanted = materialize(wanted.select("mesh_id", "fill", "_treat"), "fills")
-    todo = wanted.filter("_treat").select("mesh_id")
-    pitch = materialize(pitches(triangles.join(todo, "mesh_id", "left_semi"), divisions), "pitch")
-    shell = materialize(voxelise(triangles.join(todo, "mesh_id", "left_semi"), pitch), "shell")
-    tries, solids = None, None
-    grown, done = shell, 0
-    for d in steps:
-        grown = materialize(dilate(grown.join(todo, "mesh_id", "left_semi"), d - done), "grown")
-        done = d
-        solid = materialize(
-            erode(fill(grown), d).withColumn("dilate", F.lit(d)), "solid"
-        )
-        cells = solid.drop("dilate")
-        attempt = materialize(
-            occupancy(cells, pitch).join(voxel_components(cells), "mesh_id").select(
-                "mesh_id", F.lit(d).alias("dilate"), F.col("fill").alias("fill_after"), "bodies"
-            ),
-            "attempts",
-        )
-        tries = attempt if tries is None else tries.unionByName(attempt)
-        solids = solid if solids is None else solids.unionByName(solid)
-        closed = attempt.filter((F.col("fill_after") >= FILL_FLOOR) & (F.col("bodies") == 1)).select("mesh_id")
-        todo = materialize(todo.join(closed, "mesh_id", "left_anti"), "unrepaired")
-        if todo.isEmpty():
-            break
-    best = tries.groupBy("mesh_id").agg(
-        F.max_by(F.struct("dilate", "fill_after", "bodies"), F.struct("fill_after", -F.col("dilate"))).alias("_b")
-    ).select("mesh_id", "_b.*")
-    report = wanted.join(best, "mesh_id", "left").select(
+    todo = triangles.join(wanted.filter("_treat").select("mesh_id"), "mesh_id", "left_semi")
+    shell = packed_shell(todo, materialize(pitches(todo, divisions), "pitch"))
+    kind = triangles.schema["mesh_id"].dataType.simpleString()
+    columns = f"mesh_id {kind}, dilate int, fill_after double, bodies long, cells long, low array<long>, shape array<long>, grid binary"
+    best = materialize(shell.groupBy("mesh_id").applyInPandas(lambda frame: _close(frame, steps), columns), "solids")
+    report = wanted.join(best.drop("low", "shape", "grid", "cells"), "mesh_id", "left").select(
         "mesh_id",
         F.when(~F.col("_treat"), "skipped").when(F.col("fill_after") >= FILL_FLOOR, "ok").otherwise("failed").alias("status"),
         "dilate", F.col("fill").alias("fill_before"), F.coalesce("fill_after", "fill").alias("fill_after"), "bodies",
     )
-    chosen = solids.join(best.select("mesh_id", "dilate"), ["mesh_id", "dilate"], "left_semi").drop("dilate")
-    return chosen, report
+    return unpacked(best), report

@@ -96,7 +96,7 @@ def _(v):
     fills = boxes.select("mesh_id").distinct().join(topo, "mesh_id", "left").select(
         "mesh_id", F.when(F.col("holes") > 0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("fill")
     )
-    _, report = voxels.repair(boxes, fills, 16, (2, 4))
+    _, report = voxels.repair(boxes, fills)
     return report
 
 
@@ -104,5 +104,5 @@ def _(v):
 def _(v):
     """Repair of whole assemblies judged by their hull fill."""
     fills = hull.fill_ratio(v.stored_triangles).select("mesh_id", "fill")
-    _, report = voxels.repair(v.stored_triangles, fills, 32, (2, 4))
+    _, report = voxels.repair(v.stored_triangles, fills)
     return report
