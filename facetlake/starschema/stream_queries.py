@@ -71,14 +71,15 @@ def _(v):
 
 @query("machine_presence_stream", "S3 S4", PRESENCE_SQL, ("polls", "teardowns"))
 def _(v):
-    path = staged(presence.events(v.polls, presence.poll_times(v.polls), v.teardowns), "polls")
-    return run.drain(presence.presence_stream(run.read_stream(v.spark, path)))
+    events = presence.events(v.polls, presence.poll_times(v.polls), v.teardowns)
+    path = run.stage_arrivals(events, "ts", {"kind": "tick"}, 7200, quiet=7200)
+    return run.drain(presence.presence_stream(run.read_stream(v.spark, path, files_per_batch=1)))
 
 
 @query("host_admission_stream", "S5 E10", QUERIES["host_admission"].sql)
 def _(v):
-    path = staged(_host_jobs(v), "submissions")
-    return run.drain(admission.admission_stream(run.read_stream(v.spark, path)))
+    path = run.stage_arrivals(_host_jobs(v), "start_ts", {"host": -1}, 86400, quiet=86400)
+    return run.drain(admission.admission_stream(run.read_stream(v.spark, path, files_per_batch=1)))
 
 
 WAITS = """ev AS (SELECT o_orderkey AS job_id, o_orderdate AS ts, 'queued' AS kind FROM orders
@@ -104,8 +105,8 @@ def _(v):
 
 @query("resource_wait_stream", "S6", QUERIES["resource_wait_outcomes"].sql)
 def _(v):
-    path = staged(wait_events(v), "waits")
-    return run.drain(admission.wait_stream(run.read_stream(v.spark, path)))
+    path = run.stage_arrivals(wait_events(v), "ts", {"job_id": -1, "kind": "tick"}, 600, quiet=7200)
+    return run.drain(admission.wait_stream(run.read_stream(v.spark, path, files_per_batch=1)))
 
 
 def beats(v):
@@ -119,7 +120,11 @@ def _(v):
     return admission.silent_jobs(beats(v), 43200, F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
-@query("silent_jobs_stream", "S7")
+@query("silent_jobs_stream", "S7", """WITH b AS (SELECT user_id AS job_id, ts, bool_or(event_type='purchase' AND event_id%3=0) AS terminal FROM events GROUP BY 1, 2),
+   n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS next_ts FROM b),
+   d AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts) AS k FROM n WHERE terminal OR next_ts IS NULL OR next_ts > ts + INTERVAL 12 HOUR)
+   SELECT job_id, ts AS last_ts, CASE WHEN terminal THEN 'finished' ELSE 'failed' END AS status FROM d WHERE k = 1""")
 def _(v):
-    path = staged(beats(v), "beats")
-    return run.drain(admission.silent_stream(run.read_stream(v.spark, path), 43200))
+    """Until the tick that ends the stream every job has finished or been silent for too long."""
+    path = run.stage_arrivals(beats(v), "ts", {"job_id": -1}, 600, quiet=86400)
+    return run.drain(admission.silent_stream(run.read_stream(v.spark, path, files_per_batch=1), 43200))

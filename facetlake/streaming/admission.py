@@ -9,43 +9,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from facetlake.streaming import reorder
+
 # Fixed value: how long a queued job waits for its machine.
 WAIT_SECONDS = 3600
 
 
-def _admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()  # whatever may still come starts after the host is free
-        return
-    busy_until = state.get[0] if state.exists else None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["start_ts", "job_id"])
+@reorder.keeps(1)
+def _admit(key: tuple, due: pd.DataFrame, kept: tuple | None, watermark: int) -> tuple[pd.DataFrame | None, tuple | None, int | None]:
+    busy_until = kept[0] if kept else None
     accepted = []
-    for start, end in zip(pdf["start_ts"], pdf["end_ts"]):
+    for start, end in zip(due.get("start_ts", ()), due.get("end_ts", ()), strict=True):
         free = busy_until is None or start >= busy_until
         accepted.append(free)
         busy_until = end if free else busy_until
-    state.update((busy_until,))
-    state.setTimeoutTimestamp(max(int(busy_until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"job_id": pdf["job_id"].to_numpy(), "host": key[0], "accepted": accepted})
+    out = pd.DataFrame({"job_id": due["job_id"].to_numpy(), "host": key[0], "accepted": accepted}) if accepted else None
+    # Whatever may still come starts after the watermark; a host that is free by then needs no memory.
+    if busy_until is None or _ms(busy_until) < watermark:
+        return out, None, None
+    return out, (busy_until,), _ms(busy_until)
 
 
 def admission_stream(submissions: DataFrame, late: str = "1 day") -> DataFrame:
     """Accept a job iff no accepted job is active on its host. Input: ``job_id host start_ts end_ts``.
 
-    The state of a host is one timestamp, and goes when the watermark passes it. Rows behind the
-    watermark are dropped by Spark. Jobs of one batch are taken in time order; across batches an earlier start
-    that arrives later is judged against what was accepted by then.
+    Submissions may arrive in any order within ``late``: a host's jobs wait until the watermark has passed their start, and are
+    judged in the order of start and id. What comes later is dropped and counted by Spark. Besides the jobs that wait, the
+    state of a host is one timestamp, and goes when the watermark passes it. Rows with a null ``job_id`` only move time.
     """
     return (
         submissions.withWatermark("start_ts", late)
         .groupBy("host")
         .applyInPandasWithState(
-            _admit, "job_id bigint, host bigint, accepted boolean", "busy_until timestamp", "append",
-            GroupStateTimeout.EventTimeTimeout,
+            reorder.in_order(_only_jobs(_admit), "start_ts", ["start_ts", "job_id"]), "job_id bigint, host bigint, accepted boolean",
+            f"{reorder.HELD}, busy_until timestamp", "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
+def _only_jobs(fold):
+    @reorder.keeps(fold.width)
+    def run(key: tuple, due: pd.DataFrame, kept: tuple | None, watermark: int):
+        return fold(key, due[due["job_id"].notna()] if len(due) else due, kept, watermark)
+
+    return run
+
+
 def wait_outcomes(events: DataFrame, wait_seconds: int = WAIT_SECONDS) -> DataFrame:
     """What became of each queued job, in batch.
 
@@ -139,40 +148,53 @@ def silent_jobs(beats: DataFrame, limit_seconds: int, as_of) -> DataFrame:
 
 
 def _watcher(limit_seconds: int):
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "last_ts": [last]})
-            return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        last = pdf["ts"].max()
-        if state.exists:
-            last = max(last, state.get[0])
-        if bool(pdf["terminal"].any()):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["finished"], "last_ts": [last]})
-            return
-        deadline = int((last + pd.Timedelta(seconds=limit_seconds)).timestamp() * 1000)
-        if deadline <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "last_ts": [last]})
-            return
-        state.update((last,))
-        state.setTimeoutTimestamp(deadline)
+    limit = pd.Timedelta(seconds=limit_seconds)
+
+    @reorder.keeps(2)
+    def watch(key: tuple, due: pd.DataFrame, kept: tuple | None, watermark: int) -> tuple[pd.DataFrame | None, tuple | None, int | None]:
+        last, status = kept or (None, "running")
+        judged = status != "running"
+        for ts, terminal in zip(due.get("ts", ()), due.get("terminal", ()), strict=True):
+            if judged:
+                break
+            if last is not None and ts > last + limit:
+                judged, status = True, "failed"
+                break
+            last = ts
+            if terminal:
+                judged, status = True, "finished"
+        if not judged and last is not None and _ms(last + limit) < watermark:
+            judged, status = True, "failed"
+        if last is None:
+            return None, None, None
+        new = judged and (kept is None or kept[1] == "running")
+        out = pd.DataFrame({"job_id": [key[0]], "status": [status], "last_ts": [last]}) if new else None
+        if not judged:
+            return out, (last, status), _ms(last + limit)
+        # A verdict is remembered for a while, so that a straggler does not get the job another one.
+        forget = _ms(last + limit) + REMEMBER_MS
+        return (out, None, None) if forget < watermark else (out, (last, status), forget)
 
     return watch
 
 
+#: How long a stream remembers the verdict on a job: 30 days.
+REMEMBER_MS = 30 * 24 * 3600 * 1000
+
+
 def silent_stream(beats: DataFrame, limit_seconds: int, late: str = "10 minutes") -> DataFrame:
-    """Finished and silent jobs from a stream of ``job_id ts terminal``; running ones stay in state."""
+    """Finished and silent jobs from a stream of ``job_id ts terminal``; running ones stay in state.
+
+    Beats are taken in time order, whatever their order of arrival within ``late``. The first terminal beat or the first
+    silence longer than the limit decides, once per job; what follows it is ignored for 30 days. Rows with a null
+    ``terminal`` are beats like any other.
+    """
+    ranked = beats.withColumn("terminal", F.coalesce("terminal", F.lit(False)))
     return (
-        beats.withWatermark("ts", late)
+        ranked.withWatermark("ts", late)
         .groupBy("job_id")
         .applyInPandasWithState(
-            _watcher(limit_seconds), "job_id bigint, status string, last_ts timestamp", "last_ts timestamp", "append",
-            GroupStateTimeout.EventTimeTimeout,
+            reorder.in_order(_watcher(limit_seconds), "ts", ["ts", "terminal"]), "job_id bigint, status string, last_ts timestamp",
+            f"{reorder.HELD}, last_ts timestamp, status string", "append", GroupStateTimeout.EventTimeTimeout,
         )
     )

@@ -7,12 +7,12 @@ has no running machine left, so a slow delete does not hide a later preemption.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from facetlake.streaming import reorder
 
 OUT = "project bigint, poll_ts timestamp, running bigint, preempted string, presence string"
 #: A project without events for so long is forgotten.
@@ -91,47 +91,48 @@ def events(polls: DataFrame, times: DataFrame, teardowns: DataFrame) -> DataFram
     return listing.unionByName(asked)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the new events of one project, in time order, into its state."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    running, teardown, preempted, last_ts = state.get if state.exists else ([], False, None, None)
-    running = set(running)
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf["_rank"] = (pdf["kind"] == "poll").astype(int)
-    out = []
-    for row in pdf.sort_values(["ts", "_rank"]).itertuples(index=False):
-        if last_ts is not None and row.ts <= last_ts:
-            continue  # a listing older than the state cannot change what was reported
+@reorder.keeps(4)
+def _advance(key: tuple, due: pd.DataFrame, kept: tuple | None, watermark: int) -> tuple[pd.DataFrame | None, tuple | None, int | None]:
+    """Fold the due events of one project into its state."""
+    names, teardown, preempted, last_ts = kept or ([], False, None, None)
+    running, out = set(names), []
+    for row in due.itertuples(index=False):
+        last_ts = row.ts
         if row.kind == "teardown":
             teardown = True
         elif row.kind == "ack":
             preempted = None
-        else:
-            names = set(row.running)
-            lost = running - names
+        elif row.kind == "poll":
+            seen = set(row.running)
+            lost = running - seen
             if lost and not teardown:
                 preempted = max(lost)
-            if teardown and running and not names:
+            if teardown and running and not seen:
                 teardown = False
-            running, last_ts = names, row.ts
-            seen = "ready" if names else "preempted" if preempted else "absent"
-            out.append((key[0], row.ts, len(names), preempted, seen))
-    state.update((sorted(running), teardown, preempted, last_ts))
-    quiet = int((pdf["ts"].max() + KEEP).timestamp() * 1000)
-    state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
-    if out:
-        yield pd.DataFrame(out, columns=["project", "poll_ts", "running", "preempted", "presence"])
+            running = seen
+            out.append((key[0], row.ts, len(seen), preempted, "ready" if seen else "preempted" if preempted else "absent"))
+    if last_ts is None:
+        return None, None, None
+    forget = int((last_ts + KEEP).timestamp() * 1000)
+    if forget < watermark:
+        return pd.DataFrame(out, columns=_COLUMNS), None, None
+    return pd.DataFrame(out, columns=_COLUMNS), (sorted(running), teardown, preempted, last_ts), forget
+
+
+_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
 def presence_stream(stream: DataFrame, late: str = "2 hours") -> DataFrame:
-    """The same states from a stream of ``project ts kind running``.
+    """The same states from a stream of ``project ts kind running``; kinds are poll, teardown and ack, and any other only moves time.
 
-    Spark drops events behind the watermark; a project without events for ``KEEP`` is forgotten.
+    Events may arrive in any order within ``late``: a project's events wait until the watermark has passed them, so a poll is
+    reported that much later. What comes later still is dropped and counted by Spark. A project without
+    events for ``KEEP`` is forgotten.
     """
+    # Requests count from the poll at or after them, so they go first at equal times.
+    ranked = stream.withColumn("rank", F.when(F.col("kind") == "poll", 1).otherwise(0))
     return (
-        stream.withWatermark("ts", late)
+        ranked.withWatermark("ts", late)
         .groupBy("project")
-        .applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(reorder.in_order(_advance, "ts", ["ts", "rank"]), OUT, f"{reorder.HELD}, {STATE}", "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -132,10 +132,10 @@ def test_admission_equals_sequential(spark, tmp_path):
     busy = {r.job_id: r.active for r in fleet.busy_hosts(df).collect()}
     for job, host, a, _ in rows:
         assert busy[job] == sum(h == host and (s, j) < (a, job) and e > a for j, h, s, e in rows)
-    src = tmp_path / "jobs"
-    df.repartition(3).write.parquet(str(src))
-    out = run.drain(admission.admission_stream(run.read_stream(spark, str(src))))
-    assert {r.job_id: r.accepted for r in out.collect()} == want
+    src = run.stage_arrivals(df, "start_ts", {"host": -1}, 5000, batches=5, quiet=86400)
+    done = run.drain_counted(admission.admission_stream(run.read_stream(spark, src, files_per_batch=1)))
+    assert {r.job_id: r.accepted for r in done.table.collect()} == want
+    assert done.rows == len(rows) + 1 and done.late == 0
 
 
 def presence_rows(df):
@@ -154,16 +154,64 @@ def test_presence_stream_equals_batch_over_several_batches(spark, tmp_path):
     times = presence.poll_times(polls)
     batch = presence_rows(presence.presence(polls, times, teardowns))
     events = presence.events(polls, times, teardowns)
-    src, out, ck = (str(tmp_path / n) for n in ("events", "out", "ck"))
-    half = F.timestamp_seconds(F.lit(20 * 3600 + base))
-    events.filter(F.col("ts") <= half).write.parquet(src)
-    run.drain(presence.presence_stream(run.read_stream(spark, src)), out, ck)
-    events.filter(F.col("ts") > half).write.mode("append").parquet(src)
-    got = presence_rows(run.drain(presence.presence_stream(run.read_stream(spark, src)), out, ck))
+    src = run.stage_arrivals(events, "ts", {"kind": "tick"}, 7 * 3600, batches=6, quiet=8 * 3600)
+    done = run.drain_counted(presence.presence_stream(run.read_stream(spark, src, files_per_batch=1), "8 hours"))
     first = {p: min(t for q, t, *_ in batch if q == p) for p in range(3)}
+    assert [r for r in presence_rows(done.table) if r[1] >= first[r[0]]] == batch and done.late == 0
+    # The same files in two runs that share a checkpoint: what waits in state is not lost in between.
+    out, ck, grow = (str(tmp_path / n) for n in ("out", "ck", "grow"))
+    half = F.timestamp_seconds(F.lit(20 * 3600 + base))
+    early = (F.col("ts") <= half) | (F.col("kind") == "teardown")
+    events.filter(early).coalesce(1).write.parquet(grow)
+    some = run.drain(presence.presence_stream(run.read_stream(spark, grow), "48 hours"), out, ck)
+    assert some.count() == 0
+    events.filter(~early).coalesce(1).write.mode("append").parquet(grow)
+    tick = spark.range(1).select(F.lit(None).cast("bigint").alias("project"), F.timestamp_seconds(F.lit(base + 100 * 3600)).alias("ts"), F.lit("tick").alias("kind"), F.array().cast("array<string>").alias("running"))
+    run.drain(presence.presence_stream(run.read_stream(spark, grow), "48 hours"), out, ck)
+    tick.coalesce(1).write.mode("append").parquet(grow)
+    got = presence_rows(run.drain(presence.presence_stream(run.read_stream(spark, grow), "48 hours"), out, ck))
     assert [r for r in got if r[1] >= first[r[0]]] == batch
 
 
+def test_a_teardown_that_comes_after_the_poll_still_counts(spark, tmp_path):
+    base = 10**9 - 10**9 % 3600
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+
+    def write(rows):
+        df = spark.createDataFrame(rows, "project BIGINT, s BIGINT, kind STRING, running ARRAY<STRING>")
+        df = df.select("project", F.timestamp_seconds(F.col("s") + base).alias("ts"), "kind", "running")
+        df.coalesce(1).write.mode("append").parquet(src)
+        return run.drain_counted(presence.presence_stream(run.read_stream(spark, src)), out, ck)
+
+    write([(1, 0, "poll", ["vm"]), (2, 0, "poll", ["vm"])])
+    write([(1, 3600, "poll", []), (2, 3600, "poll", [])])
+    write([(1, 1800, "teardown", [])])
+    done = write([(None, 7 * 3600, "tick", [])])
+    assert [r[2:] for r in presence_rows(done.table)] == [(1, "", "ready"), (0, "", "absent"), (1, "", "ready"), (0, "vm", "preempted")]
+    late = write([(2, 60, "poll", ["vm"]), (1, 8 * 3600, "poll", ["x"])])
+    assert late.late == 1
+
+
+def test_silence_is_reported_once_and_in_order(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+
+    def write(rows):
+        df = spark.createDataFrame(rows, "job_id BIGINT, s BIGINT, terminal BOOLEAN").select("job_id", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"), "terminal")
+        df.coalesce(1).write.mode("append").parquet(src)
+        found = run.drain(admission.silent_stream(run.read_stream(spark, src), 3600, "2 hours"), out, ck)
+        return sorted((r.job_id, r.status, int(r.last_ts.timestamp()) - 10**9) for r in found.collect())
+
+    assert write([(1, 0, False), (2, 0, False), (3, 0, False), (4, 0, True)]) == []
+    # Beats that come out of order bridge the silence of job 2; job 1 stays silent for too long.
+    assert write([(2, 7000, False), (1, 7000, False), (3, 3000, None), (9, 9000, False)]) == [(4, "finished", 0)]
+    assert write([(2, 3500, False), (9, 16000, False)]) == [(1, "failed", 0), (3, "failed", 3000), (4, "finished", 0)]
+    # What a job says after its verdict changes nothing.
+    assert write([(1, 20000, True), (3, 21000, False), (-1, 90000, None)]) == [
+        (1, "failed", 0), (2, "failed", 7000), (3, "failed", 3000), (4, "finished", 0), (9, "failed", 9000),
+    ]
+    assert write([(1, 200000, False), (-2, 300000, None)])[1:] == [(1, "failed", 0), (2, "failed", 7000), (3, "failed", 3000), (4, "finished", 0), (9, "failed", 9000)]
+
+
 def test_tail_delivers_each_line_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("log", "out", "ck"))
     line = spark.range(6).select(F.lit(1).alias("job_id"), F.col("id").alias("line_no"), F.lit("[OK] x").alias("line"), F.lit(None).cast("timestamp").alias("ts"))
@@ -217,9 +265,10 @@ def test_late_submissions_are_dropped(spark, tmp_path):
 
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     day = 86400
-    write([(1, 1, 10, 50), (2, 1, 30 * day, 31 * day)])
-    got = write([(3, 2, 10 * day, 11 * day), (4, 1, 30 * day + 5, 32 * day), (5, 1, 31 * day, 32 * day)])
-    assert got == {1: True, 2: True, 4: False, 5: True}
+    assert write([(1, 1, 10, 50), (2, 1, 30 * day, 31 * day)]) == {1: True}
+    # Job 3 is behind the watermark; jobs 4 and 5 wait until it has passed them.
+    assert write([(3, 2, 10 * day, 11 * day), (4, 1, 30 * day + 5, 32 * day), (5, 1, 31 * day, 32 * day)]) == {1: True}
+    assert write([(None, -1, 40 * day, 40 * day)]) == {1: True, 2: True, 4: False, 5: True}
 
 
 def test_obj_round_trip_and_polygons(spark, tmp_path):
