@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -90,13 +93,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/facetlake/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within this, tables that ``materialize`` writes are deleted at the end, but for those it is told to keep.
+
+    What the block computes must be written before it ends. Scopes may be nested; a table kept by one belongs
+    to the scope around it.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(spark, _scopes.pop())
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables, and let Spark drop the shuffle files of plans that nothing refers to any more."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
     """Cut lineage by writing ``df`` as a table in the shared folder and reading it back.
 
     Unlike ``checkpoint()`` this computes the plan once, survives executor loss and
-    gives the optimiser exact sizes for the next join.
+    gives the optimiser exact sizes for the next join. ``keep`` lets the table outlive the innermost scratch scope.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    holders = _scopes[:-1] if keep else _scopes
+    if holders:
+        holders[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
