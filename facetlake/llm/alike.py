@@ -15,8 +15,9 @@ groups that are not yet known to hang together:
    share of shingles that others have too, as an original has among its edited copies. A fragment counts, per
    class and holder, the shingles that point there. Summed, that is a lower bound of the overlap, and links it
    proves join groups. Step 2 follows again, for groups in place of classes.
-4. When a round no longer closes a good part of what is open, the rest goes through a prefix join on the
-   rarest shingles, whose pairs are verified by summed partial overlaps.
+4. When a round no longer closes a good part of what is open, the rest is laid out so that neighbours come to lie together, and cut
+   into blocks. Blocks with a rare shingle in common are compared: fragments of the order count the overlaps of all their
+   classes at once, as products of 0-1 matrices, and the counts are summed.
 
 Shingles that tasks see in several groups are not shuffled per holder: a task settles what it can among its
 own rows and sends one row per shingle. So neither a passage that a third of all logs share
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from facetlake.llm.words import grams, mix, slices, words
 from facetlake.operators.components import components
-from facetlake.session import materialize
+from facetlake.operators.ordering import running_sum
+from facetlake.session import materialize, scratch
 
 SHINGLE = 5
 #: Links need 100 * overlap >= 75 * union.
@@ -45,6 +47,8 @@ PERCENT = 75
 FRAGMENT = 1_500_000
 #: Star rounds go on while they leave at most this share of the classes open.
 CLOSING = 0.8
+#: Shingles and classes of a block of neighbours, and shingles of a fragment of their comparison.
+BLOCK_TOKENS, BLOCK_ROWS, COLUMNS = 200_000, 512, 4096
 #: Shingles a task handles at a time.
 CHUNK = 500_000
 
@@ -304,41 +308,92 @@ def _star_round(classes: DataFrame, turn: int, bits: int) -> DataFrame:
     return told.filter("frag < 0").select("a", "b").unionByName(summed.filter(_linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
 
 
-# ---- what is left: prefix join ---------------------------------------------------------------------------
+# ---- what is left: blocks of neighbours ------------------------------------------------------------------
 
 
-def _prefix_join(classes: DataFrame, parts: int = 16) -> DataFrame:
-    """All links between groups among the open classes."""
+def _entries(classes: DataFrame) -> DataFrame:
+    """``token owner group n df``: the shingles that several groups of the open classes have."""
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                yield pd.DataFrame({"token": np.frombuffer(r.tokens, np.int64), "owner": r.owner, "group": r.group, "n": r.n})
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, tokens, row in _chunks(batch):
+                columns = [tokens.view(np.int64), *[_longs(part, c)[row] for c in ("owner", "group", "n")]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "owner", "group", "n"])
 
-    entries = materialize(classes.select("owner", "group", "n", "tokens").mapInPandas(spread, "token long, owner long, group long, n long"), "entries")
+    entries = materialize(classes.select("owner", "group", "n", "tokens").mapInArrow(spread, "token long, owner long, group long, n long"), "entries")
     seen = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
-    entries = materialize(entries.join(seen.select("token", "df"), "token"), "entries")
+    return materialize(entries.join(seen.select("token", "df"), "token"), "entries")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], same: bool, fragment: int = COLUMNS) -> np.ndarray:
+    """Shingles that each set of ``x`` shares with each of ``y``: counted in fragments of the order of shingles, and summed."""
+    sides = []
+    for sets in (x, y):
+        tokens = np.concatenate(sets)
+        sides.append((tokens, np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    if same:
+        found, often = np.unique(sides[0][0], return_counts=True)
+        common = found[often > 1]
+    else:
+        common = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for tokens, row in sides:
+        at = np.searchsorted(common, tokens)
+        held = common[np.minimum(at, len(common) - 1)] == tokens if len(common) else np.zeros(len(tokens), bool)
+        order = np.argsort(at[held], kind="stable")
+        places.append((at[held][order], row[held][order]))
+    total = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(common), fragment):
+        parts = []
+        for (at, row), sets in zip(places, (x, y), strict=True):
+            i, j = np.searchsorted(at, [lo, lo + fragment])
+            part = np.zeros((len(sets), min(fragment, len(common) - lo)), np.float32)
+            part[row[i:j], at[i:j] - lo] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total.astype(np.int64)
+
+
+def _block_pair(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between the classes of two blocks: of each class one to every group that it is linked with."""
+    sides = [frame[frame["block"] == k].sort_values("owner") for k in key]
+    sets = [[np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in sides]
+    (own_a, group_a, n_a), (own_b, group_b, n_b) = ([side[c].to_numpy() for c in ("owner", "group", "n")] for side in sides)
+    shared = _overlaps(*sets, key[0] == key[1])
+    a, b = np.nonzero(_linked(shared, n_a[:, None], n_b[None, :]) & (group_a[:, None] != group_b[None, :]))
+    _, numbered = np.unique(group_b, return_inverse=True)
+    _, first = np.unique(a * len(group_b) + numbered[b], return_index=True) if len(a) else (a, a)
+    return pd.DataFrame({"a": own_a[a[first]], "b": own_b[b[first]]})
+
+
+def _block_join(classes: DataFrame) -> DataFrame:
+    """Enough links between groups among the open classes to join all groups that links join.
+
+    Classes are laid out by their most frequent shingle, so that copies of one original come to lie together, and
+    cut into blocks of bounded size. Two blocks are compared if they have a prefix shingle in common: of the shingles that
+    a class shares with other groups, one of its rarest must be in any overlap that is large enough. Pairs are made of blocks,
+    never of classes; what a task compares is bounded by two blocks.
+    """
+    entries = _entries(classes)
     own = Window.partitionBy("owner")
     place = F.row_number().over(own.orderBy("df", "token"))
-    # Of the shingles no other group has, all could be missing from the overlap; the rest of the slack is the prefix.
     shared = F.count("*").over(own)
+    # Of the shingles no other group has, all could be missing from the overlap; the rest of the slack is the prefix.
     length = shared - F.ceil(F.col("n") * PERCENT / 100) + 1
-    placed = entries.withColumn("_p", place).withColumn("shared", shared).withColumn("_l", length)
-    prefix = materialize(placed.filter("_p <= _l").select("token", "owner", "group", "n", "shared"), "prefix")
-    a, b = (prefix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("owner", "group", "n", "shared")]) for s in "ab")
-    # An overlap has only shingles that both share with other groups. Copies that have lost too many of an
-    # original's to be linked with their likes are told apart by this before any pair is made.
-    apart = (F.col("owner_a") < F.col("owner_b")) & (F.col("group_a") != F.col("group_b"))
-    enough = _linked(F.least("shared_a", "shared_b"), F.col("n_a"), F.col("n_b"))
-    pairs = a.join(b, "token").filter(apart & enough)
-    pairs = materialize(pairs.select("owner_a", "owner_b", "n_a", "n_b").distinct(), "pairs")
-    cut = entries.groupBy("owner", F.pmod("token", F.lit(parts)).alias("part")).agg(F.collect_list("token").alias("tokens"))
-    cut = materialize(cut, "segments")
-    first = pairs.join(cut.select(F.col("owner").alias("owner_a"), "part", F.col("tokens").alias("_x")), "owner_a")
-    both = first.join(cut.select(F.col("owner").alias("owner_b"), "part", F.col("tokens").alias("_y")), ["owner_b", "part"])
-    partial = both.select("owner_a", "owner_b", "n_a", "n_b", F.size(F.array_intersect("_x", "_y")).alias("overlap"))
-    summed = partial.groupBy("owner_a", "owner_b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    return summed.filter(_linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select(F.col("owner_a").alias("a"), F.col("owner_b").alias("b"))
+    placed = entries.withColumn("_p", place).withColumn("_l", length).withColumn("_top", F.max(F.struct("df", "token")).over(own))
+    prefix = materialize(placed.filter("_p <= _l").select("token", "owner", "group", "n", F.col("_top.token").alias("top")), "prefix")
+    least = F.greatest(F.lit(BLOCK_TOKENS // BLOCK_ROWS), F.col("n"))
+    laid = running_sum(prefix.select("owner", "n", "top").distinct(), [], ["top", "owner"], least, "_upto")
+    block_of = materialize(laid.select("owner", F.floor(F.col("_upto") / BLOCK_TOKENS).cast("long").alias("block")), "blocks")
+    held = prefix.join(block_of, "owner").groupBy("token", "block").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    held = materialize(held, "block_tokens")
+    x, y = (held.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")]) for s in "xy")
+    several = (F.col("block_x") <= F.col("block_y")) & (F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y"))
+    pairs = x.join(y, "token").filter(several).groupBy("block_x", "block_y").agg(F.count("*").alias("_t"))
+    pairs = materialize(pairs.select(F.col("block_x").alias("x"), F.col("block_y").alias("y")), "block_pairs")
+    both = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sets = classes.select("owner", "group", "n", "tokens").join(block_of, "owner")
+    return both.join(sets, "block").groupBy("x", "y").applyInPandas(_block_pair, "a long, b long")
 
 
 # ---- all together ------------------------------------------------------------------------------------------
@@ -396,6 +451,17 @@ def alike_logs(logs: DataFrame) -> DataFrame:
     """
     keyed = logs.select(F.col("job_id").cast("long").alias("job_id"), "log", F.xxhash64("log").alias("log_key"))
     known = materialize(_summaries(keyed), "summaries")
+    with scratch(logs.sparkSession):
+        groups = materialize(_groups(keyed, known), "groups", keep=True)
+    named = known.filter("n > 0").select("job_id", "log_key", "n", "owner").join(groups, "owner", "left").withColumn("group", F.coalesce("group", "owner"))
+    least = named.groupBy("group").agg(F.min("job_id").alias("alike_id"))
+    alone = known.filter("n = 0").withColumn("group", F.lit(None).cast("long")).withColumn("alike_id", F.col("job_id"))
+    columns = ["job_id", "log_key", F.col("n").alias("n_shingles"), "alike_id", F.col("group").alias("group_key")]
+    return named.join(least, "group").select(*columns).unionByName(alone.select(*columns))
+
+
+def _groups(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """``owner group`` of all classes that may have links."""
     size = keyed.agg(F.sum(F.octet_length("log"))).first()[0] or 0
     counted = _counted(_note_logs(keyed, _bits(size / 6)))
     classes = known.filter("n > 0").groupBy("owner", "check", "n").agg(F.min(F.struct("job_id", "log_key")).alias("rep"))
@@ -412,29 +478,24 @@ def alike_logs(logs: DataFrame) -> DataFrame:
         total, rows = open_.agg(F.sum("n"), F.count("*")).first()
     while rows:
         bits, before = _bits(total), rows
-        found = _star_round(open_, turn, bits)
-        found = materialize(_of_classes(found, class_of), "links")
-        proven = not found.isEmpty()
+        with scratch(keyed.sparkSession):
+            found = materialize(_of_classes(_star_round(open_, turn, bits), class_of), "links", keep=True)
+            proven = not found.isEmpty()
+            if proven:
+                links = found if links is None else links.unionByName(found)
+                groups = materialize(components(nodes, links, (), "a", "b", "owner", "group"), "groups")
+                regrouped = open_.drop("group").join(groups.withColumnRenamed("owner", "class"), "class")
+                open_ = materialize(_open(regrouped, bits), "classes", keep=True)
         if proven:
-            links = found if links is None else links.unionByName(found)
-            groups = materialize(components(nodes, links, (), "a", "b", "owner", "group"), "groups")
-            regrouped = open_.drop("group").join(groups.withColumnRenamed("owner", "class"), "class")
-            open_ = materialize(_open(regrouped, bits), "classes")
             total, rows = open_.agg(F.sum("n"), F.count("*")).first()
             turn += 1
         if rows and (not proven or rows > CLOSING * before):
-            rest = materialize(_of_classes(_prefix_join(open_), class_of), "links")
+            rest = materialize(_of_classes(_block_join(open_), class_of), "links")
             links = rest if links is None else links.unionByName(rest)
             break
     if links is None:
-        groups = nodes.withColumn("group", F.col("owner"))
-    else:
-        groups = materialize(components(nodes, links, (), "a", "b", "owner", "group"), "groups")
-    named = known.filter("n > 0").select("job_id", "log_key", "n", "owner").join(groups, "owner", "left").withColumn("group", F.coalesce("group", "owner"))
-    least = named.groupBy("group").agg(F.min("job_id").alias("alike_id"))
-    alone = known.filter("n = 0").withColumn("group", F.lit(None).cast("long")).withColumn("alike_id", F.col("job_id"))
-    columns = ["job_id", "log_key", F.col("n").alias("n_shingles"), "alike_id", F.col("group").alias("group_key")]
-    return named.join(least, "group").select(*columns).unionByName(alone.select(*columns))
+        return nodes.withColumn("group", F.col("owner"))
+    return components(nodes, links, (), "a", "b", "owner", "group")
 
 
 def distinct_logs(logs: DataFrame) -> DataFrame:
@@ -444,12 +505,15 @@ def distinct_logs(logs: DataFrame) -> DataFrame:
     """
     found = materialize(alike_logs(logs), "alike")
     first = found.filter("group_key is not null").groupBy("group_key").agg(F.min(F.struct("job_id", "log_key")).alias("first")).select("first.*")
-    keyed = logs.withColumn("_key", F.xxhash64("log"))
+    key = "_key"
+    while key in logs.columns:
+        key = f"_{key}"
+    keyed = logs.withColumn(key, F.xxhash64("log"))
     # A filter of its own, so that the join need not carry logs without words.
     wordless = found.filter("group_key is null").select("job_id", "log_key").distinct()
 
     def rows_of(keys: DataFrame) -> DataFrame:
-        return keyed.join(keys, keyed["job_id"].eqNullSafe(keys["job_id"]) & (keyed["_key"] == keys["log_key"]), "left_semi")
+        return keyed.join(keys, keyed["job_id"].eqNullSafe(keys["job_id"]) & (keyed[key] == keys["log_key"]), "left_semi")
 
-    kept = rows_of(first).dropDuplicates(["job_id", "_key"])
-    return kept.unionByName(rows_of(wordless)).drop("_key")
+    kept = rows_of(first).dropDuplicates(["job_id", key])
+    return kept.unionByName(rows_of(wordless)).drop(key)

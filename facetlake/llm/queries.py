@@ -50,7 +50,7 @@ def words_of(text: str) -> F.Column:
 @numbered
 def op1_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
-    return alike.alike_logs(logs).withColumnsRenamed({"job_id": "doc_id", "alike_id": "component_id"})
+    return alike.alike_logs(logs).select(F.col("job_id").alias("doc_id"), "n_shingles", F.col("alike_id").alias("component_id"))
 
 
 @numbered

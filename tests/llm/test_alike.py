@@ -1,10 +1,13 @@
+import os
 import random
 
+import numpy as np
 import pytest
 from edge import EDGE, SPACED, frame, with_extra
 from facetlake.llm import alike
 from facetlake.llm.alike import alike_logs
 from facetlake.llm.queries import QUERIES
+from facetlake.session import materialize, scratch, shared_dir
 
 
 def shingles(text):
@@ -75,9 +78,13 @@ def test_planted_families(spark, seed):
     assert compared(alike_logs(with_extra(logs).repartition(6))) == brute(rows)
 
 
-def test_prefix_join_alone(spark, monkeypatch):
-    """Without any star links the prefix join finds all."""
+@pytest.mark.parametrize("tokens, rows_of_block", [(200_000, 512), (300, 3), (40, 1)])
+def test_blocks_alone(spark, monkeypatch, tokens, rows_of_block):
+    """Without any star links the blocks find all, however small they are."""
     rows = planted(4, 12)
+    monkeypatch.setattr(alike, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(alike, "BLOCK_ROWS", rows_of_block)
+    monkeypatch.setattr(alike, "COLUMNS", 64)
     monkeypatch.setattr(alike, "_star_round", lambda classes, *_: classes.sparkSession.createDataFrame([], "a long, b long"))
     assert compared(alike_logs(frame(spark, rows, "job_id long, log string").repartition(4))) == brute(rows)
 
@@ -94,5 +101,25 @@ def test_query_equals_brute_force(spark, small):
     assert compared(QUERIES["op1_alike"](spark, small), "doc_id", "component_id") == brute(rows)
 
 
+@pytest.mark.parametrize("fragment", [1, 7, 10_000])
+def test_overlaps_equal_set_intersections(fragment):
+    rng = np.random.default_rng(fragment)
+    x, y = ([np.unique(rng.integers(0, 90, n).astype(np.uint64) << np.uint64(55)) for n in rng.integers(1, 60, 20)] for _ in range(2))
+    for a, b in ((x, y), (x, x)):
+        got = alike._overlaps(a, b, a is b, fragment)
+        want = [[len(np.intersect1d(s, t)) for t in b] for s in a]
+        off = ~np.eye(20, dtype=bool) if a is b else np.ones((20, 20), bool)
+        assert (got == want)[off].all()
+
+
+def test_scratch_is_cleared(spark):
+    before = set(os.listdir(f"{shared_dir(spark)}/facetlake"))
+    rows = planted(3, 6)
+    with scratch(spark):
+        found = materialize(alike_logs(frame(spark, rows, "job_id long, log string")), "kept", keep=True)
+    left = set(os.listdir(f"{shared_dir(spark)}/facetlake")) - before
+    assert len(left) == 1 and compared(found) == brute(rows)
+
+
 def test_empty_table(spark):
     assert alike_logs(frame(spark, [], "job_id long, log string")).count() == 0

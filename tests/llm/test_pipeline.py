@@ -82,3 +82,17 @@ def test_stages_take_odd_documents(spark, small):
 def test_masks_join_overlaps():
     assert secrets.masked("0123456789", [(1, 4), (3, 5), (5, 6), (8, 9)]) == "0[secret][secret]67[secret]9"
 
+
+
+CLASHES = ("name", "session_id", "log", "job_id", "path", "content", "size", "target", "taken", "spans", "sha256", "n_hex", "_key", "_size", "_id")
+
+
+def test_extra_columns_with_taken_names(spark, small):
+    """Every stage takes columns named like those that it uses inside, and leaves them out."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    docs = materialize(docs, "clash")
+    for _, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs, small)
+        clashing = stage(spark, docs.withColumns({n: F.lit(7) for n in CLASHES}), small)
+        assert plain.columns == clashing.columns
+        assert sorted(r.doc_id for r in plain.collect()) == sorted(r.doc_id for r in clashing.collect())
