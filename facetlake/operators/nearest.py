@@ -1,81 +1,177 @@
-"""Nearest-vertex and nearest-face joins on a grid that widens for unresolved points.
+"""Nearest-vertex and nearest-face joins by two trees that are split by load.
 
-A point is settled in a round when its best candidate is no farther than one cell, which no
-unseen target can beat. The others go on with a larger cell. Targets at the same position are
-folded first, and the first cell size follows target density, so dense regions settle early.
+Points and targets of a mesh are laid out along a curve through space and cut into leaves of equal number, so a crowded
+corner, a far outlier or a very large face makes no leaf heavier than others. Sixteen leaves form a node, sixteen nodes the
+next one, each with its bounding box. The join goes down both trees at once: a pair of nodes is followed only if
+its boxes are no farther apart than the farthest that some target of the point node can be. Pairs of leaves are
+compared in arrays, nearest boxes first. Only targets near a point are read for it, once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.functions import geometry as g
 from facetlake.operators import mesh
+from facetlake.operators.ordering import positions
 from facetlake.session import materialize
 
-GROWTH = 4.0
-IJK = ("i", "j", "k")
+#: Points or vertices of a leaf, faces of a leaf, and children of a node.
+LEAF, FACE_LEAF, FAN = 128, 64, 16
+#: Steps of the curve along the longest edge.
+STEPS = 1 << 20
+#: Distances of boxes are compared with this much room for rounding.
+ROOM = 1 + 1e-9
 
+_LOW, _HIGH = [f"l{t}" for t in g.XYZ], [f"h{t}" for t in g.XYZ]
+_SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 
-def _cell(value: Column) -> Column:
-    return F.floor(value / F.col("cell"))
 
+def _curve(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Place of a cell on the curve: the bits of its three numbers by turns."""
+    out = np.zeros(len(x), np.int64)
+    for shift, v in enumerate((x, y, z)):
+        for by, mask in _SPREAD:
+            v = (v | v << by) & mask
+        out |= v << shift
+    return out
 
-def _first_cells(targets: DataFrame) -> DataFrame:
-    """Starting cell per mesh: box diagonal over the square root of the target count."""
-    box = targets.groupBy("mesh_id").agg(
-        F.count("*").alias("_n"), *[F.min(t).alias(f"_l{t}") for t in g.XYZ], *[F.max(t).alias(f"_h{t}") for t in g.XYZ]
-    )
-    diagonal = g.norm(*[F.col(f"_h{t}") - F.col(f"_l{t}") for t in g.XYZ])
-    size = F.greatest(diagonal / F.sqrt("_n"), F.lit(1e-9))
-    return box.select("mesh_id", size.alias("cell"))
 
+def _leaves(rows: DataFrame, key: str, fields: list[str], size: int, by_size: bool) -> DataFrame:
+    """``mesh_id node`` with its box and ``items``, the rows of a leaf in order of their key; ``node`` counts leaves along the curve.
 
-def _settle(todo: DataFrame, candidates, cells: DataFrame, columns: list[str]) -> DataFrame:
-    """Run rounds of ``candidates(points, cells)`` until every point has a proven answer."""
-    settled = None
-    # Points of meshes without targets have no answer and would never settle.
-    todo = materialize(todo.join(cells.select("mesh_id"), "mesh_id", "left_semi"), "points")
-    while not todo.isEmpty():
-        best = materialize(candidates(todo, cells).join(cells, "mesh_id"), "candidates")
-        proven = best.filter(F.col("d2") <= F.col("cell") * F.col("cell")).select("mesh_id", "pid", "d2", *columns)
-        settled = proven if settled is None else settled.unionByName(proven)
-        todo = materialize(todo.join(proven.select("mesh_id", "pid"), ["mesh_id", "pid"], "left_anti"), "points")
-        cells = materialize(cells.withColumn("cell", F.col("cell") * GROWTH), "cells")
-    return settled
+    ``rows`` have the box of each in ``lx`` to ``hz``. With ``by_size`` large boxes come before small ones, and do not
+    widen the leaves of those around them.
+    """
+    whole = rows.groupBy("mesh_id").agg(*[F.min(f"l{t}").alias(f"_o{t}") for t in g.XYZ], F.greatest(*[F.max(f"h{t}") - F.min(f"l{t}") for t in g.XYZ]).alias("_w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (*_LOW, *_HIGH, "_ox", "_oy", "_oz", "_w")}
+            wide = np.where(at["_w"] > 0, at["_w"], 1.0)
+            cells = [np.clip(((at[f"l{t}"] + at[f"h{t}"]) / 2 - at[f"_o{t}"]) / wide * (STEPS - 1), 0, STEPS - 1).astype(np.int64) for t in g.XYZ]
+            extent = np.maximum.reduce([at[f"h{t}"] - at[f"l{t}"] for t in g.XYZ]) / wide
+            rank = np.floor(-np.log2(np.maximum(extent, 2.0**-40))).astype(np.int64) if by_size else np.zeros(len(wide), np.int64)
+            kept = [n for n in batch.schema.names if not n.startswith("_")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(rank), pa.array(_curve(*cells))], [*kept, "_rank", "_at"])
+
+    joined = rows.join(whole, "mesh_id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    laid = positions(joined.mapInArrow(run, f"{schema}, _rank long, _at long"), ["mesh_id"], ["_rank", "_at", key], "_pos")
+    item = F.struct(key, *fields)
+    boxes = [F.min(c).alias(c) for c in _LOW] + [F.max(c).alias(c) for c in _HIGH]
+    leaf = (F.col("_pos") / size).cast("long").alias("node")
+    return laid.groupBy("mesh_id", leaf).agg(*boxes, F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def _levels(leaves: DataFrame, depth: int) -> list[DataFrame]:
+    """Boxes of the nodes of every level, leaves first."""
+    out = [leaves.select("mesh_id", "node", *_LOW, *_HIGH)]
+    for _ in range(depth):
+        boxes = [F.min(c).alias(c) for c in _LOW] + [F.max(c).alias(c) for c in _HIGH]
+        out.append(out[-1].groupBy("mesh_id", (F.col("node") / FAN).cast("long").alias("node")).agg(*boxes))
+    return out
+
+
+def _named(nodes: DataFrame, side: str) -> DataFrame:
+    up = (F.col("node") / FAN).cast("long").alias(f"up_{side}")
+    return nodes.select("mesh_id", F.col("node").alias(side), up, *[F.col(c).alias(f"{side}_{c}") for c in (*_LOW, *_HIGH)])
+
+
+def _pruned(pairs: DataFrame) -> DataFrame:
+    """Pairs of nodes ``p t`` whose boxes may hold a point and its nearest target, with the squared distance of the boxes."""
+    near = far = F.lit(0.0)
+    for t in g.XYZ:
+        apart = F.greatest(F.lit(0.0), F.col(f"t_l{t}") - F.col(f"p_h{t}"), F.col(f"p_l{t}") - F.col(f"t_h{t}"))
+        reach = F.greatest(F.col(f"t_h{t}") - F.col(f"p_l{t}"), F.col(f"p_h{t}") - F.col(f"t_l{t}"))
+        near, far = near + apart * apart, far + reach * reach
+    # Some target is in every box, so no point is farther from its nearest than the farthest corner of the best box.
+    best = F.min("_far").over(Window.partitionBy("mesh_id", "p"))
+    measured = pairs.select("mesh_id", "p", "t", near.alias("near"), far.alias("_far")).withColumn("_best", best)
+    return measured.filter(F.col("near") <= F.col("_best") * ROOM).select("mesh_id", "p", "t", "near")
+
+
+def _nearest(points: DataFrame, targets: DataFrame, key: str, fields: list[str], leaf: int, distance2: Callable[[np.ndarray, np.ndarray], np.ndarray], by_size: bool) -> DataFrame:
+    """``mesh_id pid d2`` and the key of the nearest target; the smaller key on ties.
+
+    ``distance2`` gives the squared distances of points (rows of three) and targets (rows of ``fields``).
+    """
+    boxed = points.select("mesh_id", "pid", *g.XYZ, *[F.col(t).alias(f"{s}{t}") for s in "lh" for t in g.XYZ])
+    boxed = boxed.join(targets.select("mesh_id").distinct(), "mesh_id", "left_semi")
+    p_leaves = materialize(_leaves(boxed, "pid", list(g.XYZ), LEAF, False), "point_leaves")
+    t_leaves = materialize(_leaves(targets, key, fields, leaf, by_size), "target_leaves")
+    most = p_leaves.select("node").unionByName(t_leaves.select("node")).agg(F.max("node")).first()[0] or 0
+    depth = 0
+    while most >= FAN:
+        most, depth = most // FAN, depth + 1
+    p_levels, t_levels = _levels(p_leaves, depth), _levels(t_leaves, depth)
+    pairs = _pruned(_named(p_levels[depth], "p").join(_named(t_levels[depth], "t"), "mesh_id"))
+    for level in reversed(range(depth)):
+        above = materialize(pairs, "node_pairs").select("mesh_id", F.col("p").alias("up_p"), F.col("t").alias("up_t"))
+        down = above.join(_named(p_levels[level], "p"), ["mesh_id", "up_p"]).join(_named(t_levels[level], "t"), ["mesh_id", "up_t"])
+        pairs = _pruned(down)
+    kind, kinds = points.schema["mesh_id"].dataType.simpleString(), (points.schema["pid"].dataType.simpleString(), targets.schema[key].dataType.simpleString())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by point leaf, then by the distance of the boxes."""
+        current, best = None, None
+
+        def told() -> pa.RecordBatch:
+            name, pid, _, d2, found = best
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(pid), mesh_type), pid, pa.array(d2), pa.array(found)], ["mesh_id", "pid", "d2", key])
+
+        mesh_type = None
+        for batch in batches:
+            mesh_type = batch.schema.field("mesh_id").type
+            for name, p, near, mine, others in zip(*(batch.column(c) for c in ("mesh_id", "p", "near", "mine", "others")), strict=True):
+                name, p = name.as_py(), p.as_py()
+                if (name, p) != current:
+                    if best is not None:
+                        yield told()
+                    mine = mine.values
+                    spots = np.stack([mine.field(t).to_numpy(zero_copy_only=False) for t in g.XYZ], 1)
+                    current, best = (name, p), (name, mine.field("pid"), spots, np.full(len(spots), np.inf), np.zeros(len(spots), np.int64))
+                open_ = best[3] * ROOM >= near.as_py()
+                if not open_.any():
+                    continue
+                others = others.values
+                shapes = np.stack([others.field(f).to_numpy(zero_copy_only=False) for f in fields], 1)
+                d2 = distance2(best[2][open_], shapes)
+                # Targets are in order of their key, so the first of equal distances has the smallest.
+                at = d2.argmin(axis=1)
+                d2, keys = d2[np.arange(len(at)), at], others.field(key).to_numpy(zero_copy_only=False)[at]
+                rows = np.flatnonzero(open_)
+                better = (d2 < best[3][rows]) | ((d2 == best[3][rows]) & (keys < best[4][rows]))
+                best[3][rows[better]], best[4][rows[better]] = d2[better], keys[better]
+        if best is not None:
+            yield told()
+
+    mine = p_leaves.select("mesh_id", F.col("node").alias("p"), F.col("items").alias("mine"))
+    others = t_leaves.select("mesh_id", F.col("node").alias("t"), F.col("items").alias("others"))
+    rows = materialize(pairs, "leaf_pairs").join(others, ["mesh_id", "t"]).join(mine, ["mesh_id", "p"])
+    # A point leaf with all its pairs in one task, one pair in memory at a time.
+    rows = rows.repartition("mesh_id", "p").sortWithinPartitions("mesh_id", "p", "near")
+    return rows.select("mesh_id", "p", "near", "mine", "others").mapInArrow(run, f"mesh_id {kind}, pid {kinds[0]}, d2 double, {key} {kinds[1]}")
+
+
+def vertex_distance2(points: np.ndarray, vertices: np.ndarray) -> np.ndarray:
+    dx, dy, dz = (vertices[None, :, a] - points[:, None, a] for a in range(3))
+    return dx * dx + dy * dy + dz * dz
 
 
 def nearest_vertex(points: DataFrame, targets: DataFrame) -> DataFrame:
     """Closest target of each point: ``mesh_id pid d2 vid``; the smaller id on ties.
 
-    ``points``: ``mesh_id pid x y z``; ``targets``: ``mesh_id vid x y z``.
+    ``points``: ``mesh_id pid x y z``; ``targets``: ``mesh_id vid x y z``. Points of meshes without targets are left out.
     """
     folded = targets.groupBy("mesh_id", *g.XYZ).agg(F.min("vid").alias("vid"))
-    targets = materialize(folded, "targets")
-    cells = materialize(_first_cells(targets), "cells")
-    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    offsets = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip(IJK, o)]) for o in around])
-
-    def candidates(todo: DataFrame, cells: DataFrame) -> DataFrame:
-        p = todo.join(cells, "mesh_id").select(
-            "mesh_id", "pid", *[F.col(t).alias(f"p{t}") for t in g.XYZ],
-            *[_cell(F.col(t)).alias(n) for t, n in zip(g.XYZ, IJK)],
-        )
-        t = (
-            targets.join(cells, "mesh_id")
-            .withColumn("_o", F.explode(offsets))
-            .select("mesh_id", "vid", *g.XYZ, *[(_cell(F.col(a)) + F.col(f"_o.d{n}")).alias(n) for a, n in zip(g.XYZ, IJK)])
-        )
-        d2 = sum((F.col(a) - F.col(f"p{a}")) * (F.col(a) - F.col(f"p{a}")) for a in g.XYZ)
-        return (
-            p.join(t, ["mesh_id", *IJK])
-            .groupBy("mesh_id", "pid")
-            .agg(F.min(F.struct(d2.alias("d2"), "vid")).alias("_b"))
-            .select("mesh_id", "pid", "_b.d2", "_b.vid")
-        )
-
-    return _settle(points.select("mesh_id", "pid", *g.XYZ), candidates, cells, ["vid"])
+    boxed = folded.select("mesh_id", "vid", *g.XYZ, *[F.col(t).alias(f"{s}{t}") for s in "lh" for t in g.XYZ])
+    return _nearest(points, materialize(boxed, "targets"), "vid", list(g.XYZ), LEAF, vertex_distance2, False)
 
 
 def carry_attributes(points: DataFrame, vertices: DataFrame, attributes: list[str]) -> DataFrame:
@@ -88,75 +184,50 @@ def carry_attributes(points: DataFrame, vertices: DataFrame, attributes: list[st
     return out.select(*points.columns, *have, *missing)
 
 
-def triangle_distance2(px: Column, py: Column, pz: Column) -> Column:
-    """Squared distance from a point to the triangle of the row.
+def face_distance2(points: np.ndarray, faces: np.ndarray) -> np.ndarray:
+    """Squared distances of points and triangles (rows of nine).
 
-    The smallest of the three edge distances, or the plane distance where the projection falls
-    inside the triangle.
+    The smallest of the three edge distances, or the plane distance where the projection falls inside the triangle.
     """
-    p = dict(zip(g.XYZ, (px, py, pz)))
+    p = [points[:, None, a] for a in range(3)]
+    corner = {k: [faces[None, :, 3 * i + a] for a in range(3)] for i, k in enumerate("abc")}
 
-    def edge(u: str, v: str) -> Column:
-        d = {t: g.col(v, t) - g.col(u, t) for t in g.XYZ}
-        w = {t: p[t] - g.col(u, t) for t in g.XYZ}
-        length2 = F.nullif(sum(d[t] * d[t] for t in g.XYZ), F.lit(0.0))
-        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(sum(w[t] * d[t] for t in g.XYZ) / length2, F.lit(0.0))))
-        return sum((w[t] - s * d[t]) * (w[t] - s * d[t]) for t in g.XYZ)
+    def dot(u: list[np.ndarray], v: list[np.ndarray]) -> np.ndarray:
+        return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
-    n = dict(zip(g.XYZ, g.normal()))
-    nn = F.nullif(sum(n[t] * n[t] for t in g.XYZ), F.lit(0.0))
+    def cross(u: list[np.ndarray], v: list[np.ndarray]) -> list[np.ndarray]:
+        return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
 
-    def side(u: str, v: str) -> Column:
-        d = {t: g.col(v, t) - g.col(u, t) for t in g.XYZ}
-        w = {t: p[t] - g.col(u, t) for t in g.XYZ}
-        cross = {
-            "x": d["y"] * w["z"] - d["z"] * w["y"],
-            "y": d["z"] * w["x"] - d["x"] * w["z"],
-            "z": d["x"] * w["y"] - d["y"] * w["x"],
-        }
-        return sum(cross[t] * n[t] for t in g.XYZ)
+    def minus(u: list[np.ndarray], v: list[np.ndarray]) -> list[np.ndarray]:
+        return [x - y for x, y in zip(u, v, strict=True)]
 
-    above = sum((p[t] - g.col("a", t)) * n[t] for t in g.XYZ)
-    inside = (side("a", "b") >= 0) & (side("b", "c") >= 0) & (side("c", "a") >= 0) & nn.isNotNull()
-    return F.when(inside, above * above / nn).otherwise(F.least(edge("a", "b"), edge("b", "c"), edge("c", "a")))
+    normal = cross(minus(corner["b"], corner["a"]), minus(corner["c"], corner["a"]))
+    nn = dot(normal, normal)
+    inside, least = nn > 0, None
+    for u, v in (("a", "b"), ("b", "c"), ("c", "a")):
+        d, w = minus(corner[v], corner[u]), minus(p, corner[u])
+        length2 = dot(d, d)
+        s = np.clip(dot(w, d) / np.where(length2 > 0, length2, 1.0), 0.0, 1.0)
+        rest = [x - s * y for x, y in zip(w, d, strict=True)]
+        edge = dot(rest, rest)
+        least = edge if least is None else np.minimum(least, edge)
+        inside = inside & (dot(cross(d, w), normal) >= 0)
+    above = dot(minus(p, corner["a"]), normal)
+    return np.where(inside, above * above / np.where(nn > 0, nn, 1.0), least)
 
 
 def nearest_face(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Closest face of each point: ``mesh_id pid d2 fid``; the smaller id on ties.
 
-    Each face is entered in every cell its bounding box, grown by one cell, overlaps. A point
-    then meets all faces within one cell of it in its own cell.
+    Points of meshes without faces are left out.
     """
-    triangles = materialize(triangles, "targets")
-    centres = triangles.select("mesh_id", *[g.centroid(t).alias(t) for t in g.XYZ])
-    spread = triangles.groupBy("mesh_id").agg(
-        F.avg(F.greatest(*[
-            F.greatest(*[g.col(k, t) for k in g.CORNERS]) - F.least(*[g.col(k, t) for k in g.CORNERS]) for t in g.XYZ
-        ])).alias("_size")
-    )
-    cells = materialize(
-        _first_cells(centres).join(spread, "mesh_id").select("mesh_id", F.greatest("cell", "_size").alias("cell")), "cells"
-    )
-
-    def candidates(todo: DataFrame, cells: DataFrame) -> DataFrame:
-        p = todo.join(cells, "mesh_id").select(
-            "mesh_id", "pid", *[F.col(t).alias(f"p{t}") for t in g.XYZ],
-            *[_cell(F.col(t)).alias(n) for t, n in zip(g.XYZ, IJK)],
-        )
-        t = triangles.join(cells, "mesh_id")
-        for a, n in zip(g.XYZ, IJK):
-            low = F.least(*[g.col(k, a) for k in g.CORNERS])
-            high = F.greatest(*[g.col(k, a) for k in g.CORNERS])
-            t = t.withColumn(n, F.explode(F.sequence(_cell(low) - 1, _cell(high) + 1)))
-        d2 = triangle_distance2(F.col("px"), F.col("py"), F.col("pz"))
-        return (
-            p.join(t.drop("cell"), ["mesh_id", *IJK])
-            .groupBy("mesh_id", "pid")
-            .agg(F.min(F.struct(d2.alias("d2"), "fid")).alias("_b"))
-            .select("mesh_id", "pid", "_b.d2", "_b.fid")
-        )
-
-    return _settle(points.select("mesh_id", "pid", *g.XYZ), candidates, cells, ["fid"])
+    fields = [f"{k}{t}" for k in g.CORNERS for t in g.XYZ]
+
+    def ends(end: Callable[..., Column], side: str) -> list[Column]:
+        return [end(*[g.col(k, t) for k in g.CORNERS]).alias(f"{side}{t}") for t in g.XYZ]
+
+    boxed = triangles.select("mesh_id", "fid", *fields, *ends(F.least, "l"), *ends(F.greatest, "h"))
+    return _nearest(points, materialize(boxed, "targets"), "fid", fields, FACE_LEAF, face_distance2, True)
 
 
 def nearest_normals(points: DataFrame, triangles: DataFrame) -> DataFrame:

@@ -271,9 +271,42 @@ def _(v):
     return found.select("mesh_id", "pid", "vid", F.round("d2", 6).alias("d2"))
 
 
-@query("nearest_face_normals", "C6")
+def face_distance_sql() -> str:
+    """Every point against every face of its mesh, edge by edge."""
+    names = {k: [f"{k}x", "by_" if k == "b" else f"{k}y", f"{k}z"] for k in "abc"}
+    edges = (("a", "b"), ("b", "c"), ("c", "a"))
+
+    def dot(u: list[str], v: list[str]) -> str:
+        return "(" + " + ".join(f"{x}*{y}" for x, y in zip(u, v)) + ")"
+
+    def minus(u: list[str], v: list[str]) -> list[str]:
+        return [f"({x}-{y})" for x, y in zip(u, v)]
+
+    def cross(u: list[str], v: list[str]) -> list[str]:
+        return [f"({u[1]}*{v[2]} - {u[2]}*{v[1]})", f"({u[2]}*{v[0]} - {u[0]}*{v[2]})", f"({u[0]}*{v[1]} - {u[1]}*{v[0]})"]
+
+    point, normal = ["x", "y", "z"], ["nx", "ny", "nz"]
+    along, least, inside = [], [], []
+    for u, v in edges:
+        d, w = minus(names[v], names[u]), minus(point, names[u])
+        along.append(f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {dot(w, d)}/CASE WHEN {dot(d, d)} > 0 THEN {dot(d, d)} ELSE 1 END)) AS s{u}{v}")
+        rest = [f"({x} - s{u}{v}*{y})" for x, y in zip(w, d)]
+        least.append(dot(rest, rest))
+        inside.append(f"{dot(cross(d, w), normal)} >= 0")
+    above = dot(minus(point, names["a"]), normal)
+    return f"""pts AS (SELECT mesh_id, fid AS pid, (ax+bx+cx)/3.0 + (fid%7)*0.75 AS x, (ay+by_+cy)/3.0 + (fid%7)*0.75 AS y, (az+bz+cz)/3.0 + (fid%7)*0.75 AS z FROM tri),
+   fc AS (SELECT *, {dot(normal, normal)} AS nn FROM face_geo WHERE area > 0),
+   sl AS (SELECT pid, x, y, z, fc.*, {", ".join(along)} FROM pts JOIN fc USING (mesh_id)),
+   ds AS (SELECT mesh_id, pid, fid, CASE WHEN {" AND ".join(inside)} THEN {above}*{above}/nn ELSE least({", ".join(least)}) END AS d2 FROM sl),
+   near_face AS (SELECT mesh_id, pid, arg_min(fid, (d2, fid)) AS fid, min(d2) AS d2 FROM ds GROUP BY 1, 2)"""
+
+
+@query("nearest_face_normals", "C6", f"""WITH {face_distance_sql()}
+   SELECT n.mesh_id, pid, n.fid, round(d2, 6) AS d2, {", ".join(f"floor(greatest(0.0, least(255.0, (n{t}/sqrt(nx*nx + ny*ny + nz*nz)*0.5::DOUBLE + 0.5::DOUBLE)*255.0::DOUBLE)))::INT AS {c}" for c, t in zip("rgb", "xyz"))}
+   FROM near_face n JOIN fc ON fc.mesh_id = n.mesh_id AND fc.fid = n.fid""", ("tri", "face_geo"))
 def _(v):
-    return nearest.nearest_normals(sample_points(v), mesh.drop_degenerate(v.stored_triangles))
+    found = nearest.nearest_normals(sample_points(v), mesh.drop_degenerate(v.stored_triangles))
+    return found.withColumn("d2", F.round("d2", 6))
 
 
 TEX = 128

@@ -211,6 +211,35 @@ def test_nearest_vertex_and_face_equal_brute_force(spark):
         assert best - 0.15 <= math.sqrt(r.d2) <= best + 1e-9
 
 
+@pytest.mark.parametrize("leaf, fan", [(128, 16), (3, 2)])
+def test_nearest_joins_with_one_huge_face_an_outlier_and_a_crowd(spark, monkeypatch, leaf, fan):
+    for name, value in (("LEAF", leaf), ("FACE_LEAF", leaf), ("FAN", fan)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(leaf)
+    crowd = rng.normal(0, 1e-4, (90, 3, 3)) + (5, 5, 5)
+    small = rng.random((120, 1, 3)) * 10 + rng.normal(0, 0.2, (120, 3, 3))
+    huge = np.array([[(-900, -900, -3), (900, -900, -3), (0, 900, -3)]])
+    far = np.array([[(1e6, 1e6, 1e6), (1e6 + 1, 1e6, 1e6), (1e6, 1e6 + 1, 1e6)]])
+    flat = np.array([[(1.0, 1, 1)] * 3, [(2.0, 2, 2), (3, 3, 3), (4, 4, 4)]])
+    faces = np.concatenate([crowd, small, huge, far, flat, small[:4]])
+    tri = frame(spark, {"m": [tuple(map(tuple, f)) for f in faces.tolist()], "other": box()})
+    pts = np.concatenate([rng.random((150, 3)) * 12 - 1, rng.normal(0, 1e-4, (40, 3)) + 5, [(2e6, 0, 0), (0, 0, -50), (1.0, 1, 1)], faces[:30].mean(1)])
+    rows = [("m", i, *map(float, p)) for i, p in enumerate(pts)] + [("other", 7, 0.5, 0.5, 2.0), ("none", 8, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "mesh_id STRING, pid BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+    stored = {r.fid: [r[f"{k}{t}"] for k in "abc" for t in "xyz"] for r in tri.filter("mesh_id = 'm'").collect()}
+    order = sorted(stored)
+    d2 = nearest.face_distance2(pts, np.array([stored[f] for f in order]))
+    found = {(r.mesh_id, r.pid): r for r in nearest.nearest_face(points, tri).collect()}
+    assert len(found) == len(pts) + 1 and found["other", 7].d2 == pytest.approx(1.0)
+    for i in range(len(pts)):
+        assert (found["m", i].fid, found["m", i].d2) == (order[int(d2[i].argmin())], d2[i].min())
+    corners = faces.reshape(-1, 3)
+    verts = spark.createDataFrame([("m", 3 * i, *map(float, c)) for i, c in enumerate(corners)], "mesh_id STRING, vid BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+    v2 = nearest.vertex_distance2(pts, corners)
+    for r in nearest.nearest_vertex(points, verts).collect():
+        assert (r.vid, r.d2) == (3 * int(v2[r.pid].argmin()), v2[r.pid].min())
+
+
 def test_missing_attributes_become_null(spark):
     verts = spark.createDataFrame([("m", 1, 0.0, 0.0, 0.0, 7.0)], "mesh_id STRING, vid BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, u DOUBLE")
     pts = spark.createDataFrame([("m", 5, 1.0, 0.0, 0.0), ("none", 6, 0.0, 0.0, 0.0)], "mesh_id STRING, pid BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
