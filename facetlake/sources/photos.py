@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,3 +161,41 @@ def grids_to_images(grids: DataFrame) -> DataFrame:
         F.concat_ws("/", F.col("shoot_id").cast("string"), F.col("seq").cast("string")).alias("path"),
         F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"),
     )
+
+
+def bitmap(grey_rows: np.ndarray) -> bytes:
+    """A grey image as an uncompressed 24-bit bitmap file."""
+    height, width = grey_rows.shape
+    stride = -(-3 * width // 4) * 4
+    rows = np.zeros((height, stride), np.uint8)
+    rows[:, : 3 * width] = np.repeat(grey_rows[::-1], 3, axis=1)
+    body = rows.tobytes()
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write ``path data`` rows as files below ``root``, from the tasks that hold them; a repeated task writes the same files."""
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                system.create_dir(f"{base}/{r.path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{r.path}", compression=None) as out:
+                    out.write(r.data)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("path", "data").mapInPandas(put, "n long").agg(F.sum("n")).collect()
+
+
+def contact_sheets(grids: DataFrame, per_sheet: int = 64) -> DataFrame:
+    """Bitmaps of up to ``per_sheet`` photo grids side by side: ``path data``, named ``shoot/sheet.bmp``."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        tiles = np.concatenate([np.array(list(g), np.uint8).reshape(8, 8) for g in pdf["grid"]], axis=1)
+        return pd.DataFrame({"path": [f"{pdf.shoot_id.iloc[0]}/{pdf.sheet.iloc[0]}.bmp"], "data": [bitmap(tiles)]})
+
+    sheet = F.floor(F.col("seq") / (8 * per_sheet)).cast("long").alias("sheet")
+    return grids.select("shoot_id", "seq", "grid", sheet).groupBy("shoot_id", "sheet").applyInPandas(draw, "path string, data binary")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from facetlake.functions import text as tx
 from facetlake.operators import fleet, photos, specs
-from facetlake.sources import records
+from facetlake.session import scratch_path
+from facetlake.sources import records, tables
 from facetlake.starschema.photo_queries import _scored
 from facetlake.starschema.registry import query
 
@@ -673,3 +674,15 @@ def _(v):
     ext = F.get(F.array(*[F.lit(x) for x in (".jpg", ".JPEG", ".txt", ".Png", ".heic", ".glb", ".tiff")]), (d % 7).cast("int"))
     files = v.table("documents").select((d % 50).alias("shoot_id"), F.concat(F.lit("p/"), F.col("lang"), F.lit("/"), d.cast("string"), ext).alias("path"))
     return photo_listing(files).select("shoot_id", "path", "seq")
+
+
+@query("keyed_stage_table", "A11", """SELECT job_id, seq, name, CASE WHEN job_id%3=0 AND status='failed' THEN 'restarted' ELSE status END AS status FROM stages WHERE NOT (job_id%3=0 AND status='skipped') AND job_id BETWEEN 20 AND 59""", ("stages",))
+def _(v):
+    """A table keyed by job, some jobs of which are written anew, read back for a range of keys."""
+    path = scratch_path(v.spark, "stage_table")
+    stages = v.stages.select("job_id", "seq", "name", "status")
+    tables.write_table(stages, path, ["job_id"])
+    again = stages.filter("job_id % 3 = 0 AND status <> 'skipped'")
+    tables.replace_keys(again.withColumn("status", F.when(F.col("status") == "failed", "restarted").otherwise(F.col("status"))), path, ["job_id"])
+    schema = "seq " + stages.schema["seq"].dataType.simpleString() + ", name string, status string, job_id " + stages.schema["job_id"].dataType.simpleString()
+    return tables.read_table(v.spark, path, schema).filter("job_id BETWEEN 20 AND 59").select("job_id", "seq", "name", "status")

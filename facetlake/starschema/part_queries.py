@@ -237,10 +237,24 @@ def _(v):
     return report.select("mesh_id", *[F.round(c, 6).alias(c) for c in ("moved_mean", "moved_max", "volume_change")], "pinned")
 
 
-@query("taubin_smoothing", "E3")
+def smoothing_sql(rounds: int) -> str:
+    """Half-steps one after the other, each over the ring of the one before."""
+    steps = ["pin AS (SELECT mesh_id, vid, bool_or(n=1) AS pinned FROM ring GROUP BY 1, 2)", "s0 AS MATERIALIZED (SELECT v.*, coalesce(pinned, false) AS pinned FROM verts v LEFT JOIN pin USING (mesh_id, vid))"]
+    for k in range(2 * rounds):
+        factor = "0.5" if k % 2 == 0 else "-0.53"
+        moved = ", ".join(f"CASE WHEN s.pinned OR m.{t} IS NULL THEN s.{t} ELSE s.{t} + {factor}*(m.{t} - s.{t}) END AS {t}" for t in "xyz")
+        steps.append(f"m{k} AS (SELECT r.mesh_id, r.vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ring r JOIN s{k} s ON s.mesh_id=r.mesh_id AND s.vid=r.nb GROUP BY 1, 2)")
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT s.mesh_id, s.vid, s.pinned, {moved} FROM s{k} s LEFT JOIN m{k} m USING (mesh_id, vid))")
+    end = f"s{2 * rounds}"
+    spots = ", ".join(f'round(max(e.{t}) FILTER (corner={i}), 6) AS "{k}{t}"' for i, k in enumerate("abc") for t in "xyz")
+    return f"""WITH {", ".join(steps)} SELECT c.mesh_id, c.fid, {spots} FROM corners c JOIN verts v ON v.mesh_id=c.mesh_id AND v.x=c.x AND v.y=c.y AND v.z=c.z
+      JOIN {end} e ON e.mesh_id=v.mesh_id AND e.vid=v.vid GROUP BY c.mesh_id, c.fid"""
+
+
+@query("taubin_smoothing", "E3", smoothing_sql(5), ("ring", "verts", "corners"))
 def _(v):
     after, _ = smooth.smooth(v.stored_triangles)
-    return after
+    return after.select("mesh_id", "fid", *[F.round(f"{k}{t}", 6).alias(f"{k}{t}") for k in "abc" for t in "xyz"])
 
 
 @query("hull_fill_ratio", "D17 U4")

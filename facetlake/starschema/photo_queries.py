@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from facetlake.functions import pixels as px
 from facetlake.operators import dedup, frames, photos
+from facetlake.session import scratch_path
+from facetlake.sources import photos as files
 from facetlake.starschema.registry import query
 
 
@@ -256,3 +258,23 @@ def _(v):
 
     s = score_images(grids_to_images(v.grids))
     return s.select("path", F.round("dark", 6).alias("dark"), F.round("bright", 6).alias("bright"))
+
+
+@query("contact_sheet_scores", "A2", """WITH s AS (SELECT shoot_id, seq // 512 AS sheet, seq, pos, g FROM pixels),
+   d AS (SELECT shoot_id, sheet, count(DISTINCT seq) AS photos, avg(g) AS total FROM s GROUP BY 1, 2)
+   SELECT shoot_id || '/' || sheet || '.bmp' AS path, (shoot_id + sheet) % 4 = 1 AS unreadable, CASE WHEN (shoot_id + sheet) % 4 <> 1 THEN (8*photos)::INT END AS width, CASE WHEN (shoot_id + sheet) % 4 <> 1 THEN 8 END AS height,
+     CASE WHEN (shoot_id + sheet) % 4 <> 1 THEN round(total, 6) END AS mean_grey FROM d""", ("pixels",))
+def _(v):
+    """Contact sheets staged as image files, a quarter of them cut short, read back and decoded."""
+    sheets = files.contact_sheets(v.grids)
+    number = F.expr("CAST(split(path, '/')[0] AS BIGINT) + CAST(split(split(path, '/')[1], '[.]')[0] AS BIGINT)")
+    root = scratch_path(v.spark, "sheets")
+    files.write_files(sheets.withColumn("data", F.when(number % 4 == 1, F.substring("data", 1, 40)).otherwise(F.col("data"))), root)
+    images = files.read_images(v.spark, root)
+    # Three equal channels a pixel, so the mean of all bytes is the mean grey level.
+    grey = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    seen = ~F.col("unreadable")
+    return images.select(
+        F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "unreadable", F.when(seen, F.col("width")).alias("width"), F.when(seen, F.col("height")).alias("height"),
+        F.when(seen, F.round(grey / F.length("data"), 6)).alias("mean_grey"),
+    )

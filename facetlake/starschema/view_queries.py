@@ -30,9 +30,8 @@ DUCK_VIEWS["projected"] = (("face_geo", "cameras"), f"""
         sqrt((cx-ox)*(cx-ox)+(cy-oy)*(cy-oy)+(cz-oz)*(cz-oz))))*1.05::DOUBLE) AS s
     FROM tri JOIN (SELECT mesh_id, (min(x)+max(x))/2.0::DOUBLE AS ox, (min(y)+max(y))/2.0::DOUBLE AS oy, (min(z)+max(z))/2.0::DOUBLE AS oz FROM corners GROUP BY 1) o USING (mesh_id) GROUP BY ALL) f USING (mesh_id)
   CROSS JOIN cameras""")
-DUCK_VIEWS["fragments"] = (("projected",), f"""
-  SELECT mesh_id, view, px, {RES - 1}-py AS py, arg_min(fid, (z, fid)) AS fid FROM (
-    SELECT *, w0*ad + w1*bd + (1.0 - w0 - w1)*cd AS z FROM (
+DUCK_VIEWS["hits"] = (("projected",), f"""
+    SELECT mesh_id, view, fid, shade, px, {RES - 1}-py AS py, w0*ad + w1*bd + (1.0 - w0 - w1)*cd AS z FROM (
       SELECT *, ((bu-(px+0.5::DOUBLE))*(cv-(py+0.5::DOUBLE)) - (bv-(py+0.5::DOUBLE))*(cu-(px+0.5::DOUBLE)))*(1.0::DOUBLE/a2) AS w0,
         ((cu-(px+0.5::DOUBLE))*(av-(py+0.5::DOUBLE)) - (cv-(py+0.5::DOUBLE))*(au-(px+0.5::DOUBLE)))*(1.0::DOUBLE/a2) AS w1 FROM (
         SELECT *, unnest(generate_series(y0, y1))::INT AS py FROM (
@@ -41,7 +40,8 @@ DUCK_VIEWS["fragments"] = (("projected",), f"""
               greatest(0, least({RES - 1}, floor(least(au,bu,cu))::INT)) AS x0, greatest(0, least({RES - 1}, ceil(greatest(au,bu,cu))::INT)) AS x1,
               greatest(0, least({RES - 1}, floor(least(av,bv,cv))::INT)) AS y0, greatest(0, least({RES - 1}, ceil(greatest(av,bv,cv))::INT)) AS y1
             FROM projected) WHERE abs(a2) > 1e-12)))
-    WHERE w0 >= 0 AND w1 >= 0 AND 1.0 - w0 - w1 >= 0) GROUP BY mesh_id, view, px, py""")
+    WHERE w0 >= 0 AND w1 >= 0 AND 1.0 - w0 - w1 >= 0""")
+DUCK_VIEWS["fragments"] = (("hits",), "SELECT mesh_id, view, px, py, arg_min(fid, (z, fid)) AS fid FROM hits GROUP BY mesh_id, view, px, py")
 DUCK_VIEWS["face_masks"] = (("tri", "cameras"), """
   SELECT mesh_id, view, fid, ((fid//16 + ord) % 4 + CASE WHEN fid % 13 = ord THEN 1 ELSE 0 END)::INT AS mask FROM tri CROSS JOIN cameras WHERE (fid + ord) % 6 <> 0""")
 DUCK_VIEWS["start_labels"] = (("tri",), """
@@ -94,10 +94,9 @@ def _(v):
     return shown(v)
 
 
-@query("view_shading", "I10", "SELECT f.mesh_id, f.view, px, py, shade FROM fragments f JOIN projected p ON p.mesh_id=f.mesh_id AND p.view=f.view AND p.fid=f.fid", ("fragments", "projected"))
+@query("view_shading", "I10", "SELECT mesh_id, view, px, py, arg_min(shade, (z, fid)) AS shade FROM hits GROUP BY mesh_id, view, px, py", ("hits",))
 def _(v):
-    p = projected(v)
-    return views.fragments(p, RES).join(p.select("mesh_id", "view", "fid", "shade"), ["mesh_id", "view", "fid"]).drop("fid")
+    return views.fragments(projected(v), RES, ["shade"]).drop("fid")
 
 
 def pixel_hits(v):

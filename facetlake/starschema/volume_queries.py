@@ -71,9 +71,31 @@ def _(v):
     return voxels.exposed(shell(v)).groupBy("mesh_id").agg(F.count("*").alias("faces"))
 
 
-@query("voxel_surface", "V4")
+def surface_sql() -> str:
+    """Two triangles for every voxel face that has no neighbour, corner by corner."""
+    rows = []
+    for side, (axis, sign) in enumerate([(0, 1), (0, -1), (1, 1), (1, -1), (2, 1), (2, -1)]):
+        ring = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+        ring = ring if sign > 0 else ring[::-1]
+        step = [sign if a == axis else 0 for a in range(3)]
+        for half, picks in enumerate(((0, 1, 2), (0, 2, 3))):
+            spot = []
+            for pick in picks:
+                at = {axis: sign, (axis + 1) % 3: ring[pick][0], (axis + 2) % 3: ring[pick][1]}
+                spot += [str(at[a] / 2) for a in range(3)]
+            rows.append(f"({side}, {half}, {step[0]}, {step[1]}, {step[2]}, {', '.join(spot)})")
+    names = [f"{k}{t}" for k in "abc" for t in "xyz"]
+    cells = [f"round((v.{n} + q.{c}::DOUBLE)*pitch, 6) AS \"{c}\"" for c, n in zip(names, "ijk" * 3)]
+    return f"""WITH q(side, half, di, dj, dk, {", ".join(f'"{n}"' for n in names)}) AS (VALUES {", ".join(rows)}),
+   p AS (SELECT mesh_id, greatest(max(x)-min(x), max(y)-min(y), max(z)-min(z))/{DIV}.0::DOUBLE AS pitch FROM corners GROUP BY 1)
+   SELECT v.mesh_id, (((v.i + 262144)*524288 + v.j + 262144)*524288 + v.k + 262144)*12 + side*2 + half AS fid, {", ".join(cells).replace('q."', 'q."')}
+   FROM vox v CROSS JOIN q JOIN p ON p.mesh_id = v.mesh_id LEFT JOIN vox w ON w.mesh_id=v.mesh_id AND w.i=v.i+di AND w.j=v.j+dj AND w.k=v.k+dk WHERE w.mesh_id IS NULL"""
+
+
+@query("voxel_surface", "V4", surface_sql(), ("vox", "corners"))
 def _(v):
-    return voxels.surface(shell(v), voxels.pitches(v.triangles, DIV))
+    faces = voxels.surface(shell(v), voxels.pitches(v.triangles, DIV))
+    return faces.select("mesh_id", "fid", *[F.round(f"{k}{t}", 6).alias(f"{k}{t}") for k in "abc" for t in "xyz"])
 
 
 @query("voxel_erosion", "V4", """SELECT mesh_id, i, j, k FROM (SELECT mesh_id, i+di AS i, j+dj AS j, k+dk AS k, count(*) AS n FROM dilated, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(di,dj,dk) GROUP BY 1, 2, 3, 4) WHERE n = 7""", ("dilated",))
