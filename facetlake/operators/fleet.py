@@ -372,45 +372,91 @@ def admitted(jobs: DataFrame) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, keys: Sequence[str], base: str, order: Sequence[str], name: str = "stem") -> DataFrame:
-    """Suffix repeated names with -2, -3, ... in order.
+    """Suffix repeated names with -2, -3, ... in order, past every name that is taken by then.
 
-    Names that already look like a suffixed form of another name of the same key compete with
-    generated suffixes; those families are replayed in order, all others are numbered.
+    The first row of a name keeps it, unless an earlier row of a shorter name has been given it as a suffixed form; every other row
+    gets the smallest free number. What one row gets depends on others only where a name is another one with a number
+    behind (``part`` and ``part-2``). Such children block their number from their first row on, or are named by their
+    parent before. Parents are settled before their children, level by level; rows are numbered by running counts, so a name
+    that most rows have stays spread out.
     """
-    root = F.regexp_replace(F.col(base), r"(-\d+)+$", "")
-    families = rows.withColumn("_root", root)
-    contested = (
-        families.groupBy(*keys, "_root")
-        .agg(F.count_distinct(base).alias("_b"), F.count("*").alias("_n"))
-        .filter("_b > 1 AND _n > _b")
-        .select(*keys, "_root")
-    )
-    plain = families.join(contested, [*keys, "_root"], "left_anti").drop("_root")
-    numbered = positions(plain, [*keys, base], order, "_k").withColumn(
-        name, F.when(F.col("_k") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), (F.col("_k") + 1).cast("string")))
-    ).drop("_k")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def replay(pdf):
-        pdf = pdf.sort_values(list(order), kind="stable")
-        seen: set[str] = set()
-        following: dict[str, int] = {}
-        stems = []
-        for b in pdf[base]:
-            stem, n = b, following.get(b, 2)
-            while stem in seen:
-                stem, n = f"{b}-{n}", n + 1
-            following[b] = n
-            seen.add(stem)
-            stems.append(stem)
-        return pdf.drop(columns="_root").assign(**{name: stems})
-
-    replayed = (
-        families.join(contested, [*keys, "_root"], "left_semi")
-        .groupBy(*keys, "_root")
-        .applyInPandas(replay, f"{fields}, `{name}` string")
-    )
-    return numbered.unionByName(replayed)
+    ranked = positions(rows, keys, order, "_t")
+    ranked = materialize(positions(ranked, [*keys, base], ["_t"], "_k"), "ranked")
+    bases = ranked.groupBy(*keys, base).agg(F.min("_t").alias("_tau"), F.count("*").alias("_m"))
+    number = F.regexp_extract(base, _NUMBERED, 2)
+    children = bases.filter(number != "").select(*keys, base, "_tau", F.regexp_extract(base, _NUMBERED, 1).alias("_parent"), number.cast("long").alias("_n"))
+    parents = bases.select(*keys, F.col(base).alias("_parent"), F.col("_m").alias("_pm"))
+    linked = materialize(children.join(parents, [*keys, "_parent"]), "linked_names")
+    if linked.isEmpty():
+        index = F.col("_k") - 1
+        return _suffixed(ranked.withColumn("_i", index).withColumn("_no", index + 2), base, name).select(*rows.columns, name)
+    settled = _settled_children(ranked, linked, keys, base)
+    taken = settled.filter("_taken").select(*keys, base, F.lit(1).alias("_e"))
+    ranked = materialize(ranked.join(taken, [*keys, base], "left").withColumn("_i", F.col("_k") - 1 + F.coalesce("_e", F.lit(0))).drop("_e"), "ranked")
+    blocked = materialize(settled.filter("_blocked").select(*keys, F.col("_parent").alias(base), "_n"), "blocked")
+    # How many free numbers come before each blocked one.
+    before = positions(blocked, [*keys, base], ["_n"], "_j").select(*keys, base, (F.col("_n") - 2 - F.col("_j")).alias("_at"))
+    some = blocked.select(*keys, base).distinct()
+    touched = ranked.filter("_i >= 0").join(some, [*keys, base], "left_semi").select(*keys, base, F.col("_i").alias("_at"), F.lit(1).alias("_own"))
+    line = touched.unionByName(before.withColumn("_own", F.lit(0)))
+    passed = running_sum(line, [*keys, base], ["_at", "_own"], 1 - F.col("_own"), "_passed").filter("_own = 1")
+    shifted = ranked.join(passed.select(*keys, base, F.col("_at").alias("_i"), "_passed"), [*keys, base, "_i"], "left")
+    return _suffixed(shifted.withColumn("_no", F.col("_i") + 2 + F.coalesce("_passed", F.lit(0))), base, name).select(*rows.columns, name)
+
+
+#: A name with a number behind that could have been given to it.
+_NUMBERED = r"^(.*)-([2-9]|[1-9][0-9]{1,17})$"
+
+
+def _suffixed(rows: DataFrame, base: str, name: str) -> DataFrame:
+    return rows.withColumn(name, F.when(F.col("_i") < 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("_no").cast("string"))))
+
+
+def _settled_children(ranked: DataFrame, linked: DataFrame, keys: Sequence[str], base: str) -> DataFrame:
+    """``linked`` with ``_blocked``: the parent's rows pass over it, and ``_taken``: one of them has been given its name.
+
+    The parent reaches number n with its row n - 2 - s, where s counts the numbers passed over before; it passes over n if the
+    child's first row comes earlier.
+    """
+    marks = linked.select(*keys, F.col("_parent").alias(base), F.col("_tau").alias("_t"), F.lit(0).alias("_one"))
+    wanted = linked.select(*keys, F.col("_parent").alias(base)).distinct()
+    own = ranked.join(wanted, [*keys, base], "left_semi").select(*keys, base, "_t", F.lit(1).alias("_one"))
+    counted = running_sum(own.unionByName(marks), [*keys, base], ["_t", "_one"], F.col("_one"), "_rows").filter("_one = 0")
+    counted = counted.select(*keys, F.col(base).alias("_parent"), F.col("_t").alias("_tau"), "_rows")
+    open_ = materialize(positions(linked.join(counted, [*keys, "_parent", "_tau"]), [*keys, "_parent"], ["_n"], "_place"), "open_names")
+    settled = None
+    while not open_.isEmpty():
+        waiting = open_.select(*keys, F.col(base).alias("_parent")).distinct()
+        ready = open_.join(waiting, [*keys, "_parent"], "left_anti")
+        if settled is None:
+            ready = ready.withColumn("_pe", F.lit(0))
+        else:
+            given = settled.filter("_taken").select(*keys, F.col(base).alias("_parent"), F.lit(1).alias("_pe"))
+            ready = ready.join(given, [*keys, "_parent"], "left").withColumn("_pe", F.coalesce("_pe", F.lit(0)))
+        # A parent whose own name was taken numbers its first row as well.
+        numbered = F.greatest(F.lit(0), F.col("_rows") - 1 + F.col("_pe"))
+        ready = materialize(ready.withColumn("_c", F.col("_n") - 2 - numbered), "ready_names")
+        # Between 0 and the children before it are passed over, which decides most without looking further.
+        unclear = ready.filter((F.col("_c") >= 0) & (F.col("_c") < F.col("_place"))).select(*keys, "_parent").distinct()
+        clear = ready.join(unclear, [*keys, "_parent"], "left_anti").withColumn("_blocked", F.col("_c") >= 0)
+        clear = running_sum(clear, [*keys, "_parent"], ["_n"], F.col("_blocked").cast("long"), "_over").withColumn("_over", F.col("_over") - F.col("_blocked").cast("long"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
+
+        def walk(pdf):
+            pdf, s, blocked, passed = pdf.sort_values("_n"), 0, [], []
+            for c in pdf["_c"]:
+                passed.append(s)
+                blocked.append(s <= c)
+                s += blocked[-1]
+            return pdf.assign(_blocked=blocked, _over=passed)
+
+        walked = ready.join(unclear, [*keys, "_parent"], "left_semi").groupBy(*keys, "_parent").applyInPandas(walk, f"{fields}, _blocked boolean, _over long")
+        both = clear.select(*ready.columns, "_blocked", "_over").unionByName(walked)
+        reached = F.col("_n") - 2 - F.col("_over") < F.col("_pm") - 1 + F.col("_pe")
+        done = materialize(both.withColumn("_taken", ~F.col("_blocked") & reached), "settled_names")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = materialize(open_.join(done.select(*keys, base), [*keys, base], "left_anti"), "open_names")
+    return settled
 
 
 def first_of_tag(rows: DataFrame, allowed: Sequence[str]) -> DataFrame:

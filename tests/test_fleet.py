@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from facetlake.operators import fleet, ordering, specs
 from facetlake.schemas import STAGES
 from facetlake.session import materialize, shared_dir
-from facetlake.sources import meshtext, records
+from facetlake.sources import meshtext, records, tables
 from facetlake.streaming import admission, presence, run, tail
 
 
@@ -63,6 +63,70 @@ def test_materialize_uses_the_shared_folder(spark):
     assert before == shared_dir(spark) and all(before in f for f in df.inputFiles())
 
 
+def replayed(names):
+    """One name after the other, each with the smallest number that is free."""
+    seen, out = set(), []
+    for b in names:
+        stem, n = b, 2
+        while stem in seen:
+            stem, n = f"{b}-{n}", n + 1
+        seen.add(stem)
+        out.append(stem)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names_equal_the_replay(spark, seed):
+    rng = np.random.default_rng(seed)
+    pool = ["part", "part-2", "part-3", "part-4", "part-7", "part-2-2", "part-2-3", "part-2-2-2", "part-02", "part-1", "x", "x-2", "-2", "part-2-", "x-9999999999999999999"]
+    rows, want = [], {}
+    for job in range(12):
+        names = [str(x) for x in rng.choice(pool[: int(rng.integers(2, len(pool) + 1))], int(rng.integers(1, 60)))]
+        rows += [(job, seq, b) for seq, b in enumerate(names)]
+        want |= {(job, seq): stem for seq, stem in enumerate(replayed(names))}
+    df = spark.createDataFrame(rows, "job BIGINT, seq BIGINT, base STRING").repartition(4)
+    assert {(r.job, r.seq): r.stem for r in fleet.unique_names(df, ["job"], "base", ["seq"]).collect()} == want
+
+
+def test_unique_names_of_one_large_family(spark):
+    """Names of one key that are all numbered forms of one name, which occurs as well."""
+    names = ["part" if i % 3 == 0 else f"part-{1 + i * 7919 % 20011}" for i in range(20000)]
+    df = spark.createDataFrame(list(enumerate(names)), "seq BIGINT, base STRING").withColumn("job", F.lit(1))
+    got = {r.seq: r.stem for r in fleet.unique_names(df, ["job"], "base", ["seq"]).collect()}
+    assert [got[i] for i in range(20000)] == fast_replay(names)
+
+
+def fast_replay(names):
+    seen, following, out = set(), {}, []
+    for b in names:
+        stem, n = b, following.get(b, 2)
+        while stem in seen:
+            stem, n = f"{b}-{n}", n + 1
+        following[b] = n
+        seen.add(stem)
+        out.append(stem)
+    return out
+
+
+def test_a_write_that_fails_leaves_the_keyed_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.write_table(spark.range(20).selectExpr("id AS v", "id % 4 AS k"), path, ["k"])
+    schema = "v BIGINT, k BIGINT"
+
+    def content():
+        return sorted(map(tuple, tables.read_table(spark, path, schema).collect()))
+
+    before = content()
+    bad = spark.range(40).selectExpr("id + 100 AS v", "id % 2 AS k").filter("CASE WHEN v = 139 THEN raise_error('broken') IS NULL ELSE true END")
+    with pytest.raises(Exception, match="broken"):
+        tables.replace_keys(bad, path, ["k"])
+    assert content() == before
+    tables.replace_keys(spark.range(3).selectExpr("id + 100 AS v", "id % 2 AS k"), path, ["k"])
+    assert content() == sorted([(100, 0), (101, 1), (102, 0), *[r for r in before if r[1] > 1]])
+    plan = tables.read_table(spark, path, schema).filter("k = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(k" in plan
+
+
 def test_unique_names_first_fit(spark):
     names = ["a", "a", "a-2", "a", "b", "b", "c-1", "a-2", "c"]
     df = spark.createDataFrame([("j", i, n) for i, n in enumerate(names)], "job STRING, seq INT, base STRING")
