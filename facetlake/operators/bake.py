@@ -32,8 +32,7 @@ def texels(triangles: DataFrame, resolution: int) -> DataFrame:
     return (
         inside.select("mesh_id", "px", "py", "fid", *at)
         .groupBy("mesh_id", "px", "py")
-        .agg(F.max(F.struct("fid", *g.XYZ)).alias("_w"))
-        .select("mesh_id", "px", "py", "_w.fid", *[f"_w.{t}" for t in g.XYZ])
+        .agg(F.max("fid").alias("fid"), *[F.max_by(t, "fid").alias(t) for t in g.XYZ])
     )
 
 

@@ -178,8 +178,8 @@ def reduce_to_budget(triangles: DataFrame, budgets: DataFrame) -> tuple[DataFram
     )
     faces = celled.filter((a != b) & (b != c) & (a != c))
     low, middle, high = _sorted(a, b, c)
-    first = F.min(F.struct("fid", "ra", "rb", "rc")).alias("_f")
-    kept = faces.groupBy("mesh_id", low.alias("_1"), middle.alias("_2"), high.alias("_3")).agg(first).select("mesh_id", "_f.*")
+    first = [F.min("fid").alias("fid"), *[F.min_by(f"r{k}", "fid").alias(f"r{k}") for k in g.CORNERS]]
+    kept = faces.groupBy("mesh_id", low.alias("_1"), middle.alias("_2"), high.alias("_3")).agg(*first).drop("_1", "_2", "_3")
     kept = materialize(kept, "kept")
     spots = F.explode(F.array(*[F.struct(F.col(f"r{k}").alias("cell"), *[g.col(k, t).alias(t) for t in g.XYZ]) for k in g.CORNERS]))
     centres = celled.select("mesh_id", spots.alias("s")).groupBy("mesh_id", "s.cell").agg(*[F.avg(f"s.{t}").alias(t) for t in g.XYZ])

@@ -37,12 +37,13 @@ def weld(triangles: DataFrame) -> DataFrame:
     depend on partitioning.
     """
     vid = F.col("fid") * 3 + F.col("corner")
-    first = F.min(F.struct(vid.alias("vid"), "x", "y", "z"))
+    # Plain values keep this a hash aggregation, unlike the minimum of a struct.
     return (
         corners(triangles)
+        .select("mesh_id", "key", vid.alias("vid"), *g.XYZ)
         .groupBy("mesh_id", "key")
-        .agg(first.alias("_f"), F.count("*").alias("copies"))
-        .select("mesh_id", "_f.vid", "key", "_f.x", "_f.y", "_f.z", "copies")
+        .agg(F.min("vid").alias("vid"), *[F.min_by(t, "vid").alias(t) for t in g.XYZ], F.count("*").alias("copies"))
+        .select("mesh_id", "vid", "key", *g.XYZ, "copies")
     )
 
 
