@@ -1,8 +1,8 @@
-"""Fill ratio: enclosed volume over convex-hull volume.
+"""Fill ratio: enclosed volume over the volume of the convex hull.
 
-The hull is an inner approximation: every mesh is first pruned to its extreme points over a
-fixed set of directions, which bounds what one task ever holds. Boxes and coarse solids are
-exact; a smooth sphere loses a few per cent.
+A task reduces the points of a mesh to the corners of their own hull as it reads them, so only hull points
+travel; the hull of all such points is the hull of the mesh. It is exact but for rounding (distances below
+1e-10 of the size count as none).
 """
 
 from __future__ import annotations
@@ -17,55 +17,16 @@ from pyspark.sql import functions as F
 from facetlake.functions import geometry as g
 from facetlake.operators import mesh
 
+#: Points of a mesh that a task holds before it reduces them, and of all its meshes.
+HOLD, HOLD_ALL = 20_000, 500_000
+#: Distances that count as none, in parts of the size.
+FLAT = 1e-10
+#: Points compared with all faces at a time.
+BLOCK = 4096
 
-def directions(n: int = 500) -> np.ndarray:
-    """Axes, diagonals and a spiral covering the sphere."""
-    grid = np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if x or y or z], float)
-    i = np.arange(n) + 0.5
-    polar, turn = np.arccos(1 - 2 * i / n), np.pi * (1 + 5**0.5) * i
-    spiral = np.stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)], axis=1)
-    # A tilt breaks ties between coplanar corners, so each corner of a box is extreme somewhere.
-    return np.vstack([grid + np.array([0.011, 0.023, 0.037]), spiral])
 
-
-def extreme_points(triangles: DataFrame, n: int = 500) -> DataFrame:
-    """Extreme corner per mesh and direction: partial maxima per Arrow batch, then one aggregate."""
-    dirs = directions(n)
-
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for mesh_id, part in pdf.groupby("mesh_id", sort=False):
-                pts = part[["x", "y", "z"]].to_numpy()
-                reach = dirs @ pts.T
-                best = reach.argmax(axis=1)
-                rows = pd.DataFrame(pts[best], columns=["x", "y", "z"])
-                rows.insert(0, "dir", np.arange(len(dirs), dtype=np.int32))
-                rows["reach"] = reach[np.arange(len(dirs)), best]
-                rows.insert(0, "mesh_id", mesh_id)
-                out.append(rows)
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    spots = mesh.corners(triangles).select("mesh_id", *g.XYZ)
-    partial = spots.mapInPandas(prune, "mesh_id string, dir int, x double, y double, z double, reach double")
-    return (
-        partial.groupBy("mesh_id", "dir")
-        .agg(F.max(F.struct("reach", *g.XYZ)).alias("_b"))
-        .select("mesh_id", *[f"_b.{t}" for t in g.XYZ])
-        .distinct()
-    )
-
-
-def hull_volume(points: np.ndarray) -> float:
-    """Volume of the convex hull of a small point set, by adding one point at a time."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 4:
-        return 0.0
-    scale = float(np.ptp(pts, axis=0).max())
-    if scale <= 0:
-        return 0.0
-    p = (pts - pts.mean(axis=0)) / scale
+def _simplex(p: np.ndarray) -> list[int] | None:
+    """Four corners far apart; None if all points lie in one plane."""
     first = [int(p[:, 0].argmin())]
     first.append(int(np.linalg.norm(p - p[first[0]], axis=1).argmax()))
     line = p[first[1]] - p[first[0]]
@@ -73,44 +34,113 @@ def hull_volume(points: np.ndarray) -> float:
     plane = np.cross(line, p[first[2]] - p[first[0]])
     depth = (p - p[first[0]]) @ plane
     first.append(int(np.abs(depth).argmax()))
-    if abs(depth[first[3]]) < 1e-12:
-        return 0.0
-    inside = p[first].mean(axis=0)
-
-    def outward(tri: tuple[int, int, int]) -> tuple[int, int, int]:
-        a, b, c = p[list(tri)]
-        return tri if np.cross(b - a, c - a) @ (a - inside) > 0 else (tri[0], tri[2], tri[1])
-
-    a, b, c, d = first
-    faces = [outward(t) for t in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-    for i in range(len(p)):
-        if i in first:
-            continue
-        arr = np.array(faces)
-        n = np.cross(p[arr[:, 1]] - p[arr[:, 0]], p[arr[:, 2]] - p[arr[:, 0]])
-        seen = np.einsum("ij,ij->i", n, p[i] - p[arr[:, 0]]) > 1e-10
+    return None if abs(depth[first[3]]) < 1e-12 else first
+
+
+class Hull:
+    """A convex hull that grows by the points that lie farthest outside of it."""
+
+    def __init__(self, p: np.ndarray, corners: list[int]):
+        self.p = p
+        inside = p[corners].mean(axis=0)
+        a, b, c, d = corners
+        faces = np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)])
+        turned = np.einsum("ij,ij->i", self._normals(faces), p[faces[:, 0]] - inside) < 0
+        faces[turned] = faces[turned][:, [0, 2, 1]]
+        self.faces, self.normals = faces, self._normals(faces)
+
+    def _normals(self, faces: np.ndarray) -> np.ndarray:
+        n = np.cross(self.p[faces[:, 1]] - self.p[faces[:, 0]], self.p[faces[:, 2]] - self.p[faces[:, 0]])
+        return n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
+
+    def heights(self, rows: np.ndarray) -> np.ndarray:
+        return self.p[rows] @ self.normals.T - np.einsum("ij,ij->i", self.normals, self.p[self.faces[:, 0]])
+
+    def farthest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The points that are outside, and of these the farthest of every face, the farthest first."""
+        out, best, top = [], np.full(len(self.faces), FLAT), np.full(len(self.faces), -1)
+        for lo in range(0, len(rows), BLOCK):
+            part = rows[lo : lo + BLOCK]
+            height = self.heights(part)
+            out.append(part[height.max(axis=1) > FLAT])
+            at = height.argmax(axis=0)
+            more = height[at, np.arange(len(at))] > best
+            best[more], top[more] = height[at, np.arange(len(at))][more], part[at[more]]
+        order = np.argsort(-best)
+        found = top[order][top[order] >= 0]
+        return np.concatenate(out), found[np.sort(np.unique(found, return_index=True)[1])]
+
+    def add(self, i: int) -> None:
+        seen = self.heights(np.array([i]))[0] > FLAT
         if not seen.any():
-            continue
-        rim = set()
-        for t in arr[seen]:
-            for u, v in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                if (v, u) in rim:
-                    rim.remove((v, u))
-                else:
-                    rim.add((u, v))
-        faces = [tuple(t) for t in arr[~seen]] + [(u, v, i) for u, v in rim]
-    arr = np.array(faces)
-    six = np.einsum("ij,ij->i", p[arr[:, 0]], np.cross(p[arr[:, 1]], p[arr[:, 2]]))
-    return float(abs(six.sum()) / 6.0) * scale**3
+            return
+        edges = np.concatenate([self.faces[seen][:, [u, v]] for u, v in ((0, 1), (1, 2), (2, 0))])
+        both = {tuple(e) for e in edges.tolist()}
+        rim = np.array([(u, v, i) for u, v in both if (v, u) not in both])
+        self.faces = np.concatenate([self.faces[~seen], rim])
+        self.normals = np.concatenate([self.normals[~seen], self._normals(rim)])
+
+
+def convex_hull(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """Corners of the convex hull of points and its volume; flat points stay as they are, with volume 0."""
+    pts = np.unique(points, axis=0)
+    scale = float(np.ptp(pts, axis=0).max()) if len(pts) else 0.0
+    if len(pts) < 4 or scale <= 0:
+        return pts, 0.0
+    p = (pts - pts.mean(axis=0)) / scale
+    first = _simplex(p)
+    if first is None:
+        return pts, 0.0
+    hull, rows = Hull(p, first), np.arange(len(p))
+    while True:
+        rows, top = hull.farthest(rows)
+        if not len(rows):
+            break
+        for i in top:
+            hull.add(int(i))
+    f = hull.faces
+    six = np.einsum("ij,ij->i", p[f[:, 0]], np.cross(p[f[:, 1]], p[f[:, 2]]))
+    return pts[np.unique(f)], float(abs(six.sum()) / 6.0) * scale**3
+
+
+def hull_points(triangles: DataFrame) -> DataFrame:
+    """Points that include all corners of each mesh's hull: ``mesh_id x y z``."""
+    kind = triangles.schema["mesh_id"].dataType.simpleString()
 
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, list[np.ndarray]] = {}
+        sizes: dict[object, int] = {}
 
-def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "hull_volume": [hull_volume(pdf[["x", "y", "z"]].to_numpy())]})
+        def told() -> Iterator[pd.DataFrame]:
+            for mesh_id, parts in held.items():
+                points, _ = convex_hull(np.concatenate(parts))
+                yield pd.DataFrame({"mesh_id": [mesh_id] * len(points), **{t: points[:, i] for i, t in enumerate(g.XYZ)}})
+            held.clear()
+            sizes.clear()
 
+        for pdf in batches:
+            for mesh_id, part in pdf.groupby("mesh_id", sort=False):
+                held.setdefault(mesh_id, []).append(part[list(g.XYZ)].to_numpy())
+                sizes[mesh_id] = sizes.get(mesh_id, 0) + len(part)
+                if sizes[mesh_id] > HOLD:
+                    points, _ = convex_hull(np.concatenate(held[mesh_id]))
+                    # A round body may be all corners; it waits for as many new points as it has.
+                    held[mesh_id], sizes[mesh_id] = [points], 0
+            if sum(sum(map(len, parts)) for parts in held.values()) > HOLD_ALL:
+                yield from told()
+        yield from told()
 
-def fill_ratio(triangles: DataFrame, n: int = 500) -> DataFrame:
+    return mesh.corners(triangles).select("mesh_id", *g.XYZ).mapInPandas(prune, f"mesh_id {kind}, x double, y double, z double")
+
+
+def fill_ratio(triangles: DataFrame) -> DataFrame:
     """``mesh_id volume hull_volume fill``; fill is 0 where the hull is flat."""
-    hulls = extreme_points(triangles, n).groupBy("mesh_id").applyInPandas(_hull, "mesh_id string, hull_volume double")
+    kind = triangles.schema["mesh_id"].dataType.simpleString()
+
+    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "hull_volume": [convex_hull(pdf[list(g.XYZ)].to_numpy())[1]]})
+
+    hulls = hull_points(triangles).groupBy("mesh_id").applyInPandas(measured, f"mesh_id {kind}, hull_volume double")
     volume = triangles.groupBy("mesh_id").agg((F.abs(F.sum(g.volume6())) / 6.0).alias("volume"))
     fill = F.coalesce(F.col("volume") / F.nullif(F.col("hull_volume"), F.lit(0.0)), F.lit(0.0))
     return volume.join(hulls, "mesh_id", "left").select("mesh_id", "volume", "hull_volume", fill.alias("fill"))

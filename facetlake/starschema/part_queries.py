@@ -262,6 +262,14 @@ def _(v):
     return hull.fill_ratio(v.triangles)
 
 
+@query("box_hull_fill", "D17", """WITH f AS (SELECT p_partkey, abs(sum(vol6))/6.0 AS volume FROM face_geo JOIN (SELECT mesh_id, fid, p_partkey FROM tri_ids) USING (mesh_id, fid) GROUP BY 1)
+   SELECT p_partkey::VARCHAR AS mesh_id, round(dx*dy*dz, 4)::DOUBLE AS hull_volume, round(volume/(dx*dy*dz), 6) AS fill FROM f JOIN boxes USING (p_partkey)""", ("face_geo", "tri_ids", "boxes"))
+def _(v):
+    """Every box as a mesh of its own, torn and turned ones included: the hull is the whole box."""
+    filled = hull.fill_ratio(v.triangles.withColumn("mesh_id", F.expr("CAST(fid div 16 AS STRING)")))
+    return filled.select("mesh_id", F.round("hull_volume", 4).alias("hull_volume"), F.round("fill", 6).alias("fill"))
+
+
 @query("bbox_fill_ratio", "D17", "SELECT mesh_id, round(abs(sum(vol6))/6.0 / ((max(greatest(ax,bx,cx)) - min(least(ax,bx,cx))) * (max(greatest(ay,by_,cy)) - min(least(ay,by_,cy))) * (max(greatest(az,bz,cz)) - min(least(az,bz,cz)))), 8) AS fill FROM face_geo GROUP BY 1", ("face_geo",))
 def _(v):
     m = mesh.measures(v.triangles)
