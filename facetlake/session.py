@@ -110,6 +110,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         discard(spark, _scopes.pop())
 
 
+def drop_stored(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` has written, when nothing will read it again."""
+    path = table._stored_at
+    for scope in _scopes:
+        if path in scope:
+            scope.remove(path)
+    discard(table.sparkSession, [path])
+
+
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete scratch tables, and let Spark drop the shuffle files of plans that nothing refers to any more."""
     for path in paths:
@@ -131,4 +140,6 @@ def materialize(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFra
     if holders:
         holders[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
