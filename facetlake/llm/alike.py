@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from facetlake.llm.words import grams, mix, slices, words
 from facetlake.operators.components import components
 from facetlake.operators.ordering import running_sum
-from facetlake.session import materialize, scratch
+from facetlake.session import drop_stored, materialize, scratch
 
 SHINGLE = 5
 #: Links need 100 * overlap >= 75 * union.
@@ -48,7 +48,7 @@ FRAGMENT = 1_500_000
 #: Star rounds go on while they leave at most this share of the classes open.
 CLOSING = 0.8
 #: Shingles and classes of a block of neighbours, and shingles of a fragment of their comparison.
-BLOCK_TOKENS, BLOCK_ROWS, COLUMNS = 200_000, 512, 4096
+BLOCK_TOKENS, BLOCK_ROWS, COLUMNS = 1_000_000, 2048, 4096
 #: Shingles a task handles at a time.
 CHUNK = 500_000
 
@@ -374,7 +374,15 @@ def _block_join(classes: DataFrame) -> DataFrame:
     a class shares with other groups, one of its rarest must be in any overlap that is large enough. Pairs are made of blocks,
     never of classes; what a task compares is bounded by two blocks.
     """
-    entries = _entries(classes)
+    with scratch(classes.sparkSession):
+        pairs, block_of = _block_pairs(_entries(classes))
+    both = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sets = classes.select("owner", "group", "n", "tokens").join(block_of, "owner")
+    return both.join(sets, "block").groupBy("x", "y").applyInPandas(_block_pair, "a long, b long")
+
+
+def _block_pairs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks to compare, and the block of each class."""
     own = Window.partitionBy("owner")
     place = F.row_number().over(own.orderBy("df", "token"))
     shared = F.count("*").over(own)
@@ -384,16 +392,13 @@ def _block_join(classes: DataFrame) -> DataFrame:
     prefix = materialize(placed.filter("_p <= _l").select("token", "owner", "group", "n", F.col("_top.token").alias("top")), "prefix")
     least = F.greatest(F.lit(BLOCK_TOKENS // BLOCK_ROWS), F.col("n"))
     laid = running_sum(prefix.select("owner", "n", "top").distinct(), [], ["top", "owner"], least, "_upto")
-    block_of = materialize(laid.select("owner", F.floor(F.col("_upto") / BLOCK_TOKENS).cast("long").alias("block")), "blocks")
+    block_of = materialize(laid.select("owner", F.floor(F.col("_upto") / BLOCK_TOKENS).cast("long").alias("block")), "blocks", keep=True)
     held = prefix.join(block_of, "owner").groupBy("token", "block").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
     held = materialize(held, "block_tokens")
     x, y = (held.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")]) for s in "xy")
     several = (F.col("block_x") <= F.col("block_y")) & (F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y"))
     pairs = x.join(y, "token").filter(several).groupBy("block_x", "block_y").agg(F.count("*").alias("_t"))
-    pairs = materialize(pairs.select(F.col("block_x").alias("x"), F.col("block_y").alias("y")), "block_pairs")
-    both = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    sets = classes.select("owner", "group", "n", "tokens").join(block_of, "owner")
-    return both.join(sets, "block").groupBy("x", "y").applyInPandas(_block_pair, "a long, b long")
+    return materialize(pairs.select(F.col("block_x").alias("x"), F.col("block_y").alias("y")), "block_pairs", keep=True), block_of
 
 
 # ---- all together ------------------------------------------------------------------------------------------
@@ -466,31 +471,39 @@ def _groups(keyed: DataFrame, known: DataFrame) -> DataFrame:
     counted = _counted(_note_logs(keyed, _bits(size / 6)))
     classes = known.filter("n > 0").groupBy("owner", "check", "n").agg(F.min(F.struct("job_id", "log_key")).alias("rep"))
     bound = F.coalesce("told", F.lit(0)) + F.coalesce("local", F.lit(0))
-    asked = materialize(_still(classes.join(counted, "owner").withColumn("bound", bound)).select("owner", "bound", F.col("rep.*")), "asked")
+    with scratch(keyed.sparkSession):
+        asked = materialize(_still(classes.join(counted, "owner").withColumn("bound", bound)).select("owner", "bound", F.col("rep.*")), "asked", keep=True)
     chosen = keyed.join(asked, keyed["job_id"].eqNullSafe(asked["job_id"]) & (keyed["log_key"] == asked["log_key"])).select("owner", "bound", "log")
-    rows_of = materialize(_banded(chosen.dropDuplicates(["owner"])), "classes")
-    class_of = rows_of.select("owner", "class")
+    with scratch(keyed.sparkSession):
+        open_ = materialize(_banded(chosen.dropDuplicates(["owner"])), "classes", keep=True)
+        class_of = materialize(open_.select("owner", "class"), "class_of", keep=True)
     nodes = class_of.select(F.col("class").alias("owner")).distinct()
-    open_, links, turn = rows_of, None, 0
+    links, turn = None, 0
     total, rows = open_.agg(F.sum("n"), F.count("*")).first()
     if rows:
-        open_ = materialize(_open(open_, _bits(total)), "classes")
+        with scratch(keyed.sparkSession):
+            smaller = materialize(_open(open_, _bits(total)), "classes", keep=True)
+        drop_stored(open_)
+        open_ = smaller
         total, rows = open_.agg(F.sum("n"), F.count("*")).first()
     while rows:
         bits, before = _bits(total), rows
         with scratch(keyed.sparkSession):
             found = materialize(_of_classes(_star_round(open_, turn, bits), class_of), "links", keep=True)
-            proven = not found.isEmpty()
-            if proven:
-                links = found if links is None else links.unionByName(found)
+        proven = not found.isEmpty()
+        if proven:
+            links = found if links is None else links.unionByName(found)
+            with scratch(keyed.sparkSession):
                 groups = materialize(components(nodes, links, (), "a", "b", "owner", "group"), "groups")
                 regrouped = open_.drop("group").join(groups.withColumnRenamed("owner", "class"), "class")
-                open_ = materialize(_open(regrouped, bits), "classes", keep=True)
-        if proven:
+                smaller = materialize(_open(regrouped, bits), "classes", keep=True)
+            drop_stored(open_)
+            open_ = smaller
             total, rows = open_.agg(F.sum("n"), F.count("*")).first()
             turn += 1
         if rows and (not proven or rows > CLOSING * before):
-            rest = materialize(_of_classes(_block_join(open_), class_of), "links")
+            with scratch(keyed.sparkSession):
+                rest = materialize(_of_classes(_block_join(open_), class_of), "links", keep=True)
             links = rest if links is None else links.unionByName(rest)
             break
     if links is None:
