@@ -22,10 +22,9 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 DIMENSION = 6
-#: Sessions learnt from, for each language, and windows of each.
-PER_LANGUAGE = 500
-TRAIN_WINDOWS = 6
-EPOCHS = 6
+#: Sessions learnt from, for each language, with all of their windows.
+PER_LANGUAGE = 200
+EPOCHS = 5
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -121,8 +120,8 @@ class ByteNetwork:
         return [g_vectors, g_filters, back.sum(0), pooled.T @ error, error.sum(0)]
 
 
-def learn(sessions: DataFrame, per_language: int = PER_LANGUAGE, train_windows: int = TRAIN_WINDOWS) -> ByteNetwork | None:
-    """A network from at most ``per_language`` sessions of each language, ``train_windows`` windows of each, evenly spread.
+def learn(sessions: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork | None:
+    """A network from all windows of at most ``per_language`` sessions of each language.
 
     Languages are few, so the sample has a bound; None without labelled letters.
     """
@@ -133,24 +132,20 @@ def learn(sessions: DataFrame, per_language: int = PER_LANGUAGE, train_windows:
         for batch in batches:
             for part, data, off in slices(batch):
                 x, row = windows_of(data, off)
-                n = np.bincount(row)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                keep = place % np.maximum(1, -(-n[row] // train_windows)) == 0
-                labels = part.column("label").to_pylist()
+                lettered = (x > 0x40).any(axis=1)
+                first = np.searchsorted(row, np.arange(part.num_rows + 1))
+                own = [x[lo:hi][lettered[lo:hi]].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
                 keys = [str(k) for k in part.column("_key").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[r] for r in row[keep]], pa.string()), pa.array([labels[r] for r in row[keep]], pa.string()), pa.array([w.tobytes() for w in x[keep]], pa.binary())],
-                    ["k", "label", "bytes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), part.column("label").cast(pa.string()), pa.array(own, pa.binary())], ["k", "label", "bytes"])
 
     rows = sorted((r.k, r.label, bytes(r.bytes)) for r in texts.mapInArrow(cut, "k string, label string, bytes binary").collect())
-    rows = [r for r in rows if any(b > 0x40 for b in r[2])]
+    rows = [r for r in rows if r[2]]
     if not rows:
         return None
     languages = sorted({r[1] for r in rows})
-    number = {name: i for i, name in enumerate(languages)}
-    x = np.array([np.frombuffer(r[2], np.uint8) for r in rows])
-    return ByteNetwork(languages).fit(x, np.array([number[r[1]] for r in rows]))
+    x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, WINDOW)
+    y = np.repeat([languages.index(r[1]) for r in rows], [len(r[2]) // WINDOW for r in rows])
+    return ByteNetwork(languages).fit(x, y)
 
 
 def session_languages(sessions: DataFrame, labelled: DataFrame, network: ByteNetwork | None = None) -> DataFrame:

@@ -76,6 +76,39 @@ def test_windows_cover_every_place_of_every_filter():
         assert (row == r).sum() == max(1, -(-(len(text) - wide + 1) // (languages.WINDOW - wide + 1)))
 
 
+def test_forward_pass_equals_naive_convolution():
+    rng = np.random.default_rng(2)
+    net = languages.ByteNetwork(["a", "b", "c"], seed=4)
+    net.parameters[2] = rng.normal(0, 0.2, len(net.parameters[2])).astype(np.float32)
+    x = rng.integers(0, 256, (3, languages.WINDOW)).astype(np.uint8)
+    vectors, filters, shift, layer, bias = (p.astype(float) for p in net.parameters)
+    for window, got in zip(x, net.probabilities(x), strict=True):
+        spelled = [vectors[b] for b in window] + [vectors[0]] * (max(languages.WIDTHS) - 1)
+        pooled = []
+        for f in range(filters.shape[1]):
+            reach = int(net.reach[f])
+            sums = [sum(float(spelled[at + k] @ filters[k * languages.DIMENSION : (k + 1) * languages.DIMENSION, f]) for k in range(reach)) for at in range(languages.WINDOW)]
+            pooled.append(max(0.0, max(sums) + shift[f]))
+        logits = np.array(pooled) @ layer + bias
+        want = np.exp(logits - logits.max())
+        assert np.allclose(got, want / want.sum(), atol=1e-4)
+
+
+def test_every_window_of_a_labelled_text_teaches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(languages.ByteNetwork, "fit", lambda self, x, y: seen.append((x, y)) or self)
+    texts = ["abcdefgh " * 2000, "kurz", "12 34 " * 50 + "x" * 500]
+    rows = [(i, t, "en" if i != 1 else "de") for i, t in enumerate(texts)]
+    languages.learn(frame(spark, rows, "session_id long, name string, lang string"))
+    x, y = seen[0]
+    want = 0
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        windows, _ = languages.windows_of(data, np.array([0, len(data)]))
+        want += int((windows > 0x40).any(axis=1).sum())
+    assert len(x) == len(y) == want
+
+
 def test_language_edges(spark):
     rows = [(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(EDGE)] + [(None, "abc", "en"), (90, "12 34 !!", "de")]
     sessions = frame(spark, rows, "session_id long, name string, lang string")
