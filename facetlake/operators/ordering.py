@@ -17,6 +17,8 @@ from facetlake.session import materialize
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     columns = [*keys, *order]
+    if taken := {"_pid", "_row"} & set(df.columns):
+        raise ValueError(f"columns used for the ordering itself: {sorted(taken)}")
     return materialize(
         df.repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
