@@ -94,6 +94,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+#: Columns of a finding.
+_FOUND = ("sha256", "spans", "n_assign", "n_access", "n_hex", "base_sha256", "spans_text")
+
+
 def scan_files(files: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """Findings of every file version.
 
@@ -113,7 +117,7 @@ def scan_files(files: DataFrame, ledger: str | None = None, rule_version: str =
     """
     spark = files.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
-    names = ["sha256", "spans", "n_assign", "n_access", "n_hex", "base_sha256", "spans_text"]
+    names = list(_FOUND)
     keyed = files.drop(*names).withColumn("sha256", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
     contents = keyed.select("sha256", F.coalesce("content", F.lit("")).alias("_content"))
     known = _known(files, ledger, rule_version)
@@ -153,8 +157,9 @@ def mask_files(files: DataFrame, ledger: str | None = None, rule_version: str =
 
     See ``scan_files``. Overlapping spans become one mark; null content stays null.
     """
-    found = scan_files(files, ledger, rule_version)
-    columns = [c for c in found.columns if c in files.columns or c == "spans"]
+    own = {c: f"_own_{c}" for c in files.columns if c in _FOUND}
+    found = scan_files(files.withColumnsRenamed(own), ledger, rule_version)
+    columns = [c for c in found.columns if c not in _FOUND or c == "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,4 +169,4 @@ def mask_files(files: DataFrame, ledger: str | None = None, rule_version: str =
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "content" else batch.column(n) for n in names], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*columns).schema.fields if f.name != "spans")
-    return found.select(*columns).mapInArrow(run, fields)
+    return found.select(*columns).mapInArrow(run, fields).withColumnsRenamed({b: a for a, b in own.items()}).select(*files.columns)

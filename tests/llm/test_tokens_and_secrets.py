@@ -122,3 +122,10 @@ def test_private_keys_are_masked_whole(spark):
         assert not any(line in got[i] for line in lines) and "END RSA" not in got[i], (i, got[i])
         assert got[i].split() == ["before", secrets.MARK, "after", "it."], (i, got[i])
     assert got[len(texts)] == f"before {secrets.MARK} and after it."
+
+
+def test_masking_keeps_columns_named_like_findings(spark):
+    files = frame(spark, [(1, "a", 1, f"token={HEX} x", "own", 5)], "job_id long, path string, version int, content string, spans string, n_hex int")
+    masked = secrets.mask_files(files)
+    assert masked.columns == files.columns
+    assert tuple(masked.first()) == (1, "a", 1, f"{secrets.MARK} x", "own", 5)
