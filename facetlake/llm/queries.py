@@ -53,6 +53,25 @@ def op1_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike.alike_logs(logs).select(F.col("job_id").alias("doc_id"), "n_shingles", F.col("alike_id").alias("component_id"))
 
 
+SQL["op1_alike"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+runs AS (
+  SELECT r, array_to_string(ws, ' ') AS k FROM docs WHERE len(ws) BETWEEN 1 AND 4
+  UNION ALL
+  SELECT r, array_to_string(ws[i : i + 4], ' ') FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM docs WHERE len(ws) >= 5)),
+shingles AS (SELECT DISTINCT r, md5(k) AS k FROM runs),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.k = b.k AND a.r < b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT r, r AS root FROM docs UNION SELECT w.b, reach.root FROM reach JOIN ways w ON w.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes z ON z.r = d.r JOIN reach ON reach.r = d.r JOIN docs o ON o.r = reach.root GROUP BY d.r, d.doc_id
+"""
+
+
 @numbered
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("log"))
@@ -83,6 +102,32 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("job_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+SQL["op5_contamination"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT item, i AS a, least(13, len(ws)) AS n, array_to_string(ws[i : i + least(13, len(ws)) - 1], ' ') AS k
+  FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM items WHERE len(ws) > 0)),
+widths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, i AS p, n, array_to_string(ws[i : i + n - 1], ' ') AS k
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs CROSS JOIN widths WHERE len(ws) >= n)),
+found AS (SELECT DISTINCT r, p, n, item, a FROM places JOIN windows USING (n, k)),
+marked AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, list_sort(list(DISTINCT item)) AS names FROM found GROUP BY r),
+-- Windows that follow each other in item and document are one match.
+islands AS (
+  SELECT r, item, p - a AS d, n, p - row_number() OVER (PARTITION BY r, item, p - a, n ORDER BY p) AS g FROM found),
+longest AS (SELECT r, max(m) AS longest FROM (SELECT r, count(*) + n - 1 AS m FROM islands GROUP BY r, item, d, n, g) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(names), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated,
+       coalesce(longest, 0) AS longest
+FROM docs LEFT JOIN marked USING (r) LEFT JOIN named USING (r) LEFT JOIN longest USING (r)
+"""
+
+
 @numbered
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(
@@ -98,6 +143,21 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(logs).select(F.col("job_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+SQL["op7_repeats"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k
+  FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs WHERE len(ws) >= 50)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (k) WHERE doc_id > first),
+words AS (SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS said, count(*) AS n FROM words WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = words.r AND g.p = words.p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 @numbered
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     photos = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo_id"), F.col("source").alias("shoot_id"), words_of("text").alias("size"))
