@@ -169,7 +169,7 @@ def reduce_to_budget(triangles: DataFrame, budgets: DataFrame) -> tuple[DataFram
     boxes = materialize(grid_boxes(triangles).join(asked, "mesh_id"), "boxes")
     over = boxes.filter("n_faces > target_faces")
     gridded = materialize(_gridded(triangles, over.drop("n_faces", "target_faces")), "gridded")
-    levels = materialize(_levels(gridded, over.select("mesh_id", "target_faces")), "levels")
+    levels = _levels(gridded, over.select("mesh_id", "target_faces"))
     split = materialize(_splits(gridded, levels), "splits")
     plan = levels.join(split, "mesh_id", "left").select("mesh_id", "level", F.coalesce("split", F.lit(-1)).alias("split"))
     a, b, c = (F.col(f"r{k}") for k in g.CORNERS)
@@ -188,7 +188,7 @@ def reduce_to_budget(triangles: DataFrame, budgets: DataFrame) -> tuple[DataFram
     reduced = long.groupBy("mesh_id", "fid").agg(
         *[F.max(F.when(F.col("corner") == i, F.col(t))).alias(f"{k}{t}") for i, k in enumerate(g.CORNERS) for t in g.XYZ]
     )
-    counts = materialize(kept.groupBy("mesh_id").agg(F.count("*").alias("_n")), "counts")
+    counts = kept.groupBy("mesh_id").agg(F.count("*").alias("_n"))
     # Nothing between no face and too many: one face stands for the mesh.
     lone = levels.join(counts, "mesh_id", "left_anti").select("mesh_id")
     single = celled.join(lone, "mesh_id", "left_semi").groupBy("mesh_id").agg(F.min("fid").alias("fid"))
